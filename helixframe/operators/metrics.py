@@ -8,10 +8,10 @@ so a group with very many distinct scores still spreads over many tasks.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from helixframe.functions import rules
 
@@ -91,7 +91,8 @@ def roc_points(df: DataFrame, groups: Sequence[str], score: str, label: str) ->
 def youden(df: DataFrame, groups: Sequence[str], score: str, label: str) -> DataFrame:
     """Threshold of the greatest tpr - fpr; the highest threshold on ties."""
     best = F.max(F.struct(F.round("j", 12).alias("j"), "threshold", "tpr", "fpr")).alias("b")
-    return roc_points(df, groups, score, label).groupBy(*groups).agg(best).select(*groups, "b.*")
+    return roc_points(df, groups, score, label).groupBy(*groups).agg(best).select(
+        *groups, *[F.col(f"b.{c}").alias(c) for c in ("j", "threshold", "tpr", "fpr")])
 
 
 def best_f1(df: DataFrame, groups: Sequence[str], score: str, label: str) -> DataFrame:
@@ -194,7 +195,7 @@ def delong(df: DataFrame, groups: Sequence[str], a: str, b: str, label: str) ->
     return out.withColumn("delta", diff).withColumn("z", F.when(var > 0, diff / F.sqrt(var))).drop("_s10", "_s01")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def two_sided_p(z: pd.Series) -> pd.Series:
     """Two-sided normal tail probability of a z value."""
     from math import erfc, sqrt

@@ -234,8 +234,66 @@ SQL_HELPERS = {
         "AND k.aa_alt = v.aa_alt) AS same_change "
         "FROM variants v JOIN genes g ON v.gene = g.gene LEFT JOIN flag_wide w ON v.gene = w.gene) e"),
 }
+SQL_HELPERS |= {
+    "vcf_parsed": (
+        "SELECT *, CASE WHEN regexp_full_match(c, '([1-9]|1[0-9]|2[0-2]|x|y|mt?)') THEN c END AS chrom, "
+        "TRY_CAST(p[2] AS BIGINT) AS pos, upper(p[4]) AS ref, upper(p[5]) AS alts, coalesce(p[7], '.') AS filt, "
+        "CASE WHEN len(p) >= 10 THEN string_split(p[10], ':')[list_position(string_split(p[9], ':'), 'GT')] END AS genotype, "
+        "CASE WHEN len(p) >= 10 THEN TRY_CAST(string_split(p[10], ':')[list_position(string_split(p[9], ':'), 'GQ')] AS BIGINT) END AS gq, "
+        "len(p) > 10 AS multi_sample "
+        "FROM (SELECT *, replace(lower(p[1]), 'chr', '') AS c FROM (SELECT *, string_split(trim(value), chr(9)) AS p FROM vcf_lines) x0) x1"),
+    "vcf_alleles": (
+        "SELECT *, CASE WHEN alt = '*' OR starts_with(alt, '<') THEN 'Unsupported allele type: ' || alt END AS bad FROM ("
+        "SELECT *, trim(string_split(alts, ',')[allele + 1]) AS alt FROM (SELECT *, CAST(unnest(range(len(string_split(alts, ',')))) AS INT) AS allele "
+        "FROM vcf_parsed WHERE chrom IS NOT NULL AND pos IS NOT NULL) y0) y1"),
+    "vcf_marked": (
+        "SELECT *, CASE WHEN bad IS NOT NULL THEN bad WHEN row_number() OVER (PARTITION BY l_suppkey, chrom, pos, ref, alt, bad IS NULL "
+        "ORDER BY l_orderkey, l_linenumber, l_partkey, allele) > 1 THEN 'Duplicate variant' END AS skip FROM vcf_alleles"),
+    "gmap": (
+        "SELECT e.gene, g.strand, e.first_cdna + i AS cdna_pos, CASE WHEN g.strand = '+' THEN e.exon_start + i ELSE e.exon_end - i END AS genomic_pos "
+        "FROM (SELECT *, unnest(range(CAST(exon_end - exon_start + 1 AS BIGINT))) AS i FROM exons) e JOIN genes g ON g.gene = e.gene"),
+    "gzones": (
+        "SELECT z.gene, z.pos, arg_max(z.d, z.o) AS distance, CASE WHEN min(z.d) <= 2 THEN 'canonical' ELSE 'near' END AS zone FROM ("
+        "SELECT b.gene, b.a + o.o AS pos, abs(o.o) AS d, CASE WHEN abs(o.o) <= 2 THEN 1000000000 ELSE 0 END + b.c * 1000 + b.s * 100 + o.o AS o FROM "
+        "(SELECT gene, cdna_pos AS c, 0 AS s, genomic_pos AS a FROM gbound UNION ALL SELECT gene, cdna_pos, 1, nxt FROM gbound) b, "
+        "(SELECT unnest(range(-8, 9)) AS o) o WHERE o.o <> 0) z "
+        "WHERE NOT EXISTS (SELECT 1 FROM gmap m WHERE m.gene = z.gene AND m.genomic_pos = z.pos) GROUP BY z.gene, z.pos"),
+    "gbound": (
+        "SELECT * FROM (SELECT *, lead(genomic_pos) OVER (PARTITION BY gene ORDER BY cdna_pos) AS nxt FROM gmap) w "
+        "WHERE CASE WHEN strand = '+' THEN nxt - genomic_pos ELSE genomic_pos - nxt END > 1"),
+    "gcoding": (
+        "SELECT m.gene, m.strand, m.cdna_pos, m.genomic_pos, c.codon, CAST((m.cdna_pos - 1) % 3 AS INT) AS off, CAST((m.cdna_pos - 1) // 3 + 1 AS BIGINT) AS aap, "
+        "n.near FROM gmap m JOIN (SELECT gene, (cdna - 1) // 3 AS ci, string_agg(base, '' ORDER BY cdna) AS codon FROM cds_bases GROUP BY gene, ci) c "
+        "ON c.gene = m.gene AND c.ci = (m.cdna_pos - 1) // 3 JOIN (SELECT a.gene, a.cdna_pos, bool_or(abs(b.genomic_pos - a.genomic_pos) > abs(b.cdna_pos - a.cdna_pos) + 1) AS near "
+        "FROM gmap a JOIN gmap b ON b.gene = a.gene AND b.cdna_pos BETWEEN a.cdna_pos - 3 AND a.cdna_pos + 3 AND b.cdna_pos <> a.cdna_pos GROUP BY a.gene, a.cdna_pos) n "
+        "ON n.gene = m.gene AND n.cdna_pos = m.cdna_pos"),
+    "vcf_translated": (
+        "SELECT t.*, r.aa AS raa, x.aa AS aaa FROM (SELECT *, overlay_codon AS acodon FROM (SELECT *, CASE WHEN cr IS NOT NULL THEN "
+        "substr(codon, 1, off) || ca || substr(codon, off + 2) END AS overlay_codon FROM (SELECT *, CASE WHEN have = comp THEN comp WHEN have = ref THEN ref END AS cr, "
+        "CASE WHEN have = comp THEN compa WHEN have = ref THEN alt END AS ca FROM (SELECT v.*, g.strand, g.chromosome, c.cdna_pos AS cp, c.aap, c.codon, c.off, c.near, "
+        "z.zone, z.distance, substr(c.codon, c.off + 1, 1) AS have, CASE WHEN g.strand = '-' THEN translate(v.ref, 'ACGT', 'TGCA') ELSE v.ref END AS comp, "
+        "CASE WHEN g.strand = '-' THEN translate(v.alt, 'ACGT', 'TGCA') ELSE v.alt END AS compa "
+        "FROM (SELECT * FROM vcf_marked WHERE skip IS NULL) v JOIN genes g ON g.gene = v.gene LEFT JOIN gcoding c ON c.gene = v.gene AND c.genomic_pos = v.pos "
+        "LEFT JOIN gzones z ON z.gene = v.gene AND z.pos = v.pos) t0) t1) t2) t LEFT JOIN codons r ON r.codon = t.codon LEFT JOIN codons x ON x.codon = t.acodon"),
+    "vcf_classified": (
+        "SELECT *, CASE WHEN reason IS NOT NULL THEN NULL WHEN indel AND shift THEN 'frameshift' WHEN indel THEN 'inframe_indel' "
+        "WHEN cp IS NULL THEN CASE zone WHEN 'canonical' THEN 'splice_canonical' ELSE 'splice_near' END "
+        "WHEN raa = aaa THEN 'synonymous' WHEN aaa = 'Ter' THEN 'nonsense' ELSE 'missense' END AS variant_type, "
+        "CASE WHEN reason IS NOT NULL THEN NULL WHEN indel AND shift THEN 0.9999::DOUBLE WHEN indel THEN CASE WHEN in_dom THEN 0.8::DOUBLE ELSE 0.5::DOUBLE END "
+        "WHEN cp IS NULL THEN CASE zone WHEN 'canonical' THEN 0.95::DOUBLE ELSE 0.7::DOUBLE END "
+        "WHEN raa = aaa THEN CASE WHEN near THEN 0.4::DOUBLE ELSE 0.05::DOUBLE END WHEN aaa = 'Ter' THEN 0.9999::DOUBLE "
+        "ELSE least(greatest(CAST((cp * 31 + l_partkey * 7) % 1000 AS DOUBLE) / 1000, 0.005::DOUBLE), 0.995::DOUBLE) END AS probability "
+        "FROM (SELECT *, CASE WHEN chrom <> chromosome THEN 'Not on chr' || chromosome WHEN indel THEN NULL "
+        "WHEN NOT regexp_full_match(ref, '[ACGT]') OR NOT regexp_full_match(alt, '[ACGT]') THEN 'Invalid alleles' "
+        "WHEN cp IS NULL AND zone IS NULL THEN 'Not in ' || gene || ' CDS' WHEN cp IS NULL THEN NULL "
+        "WHEN cr IS NULL THEN 'Ref mismatch: CDS has ' || have || ' at cDNA ' || cp || ', VCF says ' || ref "
+        "WHEN raa IS NULL OR aaa IS NULL THEN 'Unknown codon' END AS reason FROM (SELECT *, length(ref) <> 1 OR length(alt) <> 1 AS indel, "
+        "abs(length(ref) - length(alt)) % 3 <> 0 AS shift, EXISTS (SELECT 1 FROM domains d WHERE d.gene = q.gene AND q.aap BETWEEN d.start_aa AND d.end_aa) AS in_dom "
+        "FROM vcf_translated q) q0) q1"),
+}
 SQL_VIEWS.update(SQL_HELPERS)
-_ORDER = [*dims.TABLES, "cds_bases", *VIEWS, *SQL_HELPERS]
+_ORDER = [*dims.TABLES, "cds_bases", *VIEWS, "domain_flags", "flag_wide", "known_path", "ev_in", "vcf_parsed", "vcf_alleles",
+          "vcf_marked", "gmap", "gbound", "gzones", "gcoding", "vcf_translated", "vcf_classified"]
 
 
 def _mentions(text: str) -> list[str]:
