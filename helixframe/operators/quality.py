@@ -62,3 +62,24 @@ def add_identifiers(df: DataFrame) -> DataFrame:
     return df.withColumns({
         "hgvs_c": F.concat(prefix, F.col("cdna_pos").cast("string"), F.col("mutation")),
         "hgvs_p": F.concat(F.lit("p."), protein), "variant": F.concat(F.col("gene"), F.lit(":p."), protein)})
+
+
+def match_benchmark(bench: DataFrame, predictions: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Benchmark rows with a prediction, and those without."""
+    return bench.join(predictions, keys), bench.join(predictions.select(*keys), keys, "left_anti")
+
+
+def attach_predictors(bench: DataFrame, hits: DataFrame, scores: list[str], order: list[str]) -> DataFrame:
+    """Scores of the last hit per (gene, position, residues); a hit may list several positions."""
+    keys = ["gene", "aa_pos", "aa_ref", "aa_alt"]
+    each = hits.select("gene", F.posexplode("positions").alias("_i", "aa_pos"), "aa_ref", "aa_alt", *order, *scores)
+    last = each.groupBy(*keys).agg(F.max_by(F.struct(*scores), F.struct(*order, "_i")).alias("_s"))
+    return (bench.join(last, keys, "left")
+            .select(*[bench[c] for c in bench.columns if c not in scores], *[F.col(f"_s.{s}").alias(s) for s in scores]))
+
+
+def align_vectors(df: DataFrame, vectors: DataFrame, key: str, vector: str, name: str, size: int) -> DataFrame:
+    """First ``size`` elements of another table's vector by row id, 0 and has_<name> = 0 when absent."""
+    v = vectors.select(key, F.col(vector).alias("_v"))
+    cols = [F.coalesce(F.try_element_at("_v", F.lit(i + 1)).cast("double"), F.lit(0.0)).alias(f"{name}_{i}") for i in range(size)]
+    return df.join(v, key, "left").select(*df.columns, *cols, F.col("_v").isNotNull().cast("int").alias(f"has_{name}"))
