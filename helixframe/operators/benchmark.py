@@ -93,3 +93,28 @@ def width_summary(df: DataFrame, groups: Sequence[str], width: str) -> DataFrame
     rest = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), F.avg(width).alias("mean_width"),
                                    F.stddev_pop(width).alias("std_width"))
     return med.join(rest, list(groups)).withColumn("band", rules.width_band(F.col("median_width")))
+
+
+def side_by_side(df: DataFrame, keys: Sequence[str], slot: str, values: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """First row of slot 0 and of slot 1 per key as left_* and right_* columns."""
+    def pick(i: int) -> Column:
+        return F.min_by(F.when(F.col(slot) == i, F.struct(*values)), F.when(F.col(slot) == i, F.struct(*order)))
+    both = df.groupBy(*keys).agg(pick(0).alias("_l"), pick(1).alias("_r")).filter("_l IS NOT NULL AND _r IS NOT NULL")
+    return both.select(*keys, *[F.col(f"{p}.{v}").alias(f"{n}_{v}") for p, n in (("_l", "left"), ("_r", "right")) for v in values])
+
+
+def merge_sets(sources: Sequence[DataFrame], old: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Union of the sources against an old list: added, removed or same per element.
+    One tagged aggregate, no full join."""
+    tagged = [s.select(*keys, F.lit(True).alias("_new")) for s in sources] + [old.select(*keys, F.lit(False).alias("_new"))]
+    out = tagged[0]
+    for t in tagged[1:]:
+        out = out.unionByName(t)
+    seen = out.groupBy(*keys).agg(F.bool_or("_new").alias("_n"), F.bool_or(~F.col("_new")).alias("_o"))
+    status = F.when(F.col("_n") & F.col("_o"), "same").when(F.col("_n"), "added").otherwise("removed")
+    return seen.select(*keys, status.alias("status"))
+
+
+def set_difference(a: Column, b: Column) -> tuple[Column, Column]:
+    """Elements of ``b`` not in ``a`` (gained) and of ``a`` not in ``b`` (lost), sorted."""
+    return F.sort_array(F.array_except(b, a)), F.sort_array(F.array_except(a, b))
