@@ -198,13 +198,12 @@ def benchmark_metadata(df: DataFrame) -> DataFrame:
 
 def importance(long: DataFrame) -> DataFrame:
     """(feature, value) -> mean absolute value, share of the largest, rank, and
-    selection at or above the median share."""
+    selection at or above the median share. The windows run over one row per feature."""
     agg = long.groupBy("feature").agg(F.avg(F.abs("value")).alias("importance"))
     w = W.partitionBy()
     out = agg.withColumn("normalised", F.col("importance") / (F.max("importance").over(w) + 1e-10))
     out = out.withColumn("rank", F.row_number().over(W.orderBy(F.col("importance").desc(), "feature")))
-    med = out.agg(F.percentile("normalised", 0.5).alias("_med"))
-    return out.join(F.broadcast(med)).withColumn("selected", F.col("normalised") >= F.col("_med")).drop("_med")
+    return out.withColumn("selected", F.col("normalised") >= F.percentile("normalised", 0.5).over(w))
 
 
 def agreement(df: DataFrame, group: str = "gene") -> DataFrame:

@@ -69,7 +69,11 @@ def auc_from_counts(counts: DataFrame, groups: Sequence[str]) -> DataFrame:
 
 def pr_metrics(df: DataFrame, groups: Sequence[str], score: str, label: str) -> DataFrame:
     """Trapezoid area under the precision-recall points and average precision."""
-    c = cumulative(score_counts(df, groups, score, label), groups)
+    return pr_from_counts(score_counts(df, groups, score, label), groups)
+
+
+def pr_from_counts(counts: DataFrame, groups: Sequence[str]) -> DataFrame:
+    c = cumulative(counts.filter(F.col("pos") + F.col("neg") > 0), groups)
     tp, fp = F.col("pos_cum"), F.col("neg_cum")
     tp0, fp0 = tp - F.col("pos"), fp - F.col("neg")
     prec = tp / (tp + fp)

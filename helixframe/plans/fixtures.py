@@ -291,9 +291,14 @@ SQL_HELPERS |= {
         "abs(length(ref) - length(alt)) % 3 <> 0 AS shift, EXISTS (SELECT 1 FROM domains d WHERE d.gene = q.gene AND q.aap BETWEEN d.start_aa AND d.end_aa) AS in_dom "
         "FROM vcf_translated q) q0) q1"),
 }
+# The same classification without de-duplication, as the stream sees the lines.
+SQL_HELPERS["vcf_translated_all"] = SQL_HELPERS["vcf_translated"].replace(
+    "(SELECT * FROM vcf_marked WHERE skip IS NULL)", "(SELECT *, bad AS skip FROM vcf_alleles)")
+SQL_HELPERS["vcf_all"] = SQL_HELPERS["vcf_classified"].replace("vcf_translated", "vcf_translated_all").replace(
+    "CASE WHEN chrom <> chromosome THEN", "CASE WHEN skip IS NOT NULL THEN skip WHEN chrom <> chromosome THEN")
 SQL_VIEWS.update(SQL_HELPERS)
 _ORDER = [*dims.TABLES, "cds_bases", *VIEWS, "domain_flags", "flag_wide", "known_path", "ev_in", "vcf_parsed", "vcf_alleles",
-          "vcf_marked", "gmap", "gbound", "gzones", "gcoding", "vcf_translated", "vcf_classified"]
+          "vcf_marked", "gmap", "gbound", "gzones", "gcoding", "vcf_translated", "vcf_classified", "vcf_translated_all", "vcf_all"]
 
 
 def _mentions(text: str) -> list[str]:
