@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from helixframe import constants as K
 from helixframe.functions import evidence
-from helixframe.operators import domains as D, lookups
+from helixframe.operators import domains as D
 
 POPULATION_COLUMNS = {"afr": "af_afr", "amr": "af_amr", "eas": "af_eas", "nfe": "af_nfe"}
 
@@ -21,8 +21,11 @@ def evidence_inputs(variants: DataFrame, genes: DataFrame, domain_table: DataFra
     out = D.add_flags(out, D.flag_ranges(domain_table, candidates))
     out = out.withColumn("critical", (F.col("in_critical_repeat_region") + F.col("in_DNA_binding")) > 0)
     out = out.withColumn("is_nonsense", F.col("aa_alt") == "Ter")
-    out = lookups.membership(out, known, ["gene", "aa_pos"], "same_position")
-    return lookups.membership(out, known, lookups.VARIANT_KEY, "same_change")
+    # one join on the position; its known changes (at most all residue pairs) travel along
+    change = F.concat("aa_ref", F.lit(">"), "aa_alt")
+    at = known.groupBy("gene", "aa_pos").agg(F.collect_set(change).alias("_known"))
+    return (out.join(at, ["gene", "aa_pos"], "left").withColumn("same_position", F.col("_known").isNotNull())
+            .withColumn("same_change", F.coalesce(F.array_contains("_known", change), F.lit(False))).drop("_known"))
 
 
 def rules_for(probability: Column, population: Column | None = None, **extra: Column) -> evidence.Rules:

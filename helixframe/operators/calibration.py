@@ -184,7 +184,7 @@ def conformal_coverage(df: DataFrame, group: str, label: str) -> DataFrame:
 
 def array_percentile(values: Column, q: float) -> Column:
     """Linear-interpolated percentile of an array column (within the row)."""
-    s = F.array_sort(values)
+    s = F.sort_array(values)
     h = (F.size(values) - 1) * F.lit(q)
     a, b = F.try_element_at(s, (F.floor(h) + 1).cast("int")), F.try_element_at(s, (F.ceil(h) + 1).cast("int"))
     return a + (b - a) * (h - F.floor(h))

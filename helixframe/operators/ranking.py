@@ -64,7 +64,7 @@ def top_contributions(values: dict[str, Column], k: int, floor: float | None = N
                         for n, v in values.items()])
     if floor is not None:
         entries = F.filter(entries, lambda e: F.abs(e["value"]) >= floor)
-    return F.transform(F.slice(F.array_sort(entries), 1, k), lambda e: F.struct(
+    return F.transform(F.slice(F.sort_array(entries), 1, k), lambda e: F.struct(
         e["feature"].alias("feature"), e["value"].alias("value"),
         F.when(e["value"] > 0, "pathogenic").otherwise("benign").alias("direction")))
 
@@ -73,7 +73,7 @@ def top_differences(values: dict[str, tuple[Column, Column]], k: int = 5, floor:
     """Top ``k`` absolute differences of named pairs, small ones dropped, with a band."""
     entries = F.array(*[F.struct((-F.abs(a - b)).alias("neg"), F.lit(n).alias("feature"))
                         for n, (a, b) in values.items()])
-    kept = F.filter(F.slice(F.array_sort(entries), 1, k), lambda e: -e["neg"] >= floor)
+    kept = F.filter(F.slice(F.sort_array(entries), 1, k), lambda e: -e["neg"] >= floor)
     return F.transform(kept, lambda e: F.struct(
         e["feature"].alias("feature"), (-e["neg"]).alias("difference"),
         F.when(-e["neg"] > 2.0, "high").when(-e["neg"] > 1.0, "moderate").otherwise("low").alias("importance")))

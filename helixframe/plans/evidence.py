@@ -47,27 +47,27 @@ def sql_count(codes, names):
     return f"CAST(len(list_intersect(string_split({codes}, ','), {names})) AS BIGINT)"
 
 
-def sql_class(source, codes="codes"):
+def sql_class(source, codes="codes", out="acmg_class"):
     """SQL relation: source.* plus acmg_class, the ladder written rule by rule."""
-    counts = ", ".join(f"{sql_count(codes, names)} AS n_{k}" for k, names in K.EVIDENCE_STRENGTH.items())
+    counts = ", ".join(f"{sql_count(codes, names)} AS {out}_{k}" for k, names in K.EVIDENCE_STRENGTH.items())
     return f"""(SELECT *, CASE
-      WHEN n_ba >= 1 THEN 'Benign' WHEN n_bs >= 2 THEN 'Benign'
-      WHEN n_bs >= 1 AND n_bp >= 1 THEN 'Likely Benign'
-      WHEN n_pvs >= 1 AND n_ps >= 1 THEN 'Pathogenic'
-      WHEN n_pvs >= 1 AND n_pm >= 2 THEN 'Pathogenic'
-      WHEN n_pvs >= 1 AND n_pm >= 1 AND n_pp >= 1 THEN 'Pathogenic'
-      WHEN n_pvs >= 1 AND n_pp >= 2 THEN 'Pathogenic'
-      WHEN n_ps >= 2 THEN 'Pathogenic'
-      WHEN n_ps >= 1 AND n_pm >= 3 THEN 'Pathogenic'
-      WHEN n_ps >= 1 AND n_pm >= 2 AND n_pp >= 2 THEN 'Pathogenic'
-      WHEN n_ps >= 1 AND n_pm >= 1 AND n_pp >= 4 THEN 'Pathogenic'
-      WHEN n_pvs >= 1 AND n_pm >= 1 THEN 'Likely Pathogenic'
-      WHEN n_ps >= 1 AND n_pm >= 1 AND n_pm <= 2 THEN 'Likely Pathogenic'
-      WHEN n_ps >= 1 AND n_pp >= 2 THEN 'Likely Pathogenic'
-      WHEN n_pm >= 3 THEN 'Likely Pathogenic'
-      WHEN n_pm >= 2 AND n_pp >= 2 THEN 'Likely Pathogenic'
-      WHEN n_pm >= 1 AND n_pp >= 4 THEN 'Likely Pathogenic'
-      ELSE 'Uncertain Significance' END AS acmg_class
+      WHEN {out}_ba >= 1 THEN 'Benign' WHEN {out}_bs >= 2 THEN 'Benign'
+      WHEN {out}_bs >= 1 AND {out}_bp >= 1 THEN 'Likely Benign'
+      WHEN {out}_pvs >= 1 AND {out}_ps >= 1 THEN 'Pathogenic'
+      WHEN {out}_pvs >= 1 AND {out}_pm >= 2 THEN 'Pathogenic'
+      WHEN {out}_pvs >= 1 AND {out}_pm >= 1 AND {out}_pp >= 1 THEN 'Pathogenic'
+      WHEN {out}_pvs >= 1 AND {out}_pp >= 2 THEN 'Pathogenic'
+      WHEN {out}_ps >= 2 THEN 'Pathogenic'
+      WHEN {out}_ps >= 1 AND {out}_pm >= 3 THEN 'Pathogenic'
+      WHEN {out}_ps >= 1 AND {out}_pm >= 2 AND {out}_pp >= 2 THEN 'Pathogenic'
+      WHEN {out}_ps >= 1 AND {out}_pm >= 1 AND {out}_pp >= 4 THEN 'Pathogenic'
+      WHEN {out}_pvs >= 1 AND {out}_pm >= 1 THEN 'Likely Pathogenic'
+      WHEN {out}_ps >= 1 AND {out}_pm >= 1 AND {out}_pm <= 2 THEN 'Likely Pathogenic'
+      WHEN {out}_ps >= 1 AND {out}_pp >= 2 THEN 'Likely Pathogenic'
+      WHEN {out}_pm >= 3 THEN 'Likely Pathogenic'
+      WHEN {out}_pm >= 2 AND {out}_pp >= 2 THEN 'Likely Pathogenic'
+      WHEN {out}_pm >= 1 AND {out}_pp >= 4 THEN 'Likely Pathogenic'
+      ELSE 'Uncertain Significance' END AS {out}
       FROM (SELECT *, {counts} FROM {source}) cnt)"""
 
 
@@ -206,10 +206,8 @@ PAIR = (f"(SELECT *, {sql_codes()} AS codes, {sql_codes(AF_POP, SPARSE)} AS pop_
 
 
 @query("acmg_population_pair", f"""
-SELECT pop, acmg_class AS global_class, pop_class, count(*) AS n FROM (
-  SELECT a.pop, a.acmg_class, b.acmg_class AS pop_class
-  FROM {sql_class(PAIR)} a JOIN {sql_class(PAIR, 'pop_codes')} b USING ({K4})) x
-GROUP BY pop, acmg_class, pop_class""")
+SELECT pop, acmg_class AS global_class, pop_class, count(*) AS n
+FROM {sql_class(sql_class(PAIR) + ' c1', 'pop_codes', 'pop_class')} c2 GROUP BY pop, acmg_class, pop_class""")
 def acmg_population_pair(spark, sf):
     e = inputs(spark, sf).withColumn("pop", F.expr(POP))
     e = (e.withColumn("codes", EV.code_list(A.rules_for(F.col("p_tree"))))

@@ -180,8 +180,22 @@ def _render(sql: str, engine: str) -> str:
     return re.sub(r"EXPLODE\[\[(.*?)\]\]", explode, sql)
 
 
+# Row keys of the tables whose derived views do heavy work per row.
+_ROW_KEYS = {"lineitem": ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), "part": ("p_partkey",)}
+
+
+_COMPUTED_ONCE = ("variants", "vcf_lines")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A supplied table. One that comes in fewer splits than there are cores (a single
+    small file) is spread by row key; a table of many splits is left as it is, so at
+    scale no shuffle is added."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in _ROW_KEYS and df.rdd.getNumPartitions() < cores:
+        df = df.repartition(cores, *_ROW_KEYS[name])
+    return df
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -196,7 +210,11 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     sources = {n: view(spark, sf_dir, n) for n in _mentions(text)}
     for n in sources:
         text = re.sub(rf"\b(FROM|JOIN) {n}\b", rf"\1 {{{n}}}", text)
-    return spark.sql(text, **sources)
+    df = spark.sql(text, **sources)
+    if name in _COMPUTED_ONCE:
+        # a one-row generator: the formulas are evaluated once per row, not once per use
+        df = df.select(F.inline(F.array(F.struct(*df.columns))))
+    return df
 
 
 def cds_bases(spark: SparkSession) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings the operators rely on; sizes (memory, partitions) belong to the cluster.
 SETTINGS = {
@@ -41,3 +41,14 @@ def shared_dir(spark: SparkSession, name: str) -> str:
             _fallback[app] = tempfile.mkdtemp(prefix="helixframe-")
         base = _fallback[app]
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate table to the shared folder and read it back.
+
+    Cuts the lineage: plans that use the table several times read files instead of
+    recomputing it, and a lost executor costs no more than a re-read.
+    """
+    path = shared_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
