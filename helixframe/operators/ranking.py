@@ -22,17 +22,6 @@ def keep_last(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column])
     return df.groupBy(*keys).agg(best).select(*keys, *[F.col(f"_last.{c}").alias(c) for c in rest])
 
 
-def flag_first(df: DataFrame, keys: Sequence[str], row_id: Sequence[str], out: str = "is_first") -> DataFrame:
-    """Mark the first row of every key. ``row_id`` is unique and gives the order.
-
-    The first ids are found by a map-side combined aggregate and joined back on
-    the unique id, so repeated keys never meet in one window partition.
-    """
-    first = (df.groupBy(*keys).agg(F.min(F.struct(*row_id)).alias("_id"))
-             .select(*[F.col(f"_id.{c}").alias(c) for c in row_id]).withColumn("_hit", F.lit(True)))
-    return df.join(first, list(row_id), "left").withColumn(out, F.col("_hit").isNotNull()).drop("_hit")
-
-
 def number_rows(df: DataFrame, group: Sequence[str], bucket: Column, order: Sequence[str | Column],
                 out: str = "row_number") -> DataFrame:
     """Row number within ``group``, counted in two levels.

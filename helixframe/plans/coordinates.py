@@ -81,23 +81,23 @@ def coding_dims(spark):
     return C.coding_table(m, bases, ["gene"]), zones
 
 
-def alleles(spark, sf):
-    parsed = V.parse_lines(view(spark, sf, "vcf_lines"))
+def alleles(spark, sf, lines=None):
+    parsed = V.parse_lines(view(spark, sf, "vcf_lines") if lines is None else lines)
     return V.explode_alleles(parsed.filter("parsed"))
 
 
-def usable(spark, sf):
+def usable(spark, sf, lines=None):
     """Alleles after de-duplication; one file per supplier, rows in key order."""
-    return V.dedup_alleles(alleles(spark, sf), ["l_suppkey"], ROW_ID)
+    return V.dedup_alleles(alleles(spark, sf, lines), ["l_suppkey"], ROW_ID)
 
 
 MISSENSE_SQL = "CAST((cdna_pos * 31 + l_partkey * 7) % 1000 AS DOUBLE) / 1000"
 ROW_ID = ["l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "allele"]
 
 
-def classified(spark, sf):
+def classified(spark, sf, lines=None):
     coding, zones = coding_dims(spark)
-    out = V.consequences(usable(spark, sf), dims.dim(spark, "genes"), dims.dim(spark, "domains"), coding, zones,
+    out = V.consequences(usable(spark, sf, lines), dims.dim(spark, "genes"), dims.dim(spark, "domains"), coding, zones,
                          dims.dim(spark, "codons"))
     return V.apply_outcomes(out, F.expr(MISSENSE_SQL))
 

@@ -187,12 +187,13 @@ def full_vector(spark, sf, keep=()):
     return FE.feature_vector(V(spark, sf), dims, annotations(), keep)
 
 
-FULL = f"""(SELECT v.*, f.in_critical_repeat_region, f.in_DNA_binding, f.in_OB_folds, f.in_NLS, f.in_primary_interaction, z.z,
+FLAG_COLS = ", ".join(f"CASE WHEN v.aa_pos BETWEEN w.s_{f} AND w.e_{f} THEN 1 ELSE 0 END AS {f}" for f in K.DOMAIN_FLAGS)
+FULL = f"""(SELECT v.*, {FLAG_COLS}, z.z,
   abs(r.volume - a.volume) AS volume_diff, abs(r.hydro - a.hydro) AS hydro_diff, r.hydro AS ref_hydro, a.hydro AS alt_hydro, a.hydro - r.hydro AS hydro_delta,
   CASE WHEN r.charge <> a.charge THEN 1 ELSE 0 END AS charge_change, CASE WHEN r.charge = 'nonpolar' AND a.charge IN ('positive', 'negative') THEN 1 ELSE 0 END AS nonpolar_to_charged,
   g.cds_length, g.aa_length, {PH.replace('aa_pos', 'v.aa_pos')} AS ph, coalesce({MAVE.replace('aa_pos', 'v.aa_pos')}, 0) AS ma, coalesce({EVE.replace('l_partkey', 'v.l_partkey').replace('p_mlp', 'v.p_mlp')}, 0) AS ev,
   greatest(v.af_afr, v.af_amr, v.af_eas, v.af_nfe) AS mx, nd.nd, nd.nn
-  FROM {VB} v JOIN ev_in f ON f.l_orderkey = v.l_orderkey AND f.l_linenumber = v.l_linenumber AND f.l_partkey = v.l_partkey AND f.l_suppkey = v.l_suppkey
+  FROM {VB} v LEFT JOIN flag_wide w ON w.gene = v.gene
   JOIN {ZONE} z ON z.gene = v.gene AND z.aa_pos = v.aa_pos JOIN genes g ON g.gene = v.gene JOIN residues r ON r.aa = v.aa_ref JOIN residues a ON a.aa = v.aa_alt
   JOIN (SELECT q.gene, q.aa_pos, count(*) FILTER (q.aa_pos BETWEEN d.start_aa AND d.end_aa) AS nn, least(min(CASE WHEN q.aa_pos BETWEEN d.start_aa AND d.end_aa THEN 0
       ELSE least(abs(q.aa_pos - d.start_aa), abs(q.aa_pos - d.end_aa)) END), max(q.aa_len)) / CAST(max(q.aa_len) AS DOUBLE) AS nd

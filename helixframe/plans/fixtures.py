@@ -225,6 +225,8 @@ def cds_bases(spark: SparkSession) -> DataFrame:
 
 
 SQL_VIEWS = {n: _render(t, "duckdb") for n, t in VIEWS.items()}
+SQL_VIEWS["vcf_lines"] = ("SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, value) AS line FROM ("
+                          + SQL_VIEWS["vcf_lines"] + ") numbered_lines")
 SQL_VIEWS.update({n: dims.sql_values(n) for n in dims.TABLES})
 SQL_VIEWS["cds_bases"] = (
     f"SELECT gene, cdna, {_BASE} AS base FROM "

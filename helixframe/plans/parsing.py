@@ -46,22 +46,20 @@ def vcf_dedup(spark, sf):
     return usable(spark, sf).select(*KEY, "allele", "skip")
 
 
-NUMBERED = """numbered AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) AS line FROM vcf_lines)"""
-SKIPS = f"""{NUMBERED}, skips AS (
-  SELECT l_suppkey, line, CAST(NULL AS BIGINT) AS pos, 0 AS allele, 'Parse error' AS reason FROM vcf_parsed JOIN numbered USING ({K4}) WHERE chrom IS NULL OR pos IS NULL
-  UNION ALL SELECT l_suppkey, line, pos, allele, skip FROM vcf_marked JOIN numbered USING ({K4}) WHERE skip IS NOT NULL
-  UNION ALL SELECT l_suppkey, line, pos, allele, reason FROM vcf_classified JOIN numbered USING ({K4}) WHERE reason IS NOT NULL)"""
+SKIPS = """skips AS (
+  SELECT l_suppkey, line, CAST(NULL AS BIGINT) AS pos, 0 AS allele, 'Parse error' AS reason FROM vcf_parsed WHERE chrom IS NULL OR pos IS NULL
+  UNION ALL SELECT l_suppkey, line, pos, allele, skip FROM vcf_marked WHERE skip IS NOT NULL
+  UNION ALL SELECT l_suppkey, line, pos, allele, reason FROM vcf_classified WHERE reason IS NOT NULL)"""
 
 
 def skipped(spark, sf):
-    """All skip rows with their line number within the file."""
-    lines = parsed(spark, sf)
-    line_no = RK.number_rows(lines.select(*KEY), ["l_suppkey"], F.floor(F.col("l_orderkey") / 5000),
-                             ["l_orderkey", "l_linenumber", "l_partkey"], "line").withColumn("line", F.col("line").cast("bigint"))
-    bad = lines.filter("NOT parsed").select(*KEY, F.lit(None).cast("bigint").alias("pos"), F.lit(0).alias("allele"),
-                                            F.lit("Parse error").alias("reason"))
-    rejected = classified(spark, sf).filter("reason IS NOT NULL").select(*KEY, "pos", "allele", "reason")
-    return bad.unionByName(rejected).join(line_no, KEY)
+    """All skip rows with their line number within the file; lines are numbered once, up front."""
+    lines = RK.number_rows(view(spark, sf, "vcf_lines"), ["l_suppkey"], F.floor(F.col("l_orderkey") / 5000),
+                           ["l_orderkey", "l_linenumber", "l_partkey", "value"], "line").withColumn("line", F.col("line").cast("bigint"))
+    bad = V.parse_lines(lines).filter("NOT parsed").select("l_suppkey", "line", F.lit(None).cast("bigint").alias("pos"), F.lit(0).alias("allele"),
+                                                           F.lit("Parse error").alias("reason"))
+    rejected = classified(spark, sf, lines).filter("reason IS NOT NULL").select("l_suppkey", "line", "pos", "allele", "reason")
+    return bad.unionByName(rejected)
 
 
 @query("vcf_skip_report", f"""WITH {SKIPS}
