@@ -209,9 +209,6 @@ def cross_id_row_align(spark, sf):
     return out.select("vec_id", "extra_0", "extra_1", "has_extra")
 
 
-CF = "[CAST(aa_pos AS DOUBLE) / 100, CAST(cdna_pos % 97 AS DOUBLE) / 10, p_tree * 4]"
-
-
 @query("contrastive_neighbour", f"""
 WITH t AS (SELECT DISTINCT gene, label, aa_pos / 100.0::DOUBLE AS a, (cdna_pos % 97) / 10.0::DOUBLE AS b, p_tree * 4 AS c FROM variants WHERE split = 'train'),
 q AS (SELECT DISTINCT gene, CASE WHEN p_tree > 0.5::DOUBLE THEN 1 ELSE 0 END AS side, aa_pos / 100.0::DOUBLE AS a, (cdna_pos % 97) / 10.0::DOUBLE AS b, p_tree * 4 AS c FROM variants WHERE split = 'test')
@@ -239,9 +236,6 @@ def residue_density(spark, sf):
     return out.select("structure", "resnum", "density", F.round("rsa", 3).alias("rsa"))
 
 
-FRAG = """SELECT structure, unnest([0, 1]) AS fragment, resnum, x, plddt FROM residue_xyz"""
-
-
 @query("residue_fragment_union", """
 WITH f AS (SELECT structure, 0 AS fragment, resnum, x, plddt FROM residue_xyz WHERE resnum <= 250
   UNION ALL SELECT structure, 1, resnum, x + 1, plddt / 2 FROM residue_xyz WHERE resnum > 150)
