@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from helixframe.llm import decontaminate, mixing, quality_rules
+from helixframe.llm import decontaminate, mixing, quality_rules, token_output
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -42,3 +42,9 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op9_decontaminate"] = decontaminate.ORACLE
+
+
+@query
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Position, length and checksum of every document's ids, read back from the files."""
+    return token_output.round_trip(table(spark, sf_dir, "documents"))
