@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from helixframe.llm import decontaminate, mixing, quality_rules, token_output
+from helixframe.llm import decontaminate, mixing, ngram_join, quality_rules, token_output
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -48,3 +48,9 @@ ORACLES["op9_decontaminate"] = decontaminate.ORACLE
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Position, length and checksum of every document's ids, read back from the files."""
     return token_output.round_trip(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Similarity component of every document."""
+    return ngram_join.similar_groups(table(spark, sf_dir, "documents"))
