@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from helixframe.llm import quality_rules
+from helixframe.llm import decontaminate, mixing, ngram_join, quality_rules, token_output
 from helixframe.session import materialise
 
 
@@ -13,7 +13,29 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality_rules.apply(docs)
 
 
-STAGES = [("quality rules", keep_quality)]
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of similar documents."""
+    return ngram_join.apply(docs)
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item go."""
+    return decontaminate.apply(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its source's target takes it."""
+    return mixing.apply(docs)
+
+
+def write_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of the mixture in files; returns what they hold of each document."""
+    return token_output.round_trip(docs)
+
+
+STAGES = [("quality rules", keep_quality), ("n-gram Jaccard join", keep_one_of_each), ("benchmark decontamination", drop_benchmark),
+          ("mixing sources", mix), ("token ids", write_ids)]
+# Tokenisation and random draws are beyond SQL; tests/llm compares the stages with brute force.
 ORACLE_SQL = None
 
 

@@ -223,8 +223,16 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def apply(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
-    """One document of each group (the smallest id), in the input's columns; rows of that id count once."""
-    keep = similar_groups(docs, id_col, text_col, **params).filter(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")))
-    keep = keep.select(F.col("doc_id").alias("_keep")).distinct()
-    kept = docs.join(keep, F.col(id_col).eqNullSafe(F.col("_keep"))).drop("_keep")
-    return kept.withColumn("_copy", F.coalesce(F.col(id_col), F.xxhash64(text_col))).dropDuplicates(["_copy"]).select(*docs.columns)
+    """One document of each group (the smallest id), in the input's columns.
+
+    Of rows with one id one stays; rows without an id cannot be told apart and stay.
+    """
+    groups = similar_groups(docs, id_col, text_col, **params)
+    groups = materialise(groups, "join-groups")
+    losers = materialise(groups.filter("doc_id != component_id").select(F.col("doc_id").alias("_lost")).distinct(), "join-losers")
+    kept = docs.join(losers, F.col(id_col) == F.col("_lost"), "left_anti")
+    again = materialise(groups.filter("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias("_again")), "join-again")
+    if not again.limit(1).count():
+        return kept
+    once = kept.join(again, F.col(id_col) == F.col("_again"), "left_semi").dropDuplicates([id_col])
+    return kept.join(again, F.col(id_col) == F.col("_again"), "left_anti").unionByName(once)
