@@ -25,47 +25,63 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+class _Numbers(dict):
+    """piece -> number; unknown pieces get the next one and wait to be encoded."""
+
+    def __init__(self) -> None:
+        self.waiting: list[str] = []
+        self.used = 1
+
+    def __missing__(self, piece: str) -> int:
+        n = self[piece] = self.used
+        self.used += 1
+        self.waiting.append(piece)
+        return n
+
+
 class Pieces:
-    """Piece number -> ids; remembered by the Python worker while below ``limit`` pieces."""
+    """Piece number -> ids; the Python worker remembers the first ``limit`` pieces it meets."""
 
-    limit = 500_000
+    limit = 600_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.encoder = Tokenizer.from_file(path)
         self.size = self.encoder.get_vocab_size()
-        self.reset()
-
-    def reset(self) -> None:
-        self.index: dict[str, int] = {}
+        self.index = _Numbers()
         self.flat, self.ends = array("I", [END]), array("q", [0, 1])  # piece 0 is the end mark
-        self._tables()
-
-    def _tables(self) -> None:
+        self.passing: list[str] = []
+
+    def _encode_waiting(self) -> None:
+        new = self.index.waiting
+        for e in self.encoder.encode_batch_fast(new, add_special_tokens=False):
+            self.flat.extend(e.ids)
+            self.ends.append(len(self.flat))
+        self.passing = new[max(0, len(new) - max(0, len(self.ends) - 1 - self.limit)):]
+        self.index.waiting = []
         self.ids, ends = np.array(self.flat, np.uint32), np.array(self.ends, np.int64)
         self.starts, self.lengths = ends[:-1], np.diff(ends)
 
+    def _forget_passing(self) -> None:
+        for piece in self.passing:
+            del self.index[piece]
+        self.index.used -= len(self.passing)
+        del self.ends[self.index.used + 1:]
+        del self.flat[self.ends[-1]:]
+        self.passing = []
+
     def numbers(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Piece numbers of all texts, each closed by the end mark, and how many each text has."""
+        """Piece numbers of all texts, each closed by the end mark, and how many each text has; good until the next call."""
+        self._forget_passing()
         split = [[] if not t else [t] if ODD.search(t) else PIECE.findall(t) for t in texts]
-        new = set().union(*split).difference(self.index)
-        if new:
-            if len(self.index) + len(new) > self.limit:
-                self.reset()
-                new = set().union(*split)
-            new = list(new)
-            for piece, e in zip(new, self.encoder.encode_batch_fast(new, add_special_tokens=False)):
-                self.index[piece] = len(self.ends) - 1
-                self.flat.extend(e.ids)
-                self.ends.append(len(self.flat))
-            self._tables()
         counts = np.array([len(s) + 1 for s in split], np.int64)
         out = np.zeros(int(counts.sum()), np.int64)
         at = 0
         for s in split:
             out[at:at + len(s)] = np.fromiter(map(self.index.__getitem__, s), np.int64, len(s))
             at += len(s) + 1
+        self._encode_waiting()
         return out, counts
 
     def expand(self, numbers: np.ndarray) -> np.ndarray:

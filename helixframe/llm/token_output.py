@@ -1,9 +1,9 @@
 """Token ids of whole documents in files of range-coded blocks, and back.
 
-``write`` counts ids over all texts, fits one shared frequency table, range-partitions
-the documents by id and writes one file per partition. A file is a run of segments
-(whole documents, some AT_ONCE blocks each) and a footer with the directory of segments;
-a segment is its documents' ids and lengths, then its blocks. ``read`` decodes
+``write`` range-partitions the documents by id and writes one file per partition. A file
+is a run of segments (whole documents, some AT_ONCE blocks each) and a footer with the
+directory of segments; a segment is its documents' ids and lengths, the static frequency
+table that its blocks share, counted over all its ids, and the blocks. ``read`` decodes
 segments in parallel. Only a file's name and totals reach the driver.
 
 A null text is an empty one; null ids come first; rows with equal ids are ordered by
@@ -34,37 +34,10 @@ SEGMENT = rans.BLOCK * rans.AT_ONCE
 NO_ID = -(1 << 63)
 
 
-def count_ids(docs: DataFrame, text_col: str, tokenizer: str | None) -> DataFrame:
-    """id, n over all texts with their end marks; each task sends one row per id at most."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = pieces(tokenizer)
-        total = np.zeros(p.size, np.int64)
-        for batch in batches:
-            texts = batch["text"].to_pylist()
-            for part in small_batches(texts):
-                numbers, _ = p.numbers(texts[part])
-                uses = np.bincount(numbers, minlength=len(p.lengths))
-                total += np.bincount(p.ids, np.repeat(uses, p.lengths), p.size).astype(np.int64)
-        ids = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total[ids])], ["id", "n"])
-    counted = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "id long, n long")
-    return counted.groupBy("id").agg(F.sum("n").alias("n"))
-
-
 def write(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
     """Write the files; returns part, path, n_ids, n_docs of each, in order of part."""
-    spark = docs.sparkSession
-    counts = np.zeros(0, np.int64)
-    for r in count_ids(docs, text_col, tokenizer).collect():  # one row per id of the vocabulary
-        if r["id"] >= len(counts):
-            counts = np.concatenate([counts, np.zeros(r["id"] + 1 - len(counts), np.int64)])
-        counts[r["id"]] = r["n"]
-    packed = rans.Table.fit(counts if len(counts) else np.zeros(1)).pack()
-    with files.create(f"{folder}/table.bin") as out:
-        out.write(packed)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, table = pieces(tokenizer), rans.Table.unpack(packed)
+        p = pieces(tokenizer)
         part = TaskContext.get().partitionId()
         path = f"{folder}/part-{part:06d}-{uuid.uuid4().hex[:8]}.rans"
         out, segments, held, ids, lengths, position = None, [], [], [], [], 0
@@ -72,8 +45,9 @@ def write(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str =
         def flush() -> None:
             nonlocal position, held, ids, lengths
             values = np.concatenate(held)
-            head = zlib.compress(np.array(ids, "<i8").tobytes() + np.array(lengths, "<i8").tobytes(), 1)
-            body = b"".join([struct.pack("<IQ", len(ids), len(head)), head, *rans.encode(table, values)])
+            table = rans.Table.fit(np.bincount(values, minlength=p.size))
+            head, packed = zlib.compress(np.array(ids, "<i8").tobytes() + np.array(lengths, "<i8").tobytes(), 1), table.pack()
+            body = b"".join([struct.pack("<III", len(ids), len(head), len(packed)), head, packed, *rans.encode(table, values)])
             out.write(body)
             segments.append({"offset": position, "bytes": len(body), "n_ids": len(values), "n_docs": len(ids)})
             position += len(body)
@@ -117,15 +91,16 @@ def directory(path: str) -> list[dict]:
     return json.loads(zlib.decompress(files.read_range(path, size - struct.calcsize(FOOT) - length, length)))
 
 
-def segment(path: str, offset: int, length: int, table: rans.Table, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def segment(path: str, offset: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Document ids, their numbers of token ids, and all token ids of one segment."""
     data = files.read_range(path, offset, length)
-    n, head = struct.unpack_from("<IQ", data)
+    n, head, packed = struct.unpack_from("<III", data)
     both = np.frombuffer(zlib.decompress(data[12:12 + head]), "<i8")
-    return both[:n], both[n:], rans.decode(table, symbols, data[12 + head:])
+    table = rans.Table.unpack(data[12 + head:12 + head + packed])
+    return both[:n], both[n:], rans.decode(table, table.symbols(), data[12 + head + packed:])
 
 
-def read(spark: SparkSession, folder: str, written: DataFrame) -> DataFrame:
+def read(spark: SparkSession, written: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, decoded from the files."""
     starts, at = [], 0
     for r in written.select("path", "n_ids").collect():  # one row per file
@@ -142,12 +117,9 @@ def read(spark: SparkSession, folder: str, written: DataFrame) -> DataFrame:
                                                  ["path", "offset", "bytes", "start"])
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, path = files.split(f"{folder}/table.bin")
-        table = rans.Table.unpack(system.open_input_file(path).read())
-        symbols = table.symbols()
         for batch in batches:
             for path, offset, length, start in zip(*[batch[c].to_pylist() for c in ("path", "offset", "bytes", "start")]):
-                keys, lengths, ids = segment(path, offset, length, table, symbols)
+                keys, lengths, ids = segment(path, offset, length)
                 ends = np.cumsum(lengths)
                 view = memoryview(ids.astype("<u4").tobytes())
                 crc = [zlib.crc32(view[4 * (e - n):4 * e]) for e, n in zip(ends.tolist(), lengths.tolist())]
@@ -165,4 +137,4 @@ def read(spark: SparkSession, folder: str, written: DataFrame) -> DataFrame:
 
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, folder: str | None = None) -> DataFrame:
     folder = folder or shared_dir(docs.sparkSession, "token-ids")
-    return read(docs.sparkSession, folder, write(docs, folder, id_col, text_col, tokenizer))
+    return read(docs.sparkSession, write(docs, folder, id_col, text_col, tokenizer))
