@@ -24,8 +24,8 @@ CHUNK = 8 << 20
 PACK = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())),
                   ("classes", pa.list_(pa.binary())), ("body", pa.binary())])
 PACK_DDL = "chunk long, bucket int, ids array<long>, sizes array<long>, classes array<binary>, body binary"
-# keys of a chunk's texts: (hashes, payload arrays of the same length) and, by text, a size and a class
-KeysOf = Callable[[list[bytes]], tuple[np.ndarray, list[np.ndarray], list[int] | None, list[bytes] | None]]
+# From a chunk's texts and given numbers: (bucket, body) of its keys and, by text, a size and a class.
+KeysOf = Callable[[list[bytes], list[int | None]], tuple[list[tuple[int, bytes]], list[int] | None, list[bytes] | None]]
 
 
 def bucket_count(spark: SparkSession) -> int:
@@ -68,6 +68,14 @@ def unpack_texts(body: bytes) -> list[bytes]:
     return [data[e - n:e] for e, n in zip(ends, lengths.tolist())]
 
 
+def by_bucket(to: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Positions of each bucket that occurs, in their order."""
+    order = np.argsort(to, kind="stable")
+    cuts = np.searchsorted(to[order], np.arange(buckets + 1))
+    for b in np.flatnonzero(np.diff(cuts)):
+        yield int(b), order[cuts[b]:cuts[b + 1]]
+
+
 def _row(chunk: int, bucket: int, ids, sizes, classes, body: bytes) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([bucket], pa.int32()), pa.array([ids], pa.list_(pa.int64())),
                                        pa.array([sizes], pa.list_(pa.int64())), pa.array([classes], pa.list_(pa.binary())),
@@ -80,8 +88,6 @@ def pack(docs: DataFrame, keys_of: KeysOf | None, id_col: str = "doc_id", text_c
 
     ``extra``: a number per row that becomes ``sizes`` when the keys give none.
     """
-    buckets = bucket_count(docs.sparkSession)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, number = TaskContext.get().partitionId() << 32, 0
         ids, texts, given, held = [], [], [], 0
@@ -90,15 +96,10 @@ def pack(docs: DataFrame, keys_of: KeysOf | None, id_col: str = "doc_id", text_c
             chunk = base | number
             sizes, classes = given, None
             if keys_of is not None:
-                hashes, payload, own, classes = keys_of(texts)
+                keys, own, classes = keys_of(texts, given)
                 sizes = own if own is not None else given
-                to, prints = place(hashes, buckets)
-                order = np.argsort(to, kind="stable")
-                cuts = np.searchsorted(to[order], np.arange(buckets + 1))
-                prints, payload = prints[order], [p[order] for p in payload]
-                for b in np.flatnonzero(np.diff(cuts)):
-                    s = slice(cuts[b], cuts[b + 1])
-                    yield _row(chunk, int(b), None, None, None, dump(prints[s], *[p[s] for p in payload]))
+                for b, body in keys:
+                    yield _row(chunk, b, None, None, None, body)
             yield _row(chunk, -1, ids, sizes, classes, pack_texts(texts))
 
         for batch in batches:

@@ -109,11 +109,12 @@ def class_of(tokens: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(tokens.tobytes())
 
 
-def _keys(k: int, percent: int):
-    def keys_of(texts: list[bytes]):
+def _keys(k: int, percent: int, buckets: int):
+    def keys_of(texts: list[bytes], _):
         sets = [set_of(t, k) for t in texts]
         keys = [s[:stored(s, percent)] for s in sets if len(s)]
-        return np.concatenate(keys) if keys else np.empty(0, np.uint64), [], [len(s) for s in sets], [class_of(s) for s in sets]
+        to, prints = chunks.place(np.concatenate(keys) if keys else np.empty(0, np.uint64), buckets)
+        return [(b, chunks.dump(prints[at])) for b, at in chunks.by_bucket(to, buckets)], [len(s) for s in sets], [class_of(s) for s in sets]
     return keys_of
 
 
@@ -181,10 +182,10 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
-    spark = docs.sparkSession
-    packs = chunks.pack(docs, _keys(k, percent), id_col, text_col, "join-packs")
+    buckets = chunks.bucket_count(docs.sparkSession)
+    packs = chunks.pack(docs, _keys(k, percent, buckets), id_col, text_col, "join-packs")
     heard = chunks.answer(chunks.keys_in(packs), ["bucket"], _frequencies, "chunk long, bucket int, body binary")
-    own = chunks.rejoin(packs, heard, _signatures(k, percent, chunks.bucket_count(spark)), "class binary, n long, signatures array<long>, tokens array<long>")
+    own = chunks.rejoin(packs, heard, _signatures(k, percent, buckets), "class binary, n long, signatures array<long>, tokens array<long>")
     own = materialise(own, "join-signatures")
     sets = own.select("class", "tokens").dropDuplicates(["class"])
     rows = own.select("class", "n", F.explode("signatures").alias("sig"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from helixframe.llm import classifier, decontaminate, line_dedup, mixing, ngram_join, quality_rules, token_output, warc
+from helixframe.llm import classifier, decontaminate, line_dedup, mixing, ngram_join, ppm, quality_rules, token_output, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -73,3 +73,9 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that every document loses to earlier ones, and a digest of what is left."""
     out = line_dedup.apply(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+@query
+def op6_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and model log-probability of every document."""
+    return ppm.score_texts(table(spark, sf_dir, "documents"))
