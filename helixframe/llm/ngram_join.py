@@ -12,7 +12,8 @@ reach into frequent tokens are extended. Tokens of one document are never sent.
 Equal sets are one class throughout; signatures, links and components join classes.
 Candidates of a signature are first paired with its smallest class (a star), verified
 on whole sets and merged into components; what a signature still has in different
-components is then paired in full, so that no link between components is lost.
+components is then paired in full, where sizes, places and bitmaps of the sets allow
+the overlap, and verified, so that no link between components is lost.
 
 Null or empty texts have an empty set and link with nothing; null ids take part and
 are no component's id unless all are null; repeated rows give repeated results; an
@@ -24,7 +25,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from helixframe.llm import chunks
 from helixframe.llm.components import components
@@ -34,6 +35,7 @@ from helixframe.session import materialise
 SHARE = 0.3
 LIMIT = np.uint64(int(SHARE * 2 ** 64))
 FREQUENT = 10  # log2 of the document frequency
+BITS = 2048  # slots of a set's bitmap
 SINGLES_BELOW = 6  # log2 of the set size below which all tokens are single signatures
 
 
@@ -69,14 +71,18 @@ def stored(tokens: np.ndarray, percent: int) -> np.ndarray:
     return min(n, low + max(0, want - worst))
 
 
-def signatures(tokens: np.ndarray, shared: np.ndarray, frequency: np.ndarray, percent: int) -> np.ndarray:
-    """Signatures of a set; ``shared`` and ``frequency`` (log2) tell of its first stored tokens."""
+def signatures(tokens: np.ndarray, shared: np.ndarray, frequency: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of a set and their places; ``shared`` and ``frequency`` (log2) tell of its first stored tokens.
+
+    The place is the token's rank in the set's order, 0 for combinations: if a signature is
+    the first that two sets share, none of the tokens before it is common to both.
+    """
     n, k = len(tokens), len(shared)
     tokens = tokens[:k]
     high = tokens >= LIMIT
     order = np.lexsort((tokens, np.where(high, 0, frequency), high))
     t, s, f = tokens[order], shared[order], np.where(high, 0, frequency)[order]
-    want, out = need(n, percent), []
+    want, out, places = need(n, percent), [], []
     plain = None
     for level in levels(n, percent):
         combined = (f >= FREQUENT) & (level >= SINGLES_BELOW)
@@ -90,15 +96,25 @@ def signatures(tokens: np.ndarray, shared: np.ndarray, frequency: np.ndarray, pe
         stop = int(np.searchsorted(np.cumsum(counts), want)) + 1
         single = np.flatnonzero(~combined[:stop] & s[:stop])
         out.append(mix(t[single]))
+        places.append(single)
         inside = where < stop
         for q in np.unique(p[inside]):
             own = t[where[inside & (p == q)]]
             a, b = np.triu_indices(len(own), 1)
             lo, hi = np.minimum(own[a], own[b]), np.maximum(own[a], own[b])
             out.append(mix(lo * np.uint64(0x9E3779B97F4A7C15) + hi + np.uint64(level)))
+            places.append(np.zeros(len(lo), np.int64))
         if not combined[:stop].any():
             plain = True
-    return np.unique(np.concatenate(out)) if out else np.empty(0, np.uint64)
+    found, first = np.unique(np.concatenate(out), return_index=True)
+    return found, np.concatenate(places)[first]
+
+
+def bitmap(tokens: np.ndarray) -> np.ndarray:
+    """Which of BITS hash slots the set occupies, as 64-bit words."""
+    used = np.zeros(BITS, bool)
+    used[(tokens & np.uint64(BITS - 1)).astype(np.int64)] = True
+    return np.packbits(used).view(np.int64)
 
 
 def set_of(text: bytes, k: int) -> np.ndarray:
@@ -142,7 +158,7 @@ def _signatures(k: int, percent: int, buckets: int):
         keys, logs = np.concatenate(keys or [np.empty(0, np.uint64)]), np.concatenate(logs or [np.empty(0, np.uint8)])
         order = np.argsort(keys)
         keys, logs = np.append(keys[order], np.uint64(2 ** 64 - 1)), np.append(logs[order], 0)
-        seen, found, owners, sizes, tokens = set(), [], [], [], []
+        seen, found, places, owners, sizes, tokens, bits = set(), [], [], [], [], [], []
         for body in texts["body"].to_pylist():
             for text in chunks.unpack_texts(body):
                 s = set_of(text, k)
@@ -156,14 +172,16 @@ def _signatures(k: int, percent: int, buckets: int):
                 shared = keys[at] == wanted
                 if not shared.any():
                     continue
-                sig = signatures(s, shared, np.where(shared, logs[at], 0), percent)
+                sig, place = signatures(s, shared, np.where(shared, logs[at], 0), percent)
                 if len(sig):
                     owners.append(name)
                     found.append(sig.view(np.int64))
+                    places.append(place.astype(np.int32))
+                    bits.append(bitmap(s))
                     sizes.append(len(s))
                     tokens.append(s.view(np.int64))
-        return pa.table([pa.array(owners, pa.binary()), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(pa.int64())), pa.array(tokens, pa.list_(pa.int64()))],
-                        names=["class", "n", "signatures", "tokens"])
+        return pa.table([pa.array(owners, pa.binary()), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32())),
+                         pa.array(tokens, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], names=["class", "n", "signatures", "places", "tokens", "bits"])
     return run
 
 
@@ -171,6 +189,17 @@ def _fits(a: str, b: str, percent: int):
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
+def _may_overlap(percent: int) -> Column:
+    """Bounds on the overlap of sets x and y: by the places of a first shared signature, then by slots only one side occupies."""
+    wanted = percent * (F.col("n_x") + F.col("n_y"))
+    def enough(overlap: Column) -> Column:
+        return overlap * (100 + percent) >= wanted
+    def alone(a: str, b: str) -> Column:
+        return F.aggregate(F.zip_with(a, b, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda s, v: s + v)
+    return (enough(F.least(F.col("n_x") - F.col("place_x"), F.col("n_y") - F.col("place_y")))
+            & enough(F.least(F.col("n_x") - alone("bits_x", "bits_y"), F.col("n_y") - alone("bits_y", "bits_x"))))
+
+
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of classes whose sets are similar enough."""
     def side(x: str) -> DataFrame:
@@ -185,28 +214,29 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     buckets = chunks.bucket_count(docs.sparkSession)
     packs = chunks.pack(docs, _keys(k, percent, buckets), id_col, text_col, "join-packs")
     heard = chunks.answer(chunks.keys_in(packs), ["bucket"], _frequencies, "chunk long, bucket int, body binary")
-    own = chunks.rejoin(packs, heard, _signatures(k, percent, buckets), "class binary, n long, signatures array<long>, tokens array<long>")
+    own = chunks.rejoin(packs, heard, _signatures(k, percent, buckets), "class binary, n long, signatures array<long>, places array<int>, tokens array<long>, bits array<long>")
     own = materialise(own, "join-signatures")
     sets = own.select("class", "tokens").dropDuplicates(["class"])
-    rows = own.select("class", "n", F.explode("signatures").alias("sig"))
+    rows = own.select("class", "n", F.explode(F.arrays_zip("signatures", "places")).alias("s")).select("class", "n", F.col("s.signatures").alias("sig"), F.col("s.places").alias("place"))
 
     # Star: every class of a signature with the smallest one.
     ends = rows.groupBy("sig").agg(F.min(F.struct("class", "n")).alias("lo"), F.max("class").alias("hi")).filter(F.col("lo.class") != F.col("hi"))
     lists = materialise(ends.select("sig", F.col("lo.class").alias("a"), F.col("lo.n").alias("n_a")), "join-lists")
-    members = materialise(rows.join(lists, "sig").select("sig", F.col("class").alias("b"), "n", "a", "n_a").distinct(), "join-members")
+    members = materialise(rows.join(lists, "sig").select("sig", "place", F.col("class").alias("b"), "n", "a", "n_a").distinct(), "join-members")
     tried = materialise(members.filter("a != b").filter(_fits("n", "n_a", percent)).select("a", "b").distinct(), "join-stars")
     needed = tried.select(F.col("a").alias("class")).union(tried.select(F.col("b").alias("class"))).distinct()
     links = materialise(_verify(tried, sets.join(needed, "class", "left_semi"), percent), "join-links")
     roots = materialise(components(links), "join-roots")
 
     # What is left: members outside the main component of a signature, with all members of other components.
-    at = members.select("sig", "b", "n").join(roots, F.col("b") == F.col("node"), "left").select("sig", "b", "n", F.coalesce("root", "b").alias("root"))
+    at = members.select("sig", "place", "b", "n").join(roots, F.col("b") == F.col("node"), "left").select("sig", "place", "b", "n", F.coalesce("root", "b").alias("root"))
     main = at.groupBy("sig", "root").agg(F.count(F.lit(1)).alias("m")).groupBy("sig").agg(F.max_by("root", "m").alias("main"), F.count(F.lit(1)).alias("roots"))
-    open_lists = at.join(main.filter("roots > 1").select("sig", "main"), "sig")
-    open_lists = materialise(open_lists, "join-open")
-    left = open_lists.filter("root != main").select("sig", F.col("b").alias("x"), F.col("n").alias("n_x"), F.col("root").alias("root_x"))
-    right = open_lists.select("sig", F.col("b").alias("y"), F.col("n").alias("n_y"), F.col("root").alias("root_y"), "main")
-    more = (left.join(right, "sig").filter("root_x != root_y and (root_y = main or x < y)").filter(_fits("n_x", "n_y", percent))
+    maps = own.select(F.col("class").alias("b"), "bits").dropDuplicates(["b"])
+    open_lists = materialise(at.join(main.filter("roots > 1").select("sig", "main"), "sig").join(maps, "b"), "join-open")
+    def side(df: DataFrame, x: str) -> DataFrame:
+        return df.select("sig", F.col("b").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "place", "root", "bits")], *(["main"] if x == "y" else []))
+    apart = F.expr("root_x != root_y and (root_y = main or x < y)")
+    more = (side(open_lists.filter("root != main"), "x").join(side(open_lists, "y"), "sig").filter(apart & _fits("n_x", "n_y", percent) & _may_overlap(percent))
             .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     more = materialise(more.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "join-rest")
     needed = more.select(F.col("a").alias("class")).union(more.select(F.col("b").alias("class"))).distinct()
