@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from helixframe.llm import classifier, decontaminate, line_dedup, mixing, ngram_join, ppm, quality_rules, token_output, warc
+from helixframe.llm import classifier, decontaminate, line_dedup, mixing, ngram_join, ppm, quality_rules, suffix_dedup, token_output, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -79,3 +79,9 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base and model log-probability of every document."""
     return ppm.score_texts(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes that every document loses because 200 bytes around them occur elsewhere."""
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), keep_text=False).drop("kept")
