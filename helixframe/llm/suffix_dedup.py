@@ -170,14 +170,15 @@ class RunLengthIndex:
             behind[:max(0, n - width)] = rank[width:] + 1
             key = rank.astype(np.uint64) * np.uint64(n + 1) + behind.astype(np.uint64)
             width *= 2
-        self.n, self._ranks = n, ranks
+        self.n, self._ranks, self._data = n, ranks, data
         last = data[order - 1]  # the transform
+        last[order == 0] = 999  # nothing stands before the text, so that place is a run of its own
         cut = np.flatnonzero(np.diff(last.astype(np.int32)) != 0) + 1
         heads, tails = np.append(0, cut), np.append(cut - 1, n - 1)
         self.runs = len(heads)
         self.head_at, self.head_prefix = self._samples(order, heads, -1)
         self.tail_at, self.tail_prefix = self._samples(order, tails, 1)
-        del self._ranks
+        del self._ranks, self._data
 
     def _samples(self, order: np.ndarray, places: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
         """Text positions at the given places of the order, sorted, and their common prefix with the neighbour."""
@@ -190,7 +191,8 @@ class RunLengthIndex:
 
     def _common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         length = np.zeros(len(a), np.int64)
-        for width, rank in reversed(self._ranks):
+        singles = [(1, self._data)] * (SYMBOLS - 1)
+        for width, rank in [*reversed(self._ranks), *singles]:
             inside = (a + length < self.n) & (b + length < self.n)
             same = np.zeros(len(a), bool)
             same[inside] = rank[(a + length)[inside]] == rank[(b + length)[inside]]
