@@ -97,7 +97,7 @@ def segment(path: str, offset: int, length: int) -> tuple[np.ndarray, np.ndarray
     n, head, packed = struct.unpack_from("<III", data)
     both = np.frombuffer(zlib.decompress(data[12:12 + head]), "<i8")
     table = rans.Table.unpack(data[12 + head:12 + head + packed])
-    return both[:n], both[n:], rans.decode(table, table.symbols(), data[12 + head + packed:])
+    return both[:n], both[n:], rans.decode(table, data[12 + head + packed:])
 
 
 def read(spark: SparkSession, written: DataFrame) -> DataFrame:
