@@ -41,7 +41,7 @@ def squeeze(values: np.ndarray, *more: np.ndarray) -> bytes:
     """Sorted 64-bit values as differences, and columns beside them, compressed."""
     steps = np.diff(values, prepend=np.uint64(0)).astype("<u8")
     planes = np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T)
-    body = planes.tobytes() + b"".join(np.ascontiguousarray(m.view(np.uint8).reshape(len(values), -1).T).tobytes() for m in more)
+    body = planes.tobytes() + b"".join(np.ascontiguousarray(m.view(np.uint8).reshape(len(values), m.itemsize).T).tobytes() for m in more)
     return np.array([len(values)], "<u4").tobytes() + zstandard.ZstdCompressor(level=1).compress(body)
 
 
