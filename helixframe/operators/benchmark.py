@@ -31,7 +31,7 @@ def compare_predictors(long: DataFrame, lower_is_pathogenic: Sequence[str] = (),
     return (cover.filter(F.col("n_scored") >= min_scored)
             .withColumn("coverage", 100.0 * F.col("n_scored") / F.col("_total")).drop("_total")
             .join(M.auc_from_counts(counts, key).filter(F.col("roc_auc").isNotNull()).select(*key, "roc_auc"), key)
-            .join(M.pr_metrics(o, key, "score", "label").select(*key, "pr_auc"), key).join(cut, key))
+            .join(M.pr_from_counts(counts, key).select(*key, "pr_auc"), key).join(cut, key))
 
 
 def predictors_by_group(long: DataFrame, group: str, lower_is_pathogenic: Sequence[str] = (), min_class: int = 5) -> DataFrame:

@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 
 from helixframe import constants as K
 from helixframe.operators import metrics as M
+from helixframe.session import materialise
 
-PAV_SLICES = 64
 WEIGHT_STEPS = 20
 
 
@@ -77,7 +77,7 @@ def isotonic_fit(df: DataFrame, group: str, score: str, label: str, min_rows: in
     """Isotonic blocks (lo, hi, weight, mean) per group, and a universal fit over all rows.
 
     Rows pool to distinct scores; adjacent violators merge first inside slices of
-    the score range, then across slices. Merging is associative, so the result is
+    the group's scores, then across slices. Merging is associative, so the result is
     the exact fit while no task reads more than a slice or the remaining blocks.
     Groups with too few rows or labels have no own fit.
     """
@@ -87,7 +87,8 @@ def isotonic_fit(df: DataFrame, group: str, score: str, label: str, min_rows: in
         (F.col("_w") >= min_rows) & (F.col("_np") >= min_class) & (F.col("_w") - F.col("_np") >= min_class)).select(group)
     every = pooled.groupBy("lo").agg(F.sum("weight").alias("weight"), F.sum("_s").alias("_s")).withColumn(group, F.lit(fallback))
     points = (pooled.join(enough, group, "left_semi").select(group, "lo", "weight", "_s").unionByName(every.select(group, "lo", "weight", "_s"))
-              .select(group, F.floor(F.col("lo") * PAV_SLICES).alias("_slice"), "lo", F.col("lo").alias("hi"), "weight", (F.col("_s") / F.col("weight")).alias("mean")))
+              .select(group, "lo", F.col("lo").alias("hi"), "weight", (F.col("_s") / F.col("weight")).alias("mean")))
+    points = M.with_slices(points, [group], "lo").select(group, "_slice", "lo", "hi", "weight", "mean")
     schema = f"`{group}` string, lo double, hi double, weight double, mean double"
 
     def merge(key, pdf):
@@ -96,7 +97,7 @@ def isotonic_fit(df: DataFrame, group: str, score: str, label: str, min_rows: in
         return out
 
     blocks = points.groupBy(group, "_slice").applyInPandas(merge, schema)
-    return blocks.groupBy(group).applyInPandas(merge, schema)
+    return materialise(blocks.groupBy(group).applyInPandas(merge, schema), "isotonic")  # used several times, pooled once
 
 
 def isotonic_segments(blocks: DataFrame, group: str) -> DataFrame:
@@ -110,27 +111,30 @@ def isotonic_segments(blocks: DataFrame, group: str) -> DataFrame:
             .withColumn("is_first", F.lag("x0").over(w).isNull()))
 
 
-def isotonic_apply(df: DataFrame, blocks: DataFrame, group: str, score: str, out: str = "calibrated", fallback: str = "_universal",
-                   slices: int = PAV_SLICES) -> DataFrame:
+def isotonic_apply(df: DataFrame, blocks: DataFrame, group: str, score: str, out: str = "calibrated", fallback: str = "_universal") -> DataFrame:
     """Calibrated score by linear interpolation, clipped outside the fitted range.
 
-    Distinct scores meet the segments by slice of the score range (an equi-join),
-    then the values return to the rows by key; groups without a fit use the universal one.
+    Distinct scores and segments are one table; each score takes the last segment that
+    starts at or below it, within its slice or carried over from the slices below.
+    Groups without a fit use the universal one.
     """
     own = blocks.select(group).distinct().withColumn("_fit", F.col(group))
     s = df.select(group, F.col(score).alias("_x")).distinct().join(own, group, "left").withColumn("_fit", F.coalesce("_fit", F.lit(fallback)))
-    seg = isotonic_segments(blocks, group).withColumnRenamed(group, "_fit")
-    lo = F.when(F.col("is_first"), F.lit(0.0)).otherwise(F.col("x0"))
-    hi = F.coalesce(F.col("x1"), F.lit(1.0))
-    a, b = (F.floor(F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0)) * slices) for c in (lo, hi))
-    seg = seg.withColumn("_slice", F.explode(F.sequence(a, b)))
-    x = F.least(F.greatest(F.col("_x"), F.lit(0.0)), F.lit(1.0))
-    m = s.withColumn("_slice", F.floor(x * slices)).join(seg, ["_fit", "_slice"])
-    inside = (F.col("_x") >= F.col("x0")) & (F.col("_x") < F.coalesce("x1", F.lit(float("inf"))))
-    below = F.col("is_first") & (F.col("_x") < F.col("x0"))
-    line = F.col("y0") + (F.col("_x") - F.col("x0")) * (F.col("y1") - F.col("y0")) / (F.col("x1") - F.col("x0"))
-    y = F.when(below | F.col("x1").isNull() | (F.col("_x") == F.col("x0")), F.col("y0")).otherwise(line)
-    values = m.filter(inside | below).select(group, F.col("_x").alias(score), y.alias(out))
+    seg = isotonic_segments(blocks, group).select(F.col(group).alias("_fit"), F.struct("x0", "y0", "x1", "y1").alias("_seg"))
+    asked = s.filter(M.known("_x")).select("_fit", "_x").distinct().withColumn("_seg", F.lit(None).cast(seg.schema["_seg"].dataType))
+    points = M.with_slices(asked.unionByName(seg.select("_fit", F.col("_seg.x0").alias("_x"), "_seg")), ["_fit"], "_x")
+    lasts = points.groupBy("_fit", "_slice").agg(F.max_by("_seg", F.when(F.col("_seg").isNotNull(), F.col("_x"))).alias("_last"),
+                                                 F.min_by("_seg", F.when(F.col("_seg").isNotNull(), F.col("_x"))).alias("_first"))
+    below = W.partitionBy("_fit").orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    above = W.partitionBy("_fit").orderBy("_slice").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    carried = lasts.select("_fit", "_slice", F.last("_last", True).over(below).alias("_carried"), F.first("_first", True).over(above).alias("_lowest"))
+    inner = W.partitionBy("_fit", "_slice").orderBy("_x", F.col("_seg").isNull()).rowsBetween(W.unboundedPreceding, 0)
+    found = (points.withColumn("_in", F.last("_seg", True).over(inner)).filter(F.col("_seg").isNull()).join(carried, ["_fit", "_slice"])
+             .select("_fit", "_x", F.coalesce("_in", "_carried").alias("g"), "_lowest"))
+    x, g = F.col("_x"), F.col("g")
+    line = g["y0"] + (x - g["x0"]) * (g["y1"] - g["y0"]) / (g["x1"] - g["x0"])
+    y = F.when(g.isNull(), F.col("_lowest")["y0"]).when(g["x1"].isNull() | (x == g["x0"]), g["y0"]).otherwise(line)
+    values = s.join(found.select("_fit", "_x", y.alias(out)), ["_fit", "_x"]).select(group, F.col("_x").alias(score), out)
     return df.join(values, [group, score], "left")
 
 

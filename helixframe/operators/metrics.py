@@ -2,8 +2,9 @@
 
 Raw rows shrink to one row per (group, score) by a map-side combined aggregate;
 all curves are then cumulative sums over that table.  The sums run in two
-levels (within a slice of the score range, plus the totals of the slices above)
-so a group with very many distinct scores still spreads over many tasks.
+levels (within a slice of the group's scores, plus the totals of the slices above)
+so a group with very many distinct scores still spreads over many tasks. Slices
+are cut at a sample of the distinct scores, so they are even wherever the scores lie.
 """
 
 from __future__ import annotations
@@ -14,14 +15,44 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from helixframe.functions import rules
+from helixframe.operators.ranking import top_n
 
-SLICES = 256
+COARSE = 16  # slices per group: COARSE squared
+
+
+def with_slices(df: DataFrame, groups: Sequence[str], value: str, out: str = "_slice") -> DataFrame:
+    """Slice number of ``value`` within its group; rises with the value.
+
+    The bounds are the group's values with the smallest hashes: a uniform sample that
+    does not depend on the order of rows, so every use of the plan cuts alike. They are
+    an array per group, searched in two steps of COARSE comparisons.
+    """
+    n = COARSE * COARSE - 1
+    picked = top_n(df.select(*groups, value).distinct(), groups, [F.xxhash64(F.col(value)), F.col(value)], n, "_rank")
+    bounds = picked.groupBy(*groups).agg(F.sort_array(F.collect_list(F.col(value).cast("double"))).alias("_bounds"))  # n at most
+    x = F.col(value).cast("double")
+
+    def above(places: Sequence[Column]) -> Column:
+        total = F.lit(0)
+        for i in places:
+            total = total + F.coalesce((x >= F.get("_bounds", i)).cast("int"), F.lit(0))
+        return total
+
+    joined = df.join(bounds, list(groups)) if groups else df.crossJoin(bounds)  # one row without groups
+    joined = joined.withColumn("_coarse", above([F.lit(COARSE * j - 1) for j in range(1, COARSE)]))
+    fine = above([COARSE * F.col("_coarse") + (j - 1) for j in range(1, COARSE)])
+    return joined.withColumn(out, COARSE * F.col("_coarse") + fine).drop("_bounds", "_coarse")
+
+
+def known(value: str) -> Column:
+    """Neither NULL nor NaN."""
+    return F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
 
 
 def score_counts(df: DataFrame, groups: Sequence[str], score: str, label: str, weight: Column | None = None) -> DataFrame:
-    """(groups, score) -> pos, neg; rows without a score are left out."""
+    """(groups, score) -> pos, neg; rows without a score (NULL or NaN) are left out."""
     w = F.lit(1) if weight is None else weight
-    return (df.filter(F.col(score).isNotNull()).groupBy(*groups, F.col(score).alias("score")).agg(
+    return (df.filter(known(score)).groupBy(*groups, F.col(score).alias("score")).agg(
         F.sum(F.when(F.col(label) == 1, w).otherwise(0)).alias("pos"),
         F.sum(F.when(F.col(label) == 0, w).otherwise(0)).alias("neg")))
 
@@ -29,7 +60,7 @@ def score_counts(df: DataFrame, groups: Sequence[str], score: str, label: str, w
 def cumulative(counts: DataFrame, groups: Sequence[str], sums: Sequence[str] = ("pos", "neg"),
                descending: bool = True, value: str = "score") -> DataFrame:
     """Add ``<sum>_cum`` (inclusive running total by ``value``) and ``<sum>_total`` per group."""
-    b = counts.withColumn("_slice", F.floor(F.col(value) * SLICES))
+    b = with_slices(counts, groups, value)
     key = F.col("_slice").desc() if descending else F.col("_slice").asc()
     per = b.groupBy(*groups, "_slice").agg(*[F.sum(s).alias(f"_{s}") for s in sums])
     before = W.partitionBy(*groups).orderBy(key).rowsBetween(W.unboundedPreceding, -1)
@@ -151,7 +182,7 @@ def average_ranks(counts: DataFrame, groups: Sequence[str], value: str, out: str
 def spearman(df: DataFrame, groups: Sequence[str], x: str, y: str, min_rows: int = 2) -> DataFrame:
     """Rank correlation per group; NULL below ``min_rows``. Rows are first pooled to
     distinct (x, y), so a value held by many rows is one row in the rank join."""
-    pairs = (df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    pairs = (df.filter(known(x) & known(y))
              .groupBy(*groups, F.col(x).alias("_x"), F.col(y).alias("_y")).agg(F.count(F.lit(1)).alias("c")))
     rx = average_ranks(pairs.groupBy(*groups, "_x").agg(F.sum("c").alias("n")), groups, "_x", "rx")
     ry = average_ranks(pairs.groupBy(*groups, "_y").agg(F.sum("c").alias("n")), groups, "_y", "ry")
@@ -179,7 +210,7 @@ def _components(counts: DataFrame, groups: Sequence[str], value: str, out: str)
 
 def delong(df: DataFrame, groups: Sequence[str], a: str, b: str, label: str) -> DataFrame:
     """Paired AUC difference and its z on the rows both tools score."""
-    both = (df.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
+    both = (df.filter(known(a) & known(b))
             .groupBy(*groups, F.col(a).alias("_a"), F.col(b).alias("_b"))
             .agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")))
 
