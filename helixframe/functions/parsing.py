@@ -100,7 +100,7 @@ def genomic_id(text: Column) -> Column:
 
 def title_case(code: Column) -> Column:
     """First letter upper, rest lower, for codes of two letters and more."""
-    return F.when(F.length(code) >= 2, F.concat(F.upper(F.substring(code, 1, 1)), F.lower(F.substring(code, 2, 1000))))\
+    return F.when(F.length(code) >= 2, F.concat(F.upper(F.substring(code, 1, 1)), F.lower(F.substr(code, F.lit(2)))))\
         .otherwise(code)
 
 

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from helixframe import constants as K
 from helixframe.functions import evidence as EV, rules as R
-from helixframe.operators import annotate as A, domains as D, lookups as L, support as S
+from helixframe.operators import annotate as A, domains as D, features as FE, lookups as L, support as S
+from helixframe.plans import features as PF
 from helixframe.plans.fixtures import view
 from helixframe.plans.registry import query
 
@@ -17,7 +18,7 @@ POP = ("CASE l_linenumber % 6 WHEN 1 THEN 'EAS' WHEN 2 THEN 'nfe' WHEN 3 THEN 'k
 
 
 def known_pathogenic(v):
-    return v.filter("split = 'train' AND label = 1 AND eval_year < 2017 AND aa_alt <> 'Ter'").select(
+    return v.filter("split = 'train' AND label = 1 AND aa_alt <> 'Ter'").select(
         *L.VARIANT_KEY).distinct()
 
 
@@ -311,33 +312,20 @@ def active_learning_priority(spark, sf):
     return out.select(*KEY, "nearby", F.round("priority", 12).alias("priority"), "reason")
 
 
-INDEP = ["blosum62_score", "volume_diff", "hydro_diff", "gnomad_af", "gnomad_af_log", "is_rare", "af_x_blosum",
-         "gnomad_af_eas"]
-
-
-@query("frequency_independence", """
-WITH f AS (SELECT v.gene, v.af, v.af_eas, CAST(b.blosum62_score AS DOUBLE) AS bl, abs(r.volume - a.volume) AS vd, abs(r.hydro - a.hydro) AS hd
-  FROM variants v JOIN blosum62 b ON b.aa_ref = v.aa_ref AND b.aa_alt = v.aa_alt
-  JOIN residues r ON r.aa = v.aa_ref JOIN residues a ON a.aa = v.aa_alt),
-u AS (SELECT gene, 'blosum62_score' AS feature, bl AS value FROM f UNION ALL SELECT gene, 'volume_diff', vd FROM f
-  UNION ALL SELECT gene, 'hydro_diff', hd FROM f UNION ALL SELECT gene, 'gnomad_af', af FROM f
-  UNION ALL SELECT gene, 'gnomad_af_log', log10(af + 1e-8::DOUBLE) FROM f
-  UNION ALL SELECT gene, 'is_rare', CASE WHEN af < 0.001::DOUBLE THEN 1 ELSE 0 END FROM f
-  UNION ALL SELECT gene, 'af_x_blosum', af * bl FROM f UNION ALL SELECT gene, 'gnomad_af_eas', af_eas FROM f)
-SELECT gene, count(DISTINCT feature) AS total_features,
-  count(DISTINCT CASE WHEN feature NOT IN ('blosum62_score','volume_diff','hydro_diff') THEN feature END) AS frequency_dependent,
-  count(DISTINCT CASE WHEN feature IN ('blosum62_score','volume_diff','hydro_diff') THEN feature END) AS frequency_independent,
-  round(100.0::DOUBLE * count(CASE WHEN feature IN ('blosum62_score','volume_diff','hydro_diff') AND value <> 0 THEN 1 END)
-    / count(CASE WHEN value <> 0 THEN 1 END), 6) AS pct_independent
-FROM u GROUP BY gene""")
+IND = [c for c in FE.FEATURE_ORDER if c not in K.FREQUENCY_FEATURES]
+DEP = [c for c in FE.FEATURE_ORDER if c in K.FREQUENCY_FEATURES]
+
+
+def sql_nonzero(columns):
+    return " + ".join(f"count(*) FILTER (CAST({PF.vec_sql(c)} AS DOUBLE) <> 0)" for c in columns)
+
+
+@query("frequency_independence", f"""
+SELECT gene, {len(IND) + len(DEP)} AS total_features, {len(DEP)} AS frequency_dependent, {len(IND)} AS frequency_independent,
+  round(100.0::DOUBLE * ({sql_nonzero(IND)}) / ({sql_nonzero(IND + DEP)}), 6) AS pct_independent FROM {PF.FULL} v GROUP BY gene""")
 def frequency_independence(spark, sf):
-    """Share of (non-zero) features that do not depend on population frequency."""
-    from helixframe.operators import features as FE
-    v = FE.add_substitution(view(spark, sf, "variants"), view(spark, sf, "blosum62"), view(spark, sf, "residues"))
-    v = FE.add_frequency(v, {"gnomad_af": F.col("af"), "gnomad_popmax_af": F.col("af"), "gnomad_af_afr": F.col("af_afr"),
-                             "gnomad_af_amr": F.col("af_amr"), "gnomad_af_eas": F.col("af_eas"),
-                             "gnomad_af_nfe": F.col("af_nfe")})
-    return FE.frequency_independence(v, INDEP, ["gene"])
+    """Share of (non-zero) features of the full vector that do not depend on population frequency."""
+    return FE.frequency_independence(PF.full_vector(spark, sf, ["gene"]), FE.FEATURE_ORDER, ["gene"])
 
 
 @query("reliability_tier", """

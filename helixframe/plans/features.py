@@ -236,17 +236,14 @@ def feature_vector(spark, sf):
         F.count(F.lit(1)).alias("n"), *[F.round(F.sum(F.col(f"`{c}`").cast("double")), 9).alias(c) for c in FE.FEATURE_ORDER])
 
 
-SMALL = ["is_nonsense", "is_transition", "is_transversion", "phylop_score", "mave_score", "spliceai_score", "blosum62_score"]
+NONZERO = " + ".join(f"CASE WHEN CAST({vec_sql(c)} AS DOUBLE) <> 0 THEN 1 ELSE 0 END" for c in FE.FEATURE_ORDER)
 
 
 @query("feature_coverage", f"""
-SELECT {K4}, CAST({' + '.join(f'CASE WHEN ({VEC[c]}) <> 0 THEN 1 ELSE 0 END' for c in SMALL)} AS INT) AS nonzero,
- round(100.0::DOUBLE * ({' + '.join(f'CASE WHEN ({VEC[c]}) <> 0 THEN 1 ELSE 0 END' for c in SMALL)}) / {len(SMALL)}, 6) AS pct
-FROM (SELECT *, {PH} AS ph, coalesce({MAVE}, 0) AS ma, coalesce({EVE}, 0) AS ev FROM {VB} v) x""")
+SELECT {K4}, CAST(nz AS INT) AS nonzero, round(100.0::DOUBLE * nz / {len(FE.FEATURE_ORDER)}, 6) AS pct FROM (SELECT v.*, {NONZERO} AS nz FROM {FULL} v) x""")
 def feature_coverage(spark, sf):
-    out = FE.add_splice(FE.add_functional(FE.add_conservation(FE.add_substitution_class(subst(spark, sf)), F.expr(PH)), F.expr(MAVE)), F.expr(EVE))
-    n = FE.coverage(SMALL)
-    return out.select(*KEY, n.alias("nonzero"), F.round(100.0 * n / len(SMALL), 6).alias("pct"))
+    n = FE.coverage(FE.FEATURE_ORDER)
+    return full_vector(spark, sf, KEY).select(*KEY, n.alias("nonzero"), F.round(100.0 * n / len(FE.FEATURE_ORDER), 6).alias("pct"))
 
 
 @query("embedding_missing_flag", "SELECT vec_id, vec_id % 3 = 0 AS missing FROM embeddings")

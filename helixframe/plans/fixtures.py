@@ -244,7 +244,7 @@ SQL_HELPERS = {
         for f in _FLAGS) + " FROM domain_flags GROUP BY gene",
     "known_path": (
         "SELECT DISTINCT gene, aa_pos, aa_ref, aa_alt FROM variants "
-        "WHERE split = 'train' AND label = 1 AND eval_year < 2017 AND aa_alt <> 'Ter'"),
+        "WHERE split = 'train' AND label = 1 AND aa_alt <> 'Ter'"),
     "ev_in": (
         "SELECT e.*, (in_critical_repeat_region + in_DNA_binding) > 0 AS critical, aa_alt = 'Ter' AS is_nonsense "
         "FROM (SELECT v.*, g.ba1, g.bs1, g.aa_length, " + ", ".join(

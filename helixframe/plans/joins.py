@@ -169,7 +169,7 @@ def position_known_pathogenic(spark, sf):
     return L.membership(v, known_pathogenic(v), ["gene", "aa_pos"], "same_position").select(*KEY, "same_position")
 
 
-FOUNDERS = """SELECT gene, 'c.' || CAST(cdna_pos AS STRING) || mutation AS hgvs_c, l_orderkey AS ord, l_linenumber AS ord2, l_partkey AS ord3, l_suppkey AS ord4 FROM variants WHERE label = 1 AND eval_year = 2025 AND cdna_pos % 50 = 0"""
+FOUNDERS = """SELECT gene, 'c.' || CAST(cdna_pos AS STRING) || mutation AS hgvs_c, l_orderkey AS ord, l_linenumber AS ord2, l_partkey AS ord3, l_suppkey AS ord4 FROM variants WHERE label = 1"""
 
 
 @query("founder_lookup", f"""
@@ -179,15 +179,14 @@ ex AS (SELECT q.gene, q.cdna_pos, q.mutation, f.hgvs_c FROM q JOIN f ON f.gene =
 ap AS (SELECT d.gene, d.cdna_pos, arg_min(f.hgvs_c, (f.ord, f.ord2, f.ord3, f.ord4)) AS hgvs_c FROM (SELECT DISTINCT gene, cdna_pos FROM q) d
   JOIN f ON f.gene = d.gene AND contains(f.hgvs_c, CAST(d.cdna_pos AS VARCHAR)) GROUP BY d.gene, d.cdna_pos)
 SELECT q.gene, q.cdna_pos, q.mutation, coalesce(ex.hgvs_c, ap.hgvs_c) AS founder,
-  CASE WHEN ex.hgvs_c IS NOT NULL THEN 'exact' ELSE 'position_approximate' END AS match_type
-FROM q LEFT JOIN ex USING (gene, cdna_pos, mutation) LEFT JOIN ap ON ap.gene = q.gene AND ap.cdna_pos = q.cdna_pos
-WHERE ex.hgvs_c IS NOT NULL OR ap.hgvs_c IS NOT NULL""")
+  CASE WHEN ex.hgvs_c IS NOT NULL THEN 'exact' WHEN ap.hgvs_c IS NOT NULL THEN 'position_approximate' END AS match_type
+FROM q LEFT JOIN ex USING (gene, cdna_pos, mutation) LEFT JOIN ap ON ap.gene = q.gene AND ap.cdna_pos = q.cdna_pos""")
 def founder_lookup(spark, sf):
     v = view(spark, sf, "variants")
-    founders = v.filter("label = 1 AND eval_year = 2025 AND cdna_pos % 50 = 0").selectExpr(
+    founders = v.filter("label = 1").selectExpr(
         "gene", "'c.' || CAST(cdna_pos AS STRING) || mutation AS hgvs_c", "struct(l_orderkey, l_linenumber, l_partkey, l_suppkey) AS ord")
     out = N.founder_match(v.select("gene", "cdna_pos", "mutation").distinct(), founders)
-    return out.filter("founder IS NOT NULL").select("gene", "cdna_pos", "mutation", "founder", "match_type")
+    return out.select("gene", "cdna_pos", "mutation", "founder", "match_type")
 
 
 @query("id_either_key_join", """
@@ -199,14 +198,16 @@ def id_either_key_join(spark, sf):
     return out.select("o_orderkey", "year")
 
 
-@query("cross_id_row_align", """
-SELECT e.vec_id, coalesce(CAST(x.embedding[1] AS DOUBLE), 0) AS extra_0, coalesce(CAST(x.embedding[2] AS DOUBLE), 0) AS extra_1,
+VECTOR_SIZE = 64  # elements of the supplied vectors
+
+
+@query("cross_id_row_align", f"""
+SELECT e.vec_id, {', '.join(f'coalesce(CAST(x.embedding[{i + 1}] AS DOUBLE), 0) AS extra_{i}' for i in range(VECTOR_SIZE))},
   CASE WHEN x.vec_id IS NULL THEN 0 ELSE 1 END AS has_extra
 FROM embeddings e LEFT JOIN (SELECT * FROM embeddings WHERE label % 2 = 0) x ON x.vec_id = e.vec_id""")
 def cross_id_row_align(spark, sf):
     e = view(spark, sf, "embeddings")
-    out = Q.align_vectors(e.select("vec_id"), e.filter("label % 2 = 0"), "vec_id", "embedding", "extra", 2)
-    return out.select("vec_id", "extra_0", "extra_1", "has_extra")
+    return Q.align_vectors(e.select("vec_id"), e.filter("label % 2 = 0"), "vec_id", "embedding", "extra", VECTOR_SIZE)
 
 
 @query("contrastive_neighbour", f"""

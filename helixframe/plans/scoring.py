@@ -137,8 +137,8 @@ def bootstrap_ci_models(spark, sf):
 
 @query("bootstrap_metric_ci")
 def bootstrap_metric_ci(spark, sf):
-    """200 resamples of the pooled test rows; random draws, so rows only."""
-    return C.bootstrap_metric_ci(variants(spark, sf).filter("split = 'test'"), "p_tree", "label", 200)
+    """1,000 resamples of the pooled test rows; random draws, so rows only."""
+    return C.bootstrap_metric_ci(variants(spark, sf).filter("split = 'test'"), "p_tree", "label")
 
 
 @query("beta_interval")

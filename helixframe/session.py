@@ -32,10 +32,13 @@ _fallback: dict[str, str] = {}
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh path below the folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that setting is unset (local tests) a temporary folder is used.
+    Where that setting is unset a temporary folder serves a local master; on a cluster
+    executors would not see each other's files there, so that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         if app not in _fallback:
             _fallback[app] = tempfile.mkdtemp(prefix="helixframe-")
