@@ -71,7 +71,7 @@ def stored(tokens: np.ndarray, percent: int) -> np.ndarray:
     return min(n, low + max(0, want - worst))
 
 
-def signatures(tokens: np.ndarray, shared: np.ndarray, frequency: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+def signatures(tokens: np.ndarray, shared: np.ndarray, frequency: np.ndarray, percent: int, frequent: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
     """Signatures of a set and their places; ``shared`` and ``frequency`` (log2) tell of its first stored tokens.
 
     The place is the token's rank in the set's order, 0 for combinations: if a signature is
@@ -85,7 +85,7 @@ def signatures(tokens: np.ndarray, shared: np.ndarray, frequency: np.ndarray, pe
     want, out, places = need(n, percent), [], []
     plain = None
     for level in levels(n, percent):
-        combined = (f >= FREQUENT) & (level >= SINGLES_BELOW)
+        combined = (f >= frequent) & (level >= SINGLES_BELOW)
         if plain is not None and not combined[:want].any():
             continue
         counts = np.ones(k, np.int64)
@@ -148,7 +148,7 @@ def _frequencies(table: pa.Table) -> pa.Table:
                     names=["chunk", "bucket", "body"])
 
 
-def _signatures(k: int, percent: int, buckets: int):
+def _signatures(k: int, percent: int, buckets: int, frequent: int):
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
         keys, logs = [], []
         for b, body in zip(answers["bucket"].to_pylist(), answers["body"].to_pylist()):
@@ -172,7 +172,7 @@ def _signatures(k: int, percent: int, buckets: int):
                 shared = keys[at] == wanted
                 if not shared.any():
                     continue
-                sig, place = signatures(s, shared, np.where(shared, logs[at], 0), percent)
+                sig, place = signatures(s, shared, np.where(shared, logs[at], 0), percent, frequent)
                 if len(sig):
                     owners.append(name)
                     found.append(sig.view(np.int64))
@@ -209,12 +209,12 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.filter(100 * F.col("i") >= percent * (F.col("n") - F.col("i"))).select("a", "b")
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85) -> DataFrame:
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85, frequent: int = FREQUENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
     buckets = chunks.bucket_count(docs.sparkSession)
     packs = chunks.pack(docs, _keys(k, percent, buckets), id_col, text_col, "join-packs")
     heard = chunks.answer(chunks.keys_in(packs), ["bucket"], _frequencies, "chunk long, bucket int, body binary")
-    own = chunks.rejoin(packs, heard, _signatures(k, percent, buckets), "class binary, n long, signatures array<long>, places array<int>, tokens array<long>, bits array<long>")
+    own = chunks.rejoin(packs, heard, _signatures(k, percent, buckets, frequent), "class binary, n long, signatures array<long>, places array<int>, tokens array<long>, bits array<long>")
     own = materialise(own, "join-signatures")
     sets = own.select("class", "tokens").dropDuplicates(["class"])
     rows = own.select("class", "n", F.explode(F.arrays_zip("signatures", "places")).alias("s")).select("class", "n", F.col("s.signatures").alias("sig"), F.col("s.places").alias("place"))

@@ -10,6 +10,10 @@ transform is cut into runs, and the longest common prefix with the neighbour in
 order is computed at run ends only; between them it falls by one per byte. Streaming
 over the text these matching statistics mark the windows that occur elsewhere.
 
+An anchor that stands in more than HOT chunks (a passage that much of the corpus shares)
+would fill one bucket. Its windows go to the buckets of their own hashes instead, as
+hashes without bytes, counted once per chunk; a hash with two or more is repeated.
+
 Windows do not cross documents. A null text is empty; texts below LENGTH bytes stay whole;
 repeated rows are repeated texts and lose all they share; null ids are kept as they are; an
 empty table gives an empty result; only id and text are read.
@@ -31,9 +35,11 @@ from helixframe.llm.text import mix
 from helixframe.session import materialise
 
 LENGTH, K = 200, 32
+HOT = 256  # chunks that hold an anchor
 BLOCK = 1 << 20  # window starts looked at together
 SYMBOLS = 7  # symbols of 9 bits in a first rank
 _MULTIPLIERS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
+MARKS = ("<u8", "<u8", "<u4", "<u4", "u1")  # anchor, name, first window, window after the last, whether one window
 _LOW = np.uint64((1 << 24) - 1)
 
 
@@ -102,43 +108,64 @@ def _keys(buckets: int):
     return keys_of
 
 
-def _shared(table: pa.Table) -> pa.Table:
-    """Per chunk, its anchors that occur more than once anywhere."""
-    parts = [chunks.load(b, "<u4", "u1") for b in table["body"].to_pylist()]
-    prints = np.concatenate([p[0] for p in parts])
-    values, back = np.unique(prints, return_inverse=True)
-    often = np.bincount(back, 1 + np.concatenate([p[1] for p in parts]), len(values)) > 1
-    values = values[often]
-    bodies = [chunks.dump(p[0][np.isin(p[0], values)]) for p in parts]
-    return pa.table([table["chunk"], table["bucket"], pa.array(bodies, pa.binary())], names=["chunk", "bucket", "body"])
+def _shared(hot_chunks: int):
+    def run(table: pa.Table) -> pa.Table:
+        """Per chunk, its anchors that occur more than once anywhere, and whether they are hot."""
+        parts = [chunks.load(b, "<u4", "u1") for b in table["body"].to_pylist()]
+        prints = np.concatenate([p[0] for p in parts])
+        values, back = np.unique(prints, return_inverse=True)
+        often = np.bincount(back, 1 + np.concatenate([p[1] for p in parts]), len(values)) > 1
+        values, hot = values[often], np.bincount(back)[often] > hot_chunks
+        bodies = []
+        for p in parts:
+            own = np.isin(values, p[0])
+            bodies.append(chunks.dump(values[own], hot[own].astype(np.uint8)))
+        return pa.table([table["chunk"], table["bucket"], pa.array(bodies, pa.binary())], names=["chunk", "bucket", "body"])
+    return run
 
 
 def _send(buckets: int):
     """Distinct snippets of a chunk at shared anchors, by bucket."""
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        shared = np.sort(np.concatenate([np.empty(0, np.uint64)] + [chunks.join_key(np.uint64(b), chunks.load(body, "<u4")[0])
-                                                                     for b, body in zip(answers["bucket"].to_pylist(), answers["body"].to_pylist())]))
-        seen: dict[int, list] = {}
+        known, flags = [np.empty(0, np.uint64)], [np.empty(0, np.uint8)]
+        for b, body in zip(answers["bucket"].to_pylist(), answers["body"].to_pylist()):
+            prints, hot = chunks.load(body, "<u4", "u1")
+            known.append(chunks.join_key(np.uint64(b), prints))
+            flags.append(hot)
+        known, flags = np.concatenate(known), np.concatenate(flags)
+        order = np.argsort(known)
+        known, flags = known[order], flags[order]
+        seen: dict[int, list] = {}  # name -> route, bytes, times, anchor, whether one window
+
+        def add(name: int, route: int, piece: bytes, anchor: int, single: bool) -> None:
+            if name in seen:
+                seen[name][2] = 2
+            else:
+                seen[name] = [route, piece, 1, anchor, single]
+
         for body in texts["body"].to_pylist():
             for _, data, _, valid in windows_of(chunks.unpack_texts(body)):
                 view = memoryview(data)
                 for h, first, n in snippets(data, valid):
-                    for i in np.flatnonzero(np.isin(chunks.join_key(*chunks.place(h, buckets)), shared)).tolist():
-                        piece = view[first[i]:first[i] + n[i] + LENGTH - 1]
-                        name = xxhash.xxh3_64_intdigest(piece)
-                        if name in seen:
-                            seen[name][2] = 2
+                    wanted = chunks.join_key(*chunks.place(h, buckets))
+                    at = np.minimum(np.searchsorted(known, wanted), max(0, len(known) - 1))
+                    for i in np.flatnonzero(known[at] == wanted).tolist() if len(known) else []:
+                        if flags[at[i]]:
+                            for j in range(first[i], first[i] + n[i]):
+                                name = window_name(view[j:j + LENGTH])
+                                add(name, name, b"", int(h[i]), True)
                         else:
-                            seen[name] = [int(h[i]), bytes(piece), 1]
+                            piece = view[first[i]:first[i] + n[i] + LENGTH - 1]
+                            add(xxhash.xxh3_64_intdigest(piece), int(h[i]), bytes(piece), int(h[i]), False)
         names = np.fromiter(seen, np.uint64, len(seen))
-        anchors = np.array([v[0] for v in seen.values()], np.uint64)
-        counts = np.array([v[2] for v in seen.values()], np.uint8)
+        routes, anchors = (np.array([v[i] for v in seen.values()], np.uint64) for i in (0, 3))
+        counts, single = (np.array([v[i] for v in seen.values()], np.uint8) for i in (2, 4))
         pieces = [v[1] for v in seen.values()]
         lengths = np.array([len(p) for p in pieces], np.uint32)
         out = []
-        for b, at in chunks.by_bucket(chunks.place(anchors, buckets)[0], buckets):
+        for b, at in chunks.by_bucket(chunks.place(routes, buckets)[0], buckets):
             packed = zstandard.ZstdCompressor(level=1).compress(b"".join(pieces[i] for i in at))
-            out.append((b, chunks.dump(anchors[at], names[at], lengths[at], counts[at]), packed))
+            out.append((b, chunks.dump(routes[at], names[at], lengths[at], counts[at], anchors[at], single[at]), packed))
         chunk = texts["chunk"][:1].to_pylist()
         return pa.table([pa.array(chunk * len(out), pa.int64()), pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.binary()),
                          pa.array([o[2] for o in out], pa.binary())], names=["chunk", "bucket", "body", "bytes"])
@@ -209,6 +236,11 @@ class RunLengthIndex:
         return out
 
 
+def window_name(window: memoryview) -> int:
+    """Hash of one window, with a seed of its own so that it is no snippet's name."""
+    return xxhash.xxh3_64_intdigest(window, seed=1)
+
+
 def ranges_of(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     edges = np.diff(np.concatenate([[0], mask.astype(np.int8), [0]]))
     return np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
@@ -216,13 +248,13 @@ def ranges_of(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _mark(table: pa.Table) -> pa.Table:
     """Ranges of repeated windows of each chunk's snippets in one bucket."""
-    heads = [chunks.load(b, "<u8", "<u8", "<u4", "u1") for b in table["body"].to_pylist()]
-    anchors, names, lengths, counts = [np.concatenate([h[i] for h in heads]) for i in range(4)]
+    heads = [chunks.load(b, "<u8", "<u8", "<u4", "u1", "<u8", "u1") for b in table["body"].to_pylist()]
+    routes, names, lengths, counts = [np.concatenate([h[i] for h in heads]) for i in range(4)]
     _, first, back = np.unique(names, return_index=True, return_inverse=True)
     times = np.bincount(back, counts.astype(np.int64))
-    group, size = np.unique(anchors[first], return_inverse=True, return_counts=True)[1:]
+    group, size = np.unique(routes[first], return_inverse=True, return_counts=True)[1:]
     mixed = size[group] > 1  # snippets that share their anchor with another
-    windows = lengths[first].astype(np.int64) - LENGTH + 1
+    windows = np.maximum(lengths[first].astype(np.int64) - LENGTH + 1, 1)
     found: dict[int, tuple[np.ndarray, np.ndarray]] = {int(i): (np.array([0]), windows[i:i + 1]) for i in np.flatnonzero(times > 1)}
     wanted = np.flatnonzero(mixed)
     if len(wanted):
@@ -251,17 +283,18 @@ def _mark(table: pa.Table) -> pa.Table:
     bodies, at = [], 0
     for h in heads:
         own = back[at:at + len(h[0])]
-        rows = [(a, m, lo, hi) for a, m, i in zip(h[0].tolist(), h[1].tolist(), own.tolist()) if i in found for lo, hi in zip(*found[i])]
-        columns = list(zip(*rows)) if rows else [(), (), (), ()]
-        bodies.append(chunks.dump(np.array(columns[0], "<u8"), np.array(columns[1], "<u8"), np.array(columns[2], "<u4"), np.array(columns[3], "<u4")))
+        rows = [(a, m, lo, hi, one) for a, m, one, i in zip(h[4].tolist(), h[1].tolist(), h[5].tolist(), own.tolist()) if i in found for lo, hi in zip(*found[i])]
+        columns = list(zip(*rows)) if rows else [()] * 5
+        bodies.append(chunks.dump(*[np.array(c, t) for c, t in zip(columns, MARKS)]))
         at += len(h[0])
     return pa.table([table["chunk"], pa.array(bodies, pa.binary())], names=["chunk", "body"])
 
 
 def _remove(keep_text: bool):
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        parts = [chunks.load(b, "<u8", "<u8", "<u4", "<u4") for b in answers["body"].to_pylist()]
+        parts = [chunks.load(b, *MARKS) for b in answers["body"].to_pylist()]
         anchors = np.unique(np.concatenate([np.empty(0, np.uint64)] + [p[0] for p in parts]))
+        hot = set(np.concatenate([np.empty(0, np.uint64)] + [p[0][p[4] > 0] for p in parts]).tolist())
         marks: dict[int, list[tuple[int, int]]] = {}
         for p in parts:
             for name, lo, hi in zip(p[1].tolist(), p[2].tolist(), p[3].tolist()):
@@ -273,6 +306,12 @@ def _remove(keep_text: bool):
                 step, view = np.zeros(len(data) + 1, np.int32), memoryview(data)
                 for h, first, n in snippets(data, valid):
                     for i in np.flatnonzero(np.isin(h, anchors)).tolist():
+                        if int(h[i]) in hot:
+                            for j in range(first[i], first[i] + n[i]):
+                                if window_name(view[j:j + LENGTH]) in marks:
+                                    step[j] += 1
+                                    step[j + LENGTH] -= 1
+                            continue
                         for lo, hi in marks.get(xxhash.xxh3_64_intdigest(view[first[i]:first[i] + n[i] + LENGTH - 1]), ()):
                             step[first[i] + lo] += 1
                             step[first[i] + hi - 1 + LENGTH] -= 1
@@ -291,11 +330,11 @@ def _remove(keep_text: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True, hot_chunks: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes; null unless ``keep_text``)."""
     buckets = chunks.bucket_count(docs.sparkSession)
     packs = chunks.pack(docs, _keys(buckets), id_col, text_col, "repeat-packs")
-    shared = chunks.answer(chunks.keys_in(packs), ["bucket"], _shared, "chunk long, bucket int, body binary")
+    shared = chunks.answer(chunks.keys_in(packs), ["bucket"], _shared(hot_chunks), "chunk long, bucket int, body binary")
     sent = chunks.rejoin(packs, shared, _send(buckets), "chunk long, bucket int, body binary, bytes binary")
     marked = materialise(chunks.answer(sent, ["bucket"], _mark, "chunk long, body binary"), "repeat-marks")
     return chunks.rejoin(packs, marked, _remove(keep_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

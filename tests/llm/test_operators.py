@@ -169,7 +169,8 @@ def test_pivot():
 
 # Suffix dedup
 
-def test_suffix_dedup(docs, rows):
+@pytest.mark.parametrize("hot", [256, 0])
+def test_suffix_dedup(docs, rows, hot):
     n = suffix_dedup.LENGTH
     texts = [(r[1] or "").encode() for r in rows]
     seen = Counter(t[i:i + n] for t in texts for i in range(len(t) - n + 1))
@@ -181,7 +182,7 @@ def test_suffix_dedup(docs, rows):
                 gone[i:i + n] = True
         kept = bytes(b for b, g in zip(t, gone) if not g)
         want.append((r[0], len(t), int(gone.sum()), int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum()), hashlib.sha256(kept).hexdigest(), kept))
-    got = suffix_dedup.remove_repeats(docs).collect()
+    got = suffix_dedup.remove_repeats(docs, hot_chunks=hot).collect()
     assert counted((*r[:5], bytes(r[5])) for r in got) == counted(want)
     assert sum(w[2] > 0 for w in want) > 10
 
@@ -369,15 +370,14 @@ def brute_components(rows, k=4, percent=85):
 def test_ngram_join(docs, rows):
     want = brute_components(rows)
     assert counted(ngram_join.similar_groups(docs).collect()) == counted(want)
-    assert len({w[2] for w in want}) < len(rows) - 8
+    assert len({w[2] for w in want}) < len(rows) - 6
     kept = ngram_join.apply(docs)
     assert kept.columns == docs.columns
     assert counted([r.doc_id] for r in kept.collect()) == counted([i] for i in {w[0] for w in want if w[0] is None or w[0] == w[2]})
 
 
-def test_combinations_of_frequent_tokens(spark, monkeypatch):
+def test_combinations_of_frequent_tokens(spark):
     """With every shared token frequent, links come from combinations alone."""
-    monkeypatch.setattr(ngram_join, "FREQUENT", 1)
     rng = np.random.default_rng(5)
     base = [f"t{i}" for i in range(300)]
     rows = []
@@ -386,7 +386,7 @@ def test_combinations_of_frequent_tokens(spark, monkeypatch):
         for _ in range(i % 9):
             w[rng.integers(300)] = f"u{i}x{rng.integers(999)}"
         rows.append((i, " ".join(w)))
-    got = ngram_join.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = ngram_join.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), frequent=1).collect()
     assert counted(got) == counted(brute_components(rows))
 
 
