@@ -1,7 +1,7 @@
 """N-gram Jaccard self-join with token-combination prefixes.
 
-Tokens (shingles) have one global order: those with a hash below SHARE of the range by
-document frequency (powers of two) and hash, then all others by hash. Two similar
+Tokens (shingles) have one global order: by document frequency (powers of two), then
+hash. Two similar
 sets of sizes n miss at most tau = n - ceil(t n) of each other's tokens, so their prefixes
 share a signature if tau + 1 removals are needed to break a prefix. A rare token is a
 signature by itself and counts 1. A frequent one (FREQUENT documents or more) only
@@ -10,7 +10,7 @@ hash into more parts for larger sets; c tokens of a class count c - 1, so prefix
 reach into frequent tokens are extended. Tokens of one document are never sent.
 
 Equal sets are one class throughout; signatures, links and components join classes.
-Candidates of a signature are first paired with its smallest class (a star), verified
+Candidates of a signature are first paired with its least altered class (a star), verified
 on whole sets and merged into components; what a signature still has in different
 components is then paired in full, where sizes, places and bitmaps of the sets allow
 the overlap, and verified, so that no link between components is lost.
@@ -22,6 +22,9 @@ empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -32,9 +35,7 @@ from helixframe.llm.components import components
 from helixframe.llm.text import LOWER, mix, shingle_set, word_hashes
 from helixframe.session import materialise
 
-SHARE = 0.3
-LIMIT = np.uint64(int(SHARE * 2 ** 64))
-FREQUENT = 10  # log2 of the document frequency
+FREQUENT = 12  # log2 of the document frequency
 BITS = 2048  # slots of a set's bitmap
 SINGLES_BELOW = 6  # log2 of the set size below which all tokens are single signatures
 
@@ -50,45 +51,31 @@ def levels(n: int, percent: int) -> range:
 
 
 def parts(level: int) -> int:
-    return max(1, int(SHARE * 2 ** level / 4))
+    return max(1, 2 ** level // 12)
 
 
 def part_of(tokens: np.ndarray, level: int) -> np.ndarray:
     return (mix(tokens ^ np.uint64(0x517CC1B727220A95)) % np.uint64(parts(level))).astype(np.int64)
 
 
-def stored(tokens: np.ndarray, percent: int) -> np.ndarray:
-    """Number of lowest tokens that any prefix of the set can reach."""
-    n = len(tokens)
-    low = int(np.searchsorted(tokens, LIMIT))
-    want, worst = need(n, percent), n
-    for level in levels(n, percent):
-        if level < SINGLES_BELOW:
-            have = low
-        else:
-            have = low - len(np.unique(part_of(tokens[:low], level)))
-        worst = min(worst, have)
-    return min(n, low + max(0, want - worst))
-
-
 def signatures(tokens: np.ndarray, shared: np.ndarray, frequency: np.ndarray, percent: int, frequent: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of a set and their places; ``shared`` and ``frequency`` (log2) tell of its first stored tokens.
+    """Signatures of a set and their places; ``shared`` and ``frequency`` (log2) tell of its tokens.
 
-    The place is the token's rank in the set's order, 0 for combinations: if a signature is
-    the first that two sets share, none of the tokens before it is common to both.
+    The place bounds the common tokens: if a signature is the first that two sets share, by
+    the rank of its last token, at most n - place tokens are common. No rare token before it
+    is, and of the frequent ones before it at most one per class.
     """
-    n, k = len(tokens), len(shared)
-    tokens = tokens[:k]
-    high = tokens >= LIMIT
-    order = np.lexsort((tokens, np.where(high, 0, frequency), high))
-    t, s, f = tokens[order], shared[order], np.where(high, 0, frequency)[order]
-    want, out, places = need(n, percent), [], []
-    plain = None
+    n, want = len(tokens), need(len(tokens), percent)
+    if n - int(shared.sum()) >= want:  # the prefix is filled with tokens of this document alone
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    order = np.lexsort((tokens, frequency))
+    t, s, f = tokens[order], shared[order], frequency[order]
+    out, places, plain = [], [], False
     for level in levels(n, percent):
         combined = (f >= frequent) & (level >= SINGLES_BELOW)
-        if plain is not None and not combined[:want].any():
+        if plain and not combined[:want].any():
             continue
-        counts = np.ones(k, np.int64)
+        counts = np.ones(n, np.int64)
         where = np.flatnonzero(combined)
         p = part_of(t[where], level)
         _, first = np.unique(p, return_index=True)
@@ -99,15 +86,17 @@ def signatures(tokens: np.ndarray, shared: np.ndarray, frequency: np.ndarray, pe
         places.append(single)
         inside = where < stop
         for q in np.unique(p[inside]):
-            own = t[where[inside & (p == q)]]
+            ranks = where[inside & (p == q)]
+            own = t[ranks]
             a, b = np.triu_indices(len(own), 1)
             lo, hi = np.minimum(own[a], own[b]), np.maximum(own[a], own[b])
             out.append(mix(lo * np.uint64(0x9E3779B97F4A7C15) + hi + np.uint64(level)))
-            places.append(np.zeros(len(lo), np.int64))
-        if not combined[:stop].any():
-            plain = True
-    found, first = np.unique(np.concatenate(out), return_index=True)
-    return found, np.concatenate(places)[first]
+            places.append(np.maximum(0, ranks[b] - parts(level)))
+        plain |= not combined[:stop].any()
+    found, places = np.concatenate(out), np.concatenate(places)
+    order = np.lexsort((places, found))
+    found, first = np.unique(found[order], return_index=True)
+    return found, places[order][first]
 
 
 def bitmap(tokens: np.ndarray) -> np.ndarray:
@@ -125,13 +114,16 @@ def class_of(tokens: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(tokens.tobytes())
 
 
-def _keys(k: int, percent: int, buckets: int):
-    def keys_of(texts: list[bytes], _):
-        sets = [set_of(t, k) for t in texts]
-        keys = [s[:stored(s, percent)] for s in sets if len(s)]
-        to, prints = chunks.place(np.concatenate(keys) if keys else np.empty(0, np.uint64), buckets)
-        return [(b, chunks.dump(prints[at])) for b, at in chunks.by_bucket(to, buckets)], [len(s) for s in sets], [class_of(s) for s in sets]
-    return keys_of
+def _keys(k: int, buckets: int):
+    """Each chunk's tokens by bucket, one print per document that holds it."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, body in zip(batch["chunk"].to_pylist(), batch["body"].to_pylist()):
+                to, prints = chunks.place(np.concatenate([set_of(t, k) for t in chunks.unpack_texts(body)]), buckets)
+                rows = [(b, chunks.dump(prints[at])) for b, at in chunks.by_bucket(to, buckets)]
+                yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(rows), pa.int64()), pa.array([b for b, _ in rows], pa.int32()),
+                                                  pa.array([d for _, d in rows], pa.binary())], ["chunk", "bucket", "body"])
+    return run
 
 
 def _frequencies(table: pa.Table) -> pa.Table:
@@ -142,7 +134,9 @@ def _frequencies(table: pa.Table) -> pa.Table:
     values, log = values[counts > 1], np.floor(np.log2(counts[counts > 1])).astype(np.uint8)
     bodies = []
     for p in prints:
-        own = np.isin(values, p)
+        p = np.unique(p)
+        at = np.minimum(np.searchsorted(values, p), max(0, len(values) - 1))
+        own = at[values[at] == p] if len(values) else at[:0]
         bodies.append(chunks.dump(values[own], log[own]))
     return pa.table([pa.array(chunk_ids, pa.int64()), pa.array([bucket] * len(chunk_ids), pa.int32()), pa.array(bodies, pa.binary())],
                     names=["chunk", "bucket", "body"])
@@ -159,19 +153,19 @@ def _signatures(k: int, percent: int, buckets: int, frequent: int):
         order = np.argsort(keys)
         keys, logs = np.append(keys[order], np.uint64(2 ** 64 - 1)), np.append(logs[order], 0)
         seen, found, places, owners, sizes, tokens, bits = set(), [], [], [], [], [], []
+        ids, every_size, every_class = sum(texts["ids"].to_pylist(), []), [], []
         for body in texts["body"].to_pylist():
             for text in chunks.unpack_texts(body):
                 s = set_of(text, k)
                 name = class_of(s)
+                every_size.append(len(s))
+                every_class.append(name)
                 if not len(s) or name in seen:
                     continue
                 seen.add(name)
-                own = s[:stored(s, percent)]
-                wanted = chunks.join_key(*chunks.place(own, buckets))
+                wanted = chunks.join_key(*chunks.place(s, buckets))
                 at = np.searchsorted(keys, wanted)
                 shared = keys[at] == wanted
-                if not shared.any():
-                    continue
                 sig, place = signatures(s, shared, np.where(shared, logs[at], 0), percent, frequent)
                 if len(sig):
                     owners.append(name)
@@ -180,8 +174,12 @@ def _signatures(k: int, percent: int, buckets: int, frequent: int):
                     bits.append(bitmap(s))
                     sizes.append(len(s))
                     tokens.append(s.view(np.int64))
-        return pa.table([pa.array(owners, pa.binary()), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32())),
-                         pa.array(tokens, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], names=["class", "n", "signatures", "places", "tokens", "bits"])
+        rest = len(owners)
+        return pa.table([pa.array([*owners, None], pa.binary()), pa.array([*sizes, None], pa.int64()), pa.array([*found, None], pa.list_(pa.int64())),
+                         pa.array([*places, None], pa.list_(pa.int32())), pa.array([*tokens, None], pa.list_(pa.int64())), pa.array([*bits, None], pa.list_(pa.int64())),
+                         pa.array([None] * rest + [ids], pa.list_(pa.int64())), pa.array([None] * rest + [every_size], pa.list_(pa.int64())),
+                         pa.array([None] * rest + [every_class], pa.list_(pa.binary()))],
+                        names=["class", "n", "signatures", "places", "tokens", "bits", "ids", "sizes", "classes"])
     return run
 
 
@@ -195,7 +193,8 @@ def _may_overlap(percent: int) -> Column:
     def enough(overlap: Column) -> Column:
         return overlap * (100 + percent) >= wanted
     def alone(a: str, b: str) -> Column:
-        return F.aggregate(F.zip_with(a, b, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda s, v: s + v)
+        # Written out word by word: compiled, where a higher-order function would be interpreted for every pair.
+        return reduce(lambda s, i: s + F.bit_count(F.get(a, F.lit(i)).bitwiseAND(F.bitwise_not(F.get(b, F.lit(i))))), range(BITS // 64), F.lit(0))
     return (enough(F.least(F.col("n_x") - F.col("place_x"), F.col("n_y") - F.col("place_y")))
             & enough(F.least(F.col("n_x") - alone("bits_x", "bits_y"), F.col("n_y") - alone("bits_y", "bits_x"))))
 
@@ -212,15 +211,19 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85, frequent: int = FREQUENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
     buckets = chunks.bucket_count(docs.sparkSession)
-    packs = chunks.pack(docs, _keys(k, percent, buckets), id_col, text_col, "join-packs")
-    heard = chunks.answer(chunks.keys_in(packs), ["bucket"], _frequencies, "chunk long, bucket int, body binary")
-    own = chunks.rejoin(packs, heard, _signatures(k, percent, buckets, frequent), "class binary, n long, signatures array<long>, places array<int>, tokens array<long>, bits array<long>")
-    own = materialise(own, "join-signatures")
+    packs = chunks.pack(docs, None, id_col, text_col, "join-packs")
+    keys = packs.select("chunk", "body").mapInArrow(_keys(k, buckets), "chunk long, bucket int, body binary")
+    heard = chunks.answer(keys, ["bucket"], _frequencies, "chunk long, bucket int, body binary")
+    schema = ("class binary, n long, signatures array<long>, places array<int>, tokens array<long>, bits array<long>, "
+              "ids array<long>, sizes array<long>, classes array<binary>")
+    both = materialise(chunks.rejoin(packs, heard, _signatures(k, percent, buckets, frequent), schema), "join-signatures")
+    own = both.filter("class IS NOT NULL")
     sets = own.select("class", "tokens").dropDuplicates(["class"])
     rows = own.select("class", "n", F.explode(F.arrays_zip("signatures", "places")).alias("s")).select("class", "n", F.col("s.signatures").alias("sig"), F.col("s.places").alias("place"))
 
-    # Star: every class of a signature with the smallest one.
-    ends = rows.groupBy("sig").agg(F.min(F.struct("class", "n")).alias("lo"), F.max("class").alias("hi")).filter(F.col("lo.class") != F.col("hi"))
+    # Star: every class of a signature with the one that has the fewest rarer tokens, the least altered copy.
+    ends = rows.groupBy("sig").agg(F.min(F.struct("place", "class", "n")).alias("lo"), F.min("class").alias("first"), F.max("class").alias("last"))
+    ends = ends.filter(F.col("first") != F.col("last"))
     lists = materialise(ends.select("sig", F.col("lo.class").alias("a"), F.col("lo.n").alias("n_a")), "join-lists")
     members = materialise(rows.join(lists, "sig").select("sig", "place", F.col("class").alias("b"), "n", "a", "n_a").distinct(), "join-members")
     tried = materialise(members.filter("a != b").filter(_fits("n", "n_a", percent)).select("a", "b").distinct(), "join-stars")
@@ -244,7 +247,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if late.limit(1).count():
         roots = components(links.unionByName(late))
 
-    each = chunks.texts_of(packs).select(F.explode(F.arrays_zip("ids", "sizes", "classes")).alias("d"))
+    each = both.filter("class IS NULL").select(F.explode(F.arrays_zip("ids", "sizes", "classes")).alias("d"))
     each = each.select(F.col("d.ids").alias("doc_id"), F.col("d.sizes").alias("n_shingles"), F.col("d.classes").alias("class"))
     placed = each.join(roots, F.col("class") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("root", "class").alias("root"))
     placed = materialise(placed, "join-placed")
