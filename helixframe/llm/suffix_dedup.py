@@ -186,7 +186,7 @@ class RunLengthIndex:
         ranks, width, order = [], SYMBOLS, None
         key = first
         while True:
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             new = np.diff(key[order], prepend=key[order[:1]]) != 0
             rank = np.empty(n, np.int64)
             rank[order] = np.cumsum(new)
