@@ -116,3 +116,32 @@ def test_keep_first_on_a_hot_key(spark):
     df = spark.range(3000).select(F.when(F.col("id") < 1000, 0).otherwise(F.col("id")).alias("k"), (3000 - F.col("id")).alias("o"), F.col("id").alias("v"))
     out = RK.keep_first(df, ["k"], ["o"])
     assert out.count() == 2001 - 0 - 0 and out.filter("k = 0").first()["v"] == 999
+
+
+def test_slices_follow_the_scores(spark):
+    df = spark.range(60_000).select((F.col("id") / 1e9).alias("narrow"), (F.col("id") * 1e6 - 3e9).alias("wide"), F.lit("g").alias("g"))
+    for value in ("narrow", "wide"):
+        sizes = [r["count"] for r in M.with_slices(df, ["g"], value).groupBy("_slice").count().collect()]
+        assert len(sizes) > 100 and max(sizes) < 60_000 / 20
+        ends = M.with_slices(df, ["g"], value).groupBy("_slice").agg(F.min(value).alias("a"), F.max(value).alias("b")).orderBy("_slice").collect()
+        assert all(x["b"] < y["a"] for x, y in zip(ends, ends[1:]))
+
+
+def test_nan_scores_are_missing(spark):
+    rows = [("g", 0.1, 0), ("g", 0.9, 1), ("g", float("nan"), 1), ("g", None, 0)]
+    r = M.roc_auc(spark.createDataFrame(rows, "gene string, s double, y int"), ["gene"], "s", "y").first()
+    assert (r["n"], r["roc_auc"]) == (2, 1.0)
+
+
+def test_nearest_keeps_all_queries(spark):
+    train = spark.createDataFrame([("k", [0.0, 0.0], 7), ("k", [0.0, 0.0], 3)], "k string, x array<double>, id long")
+    qs = spark.createDataFrame([("k", [1.0, 0.0], 1), ("k", [1.0, 0.0], 1), ("z", [0.0, 0.0], 2)], "k string, x array<double>, q int")
+    got = sorted((r["k"], r["neighbour_id"], r["distance"]) for r in N.nearest(qs, train, ["k"], "x", 2, train_id="id").collect())
+    assert got == [("k", 3, 1.0), ("k", 3, 1.0), ("z", None, None)]
+
+
+def test_oversampling_balances_exactly(spark):
+    from helixframe.operators import training as TR
+    df = spark.range(130).select("id", (F.col("id") < 40).cast("int").alias("y"), (F.col("id") % 17).cast("double").alias("a"), F.rand(1).alias("b"))
+    out = TR.oversample(df, ["a", "b"], "y", ["id"])
+    assert {r["y"]: r["count"] for r in out.groupBy("y").count().collect()} == {0: 90, 1: 90}
