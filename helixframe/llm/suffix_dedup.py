@@ -173,9 +173,12 @@ def _send(buckets: int):
 
 
 class RunLengthIndex:
-    """Runs of the transform of some strings, with neighbours' common prefixes at the run ends."""
+    """Runs of the transform of some strings, with neighbours' common prefixes at the run ends.
 
-    def __init__(self, strings: list[bytes]):
+    Common prefixes shorter than ``at_least`` may be left at 0.
+    """
+
+    def __init__(self, strings: list[bytes], at_least: int = 0):
         # Bytes are 1..256 and each string is closed by 0, which no window of interest holds.
         data = np.concatenate([np.append(np.frombuffer(s, np.uint8).astype(np.uint16) + 1, 0) for s in strings])
         n = len(data)
@@ -188,31 +191,33 @@ class RunLengthIndex:
         while True:
             order = np.argsort(key)
             new = np.diff(key[order], prepend=key[order[:1]]) != 0
-            rank = np.empty(n, np.int64)
+            rank = np.empty(n, np.int32)
             rank[order] = np.cumsum(new)
             ranks.append((width, rank))
             if width >= 2 * LENGTH or rank[order[-1]] == n - 1:
                 break
-            behind = np.zeros(n, np.int64)
-            behind[:max(0, n - width)] = rank[width:] + 1
-            key = rank.astype(np.uint64) * np.uint64(n + 1) + behind.astype(np.uint64)
+            key = rank.astype(np.uint64) << np.uint64(32)
+            key[:max(0, n - width)] |= rank[width:].astype(np.uint64) + np.uint64(1)
             width *= 2
         self.n, self._ranks, self._data = n, ranks, data
         last = data[order - 1]  # the transform
         last[order == 0] = 999  # nothing stands before the text, so that place is a run of its own
         cut = np.flatnonzero(np.diff(last.astype(np.int32)) != 0) + 1
-        heads, tails = np.append(0, cut), np.append(cut - 1, n - 1)
-        self.runs = len(heads)
-        self.head_at, self.head_prefix = self._samples(order, heads, -1)
-        self.tail_at, self.tail_prefix = self._samples(order, tails, 1)
+        self.runs = len(cut) + 1
+        # The prefix at a cut belongs to the tail before it and to the head after it.
+        prefix = np.zeros(len(cut), np.int64)
+        a, b = order[cut - 1], order[cut]
+        near = np.arange(len(cut))
+        for width, rank in ranks:
+            if width <= at_least:
+                near = near[rank[a[near]] == rank[b[near]]]
+        prefix[near] = self._common(a[near], b[near])
+        self.head_at, self.head_prefix = self._by_position(np.append(order[:1], b), np.append(0, prefix))
+        self.tail_at, self.tail_prefix = self._by_position(np.append(a, order[-1:]), np.append(prefix, 0))
         del self._ranks, self._data
 
-    def _samples(self, order: np.ndarray, places: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
-        """Text positions at the given places of the order, sorted, and their common prefix with the neighbour."""
-        inner = (places + step >= 0) & (places + step < self.n)
-        prefix = np.zeros(len(places), np.int64)
-        prefix[inner] = self._common(order[places[inner]], order[places[inner] + step])
-        at = order[places]
+    @staticmethod
+    def _by_position(at: np.ndarray, prefix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         by = np.argsort(at)
         return at[by], prefix[by]
 
@@ -231,7 +236,9 @@ class RunLengthIndex:
         at = np.arange(self.n)
         out = np.zeros(self.n, np.int64)
         for where, prefix in ((self.head_at, self.head_prefix), (self.tail_at, self.tail_prefix)):
-            k = np.searchsorted(where, at, side="right") - 1
+            sampled = np.zeros(self.n, np.int64)
+            sampled[where] = 1
+            k = np.cumsum(sampled) - 1
             out = np.maximum(out, np.where(k >= 0, prefix[k] - (at - where[k]), 0))
         return out
 
@@ -272,7 +279,7 @@ def _mark(table: pa.Table) -> pa.Table:
                     where[base + i] = data[ends[i] - h[2][i]:ends[i]]
             base += n
         texts = [where[i] for i in first[wanted].tolist()]
-        repeated = RunLengthIndex(texts).matching_statistics() >= LENGTH
+        repeated = RunLengthIndex(texts, LENGTH).matching_statistics() >= LENGTH
         at = 0
         for i, t in zip(wanted.tolist(), texts):
             if times[i] < 2:
