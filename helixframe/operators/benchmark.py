@@ -28,10 +28,14 @@ def compare_predictors(long: DataFrame, lower_is_pathogenic: Sequence[str] = (),
         *[F.sum(F.when(F.col("_up") == up, F.col(c)).otherwise(0)).alias(n)
           for n, c, up in (("tp", "pos", True), ("fp", "neg", True), ("fn", "pos", False), ("tn", "neg", False))])
         .withColumns(M.derived_metrics()).select(*key, "mcc", "balanced_accuracy"))
-    return (cover.filter(F.col("n_scored") >= min_scored)
-            .withColumn("coverage", 100.0 * F.col("n_scored") / F.col("_total")).drop("_total")
-            .join(M.auc_from_counts(counts, key).filter(F.col("roc_auc").isNotNull()).select(*key, "roc_auc"), key)
-            .join(M.pr_from_counts(counts, key).select(*key, "pr_auc"), key).join(cut, key))
+    # a predictor with few scores keeps its row, without metrics and with a note
+    few = F.col("n_scored") < min_scored
+    names = ("roc_auc", "pr_auc", "mcc", "balanced_accuracy")
+    out = (cover.join(M.auc_from_counts(counts, key).select(*key, "roc_auc"), key, "left")
+           .join(M.pr_from_counts(counts, key).select(*key, "pr_auc"), key, "left").join(cut, key, "left"))
+    note = F.when(few, "too few scores").when(F.col("roc_auc").isNull(), "single class").otherwise("ok")
+    return (out.withColumn("note", note).withColumn("coverage", 100.0 * F.col("n_scored") / F.col("_total"))
+            .select(*key, "n_scored", "coverage", *[F.when(F.col("note") == "ok", F.col(n)).alias(n) for n in names], "note"))
 
 
 def predictors_by_group(long: DataFrame, group: str, lower_is_pathogenic: Sequence[str] = (), min_class: int = 5) -> DataFrame:

@@ -132,18 +132,20 @@ ORIENTED = ("(SELECT *, CASE WHEN predictor = 'p_inverse' THEN -score ELSE score
 @query("predictor_comparison", f"""
 WITH o AS (SELECT * FROM {ORIENTED}),
 med AS (SELECT predictor, median(s) AS med FROM o WHERE s IS NOT NULL GROUP BY predictor),
-cov AS (SELECT predictor, count(*) AS total, count(s) AS n_scored FROM o GROUP BY predictor)
-SELECT cov.predictor, cov.n_scored, round(100.0::DOUBLE * cov.n_scored / total, 6) AS coverage, round(a.roc_auc, 9) AS roc_auc,
-  round(p.pr_auc, 9) AS pr_auc, round(c.mcc, 9) AS mcc, round((c.sens + c.spec) / 2, 9) AS balanced_accuracy
-FROM cov JOIN {sql_auc('o', 'predictor', 's')} a ON a.predictor = cov.predictor
-JOIN {sql_pr('o', 'predictor', 's')} p ON p.predictor = cov.predictor
-JOIN {sql_confusion("(SELECT o.*, med.med FROM o JOIN med ON med.predictor = o.predictor WHERE s IS NOT NULL) z", 'predictor', 's >= med')} c
-  ON c.predictor = cov.predictor
-WHERE cov.n_scored >= 50""")
+cov AS (SELECT predictor, count(*) AS total, count(s) AS n_scored FROM o GROUP BY predictor),
+m AS (SELECT cov.predictor, cov.n_scored, round(100.0::DOUBLE * cov.n_scored / total, 6) AS coverage, round(a.roc_auc, 9) AS roc_auc,
+  round(p.pr_auc, 9) AS pr_auc, round(c.mcc, 9) AS mcc, round((c.sens + c.spec) / 2, 9) AS balanced_accuracy,
+  CASE WHEN cov.n_scored < 50 THEN 'too few scores' WHEN a.roc_auc IS NULL THEN 'single class' ELSE 'ok' END AS note
+FROM cov LEFT JOIN {sql_auc('o', 'predictor', 's')} a ON a.predictor = cov.predictor
+LEFT JOIN {sql_pr('o', 'predictor', 's')} p ON p.predictor = cov.predictor
+LEFT JOIN {sql_confusion("(SELECT o.*, med.med FROM o JOIN med ON med.predictor = o.predictor WHERE s IS NOT NULL) z", 'predictor', 's >= med')} c
+  ON c.predictor = cov.predictor)
+SELECT predictor, n_scored, coverage, note, CASE WHEN note = 'ok' THEN roc_auc END AS roc_auc, CASE WHEN note = 'ok' THEN pr_auc END AS pr_auc,
+  CASE WHEN note = 'ok' THEN mcc END AS mcc, CASE WHEN note = 'ok' THEN balanced_accuracy END AS balanced_accuracy FROM m""")
 def predictor_comparison(spark, sf):
     out = B.compare_predictors(view(spark, sf, "predictors_long"), lower_is_pathogenic=["p_inverse"])
     return out.select("predictor", "n_scored", F.round("coverage", 6).alias("coverage"),
-                      *[F.round(c, 9).alias(c) for c in ("roc_auc", "pr_auc", "mcc", "balanced_accuracy")])
+                      *[F.round(c, 9).alias(c) for c in ("roc_auc", "pr_auc", "mcc", "balanced_accuracy")], "note")
 
 
 @query("predictor_per_gene", f"""
