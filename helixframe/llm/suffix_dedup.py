@@ -5,8 +5,9 @@ of equal ones), so equal windows belong to equal strings at equal offsets. Conse
 windows of one such anchor make a snippet; snippets go to the bucket of their anchor's
 hash. Anchors that occur once cannot repeat and are not sent; equal snippets are sent
 once per chunk and indexed once. Per bucket, the snippets that share an anchor with a
-different one get a run-length index: suffixes are sorted, their Burrows-Wheeler
-transform is cut into runs, and the longest common prefix with the neighbour in suffix
+different one get a run-length index: suffixes are sorted up to the end of their own
+snippet (equal ones by snippet), their Burrows-Wheeler transform is cut into runs and at
+every snippet's start, and the longest common prefix with the neighbour in suffix
 order is computed at run ends only; between them it falls by one per byte. Streaming
 over the text these matching statistics mark the windows that occur elsewhere.
 
@@ -179,30 +180,36 @@ class RunLengthIndex:
     """
 
     def __init__(self, strings: list[bytes], at_least: int = 0):
-        # Bytes are 1..256 and each string is closed by 0, which no window of interest holds.
+        # Bytes are 1..256 and each string is closed by 0. These ends stand for distinct symbols in the
+        # order of the strings: no suffix is compared beyond its own, so the order is whole and a
+        # suffix without its first symbol keeps its place among those that lost the same one.
         data = np.concatenate([np.append(np.frombuffer(s, np.uint8).astype(np.uint16) + 1, 0) for s in strings])
         n = len(data)
+        ends = np.flatnonzero(data == 0)
+        string = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=-1))
+        left = ends[string] - np.arange(n)  # symbols before the suffix's own end
         first = np.zeros(n, np.uint64)
         padded = np.append(data, np.zeros(SYMBOLS, np.uint16)).astype(np.uint64)
         for j in range(SYMBOLS):
-            first = (first << np.uint64(9)) | padded[j:n + j]
-        ranks, width, order = [], SYMBOLS, None
-        key = first
+            first = (first << np.uint64(9)) | np.where(left > j, padded[j:n + j], np.uint64(0))
+        ranks, width, key = [], SYMBOLS, first
         while True:
             order = np.argsort(key)
             new = np.diff(key[order], prepend=key[order[:1]]) != 0
             rank = np.empty(n, np.int32)
             rank[order] = np.cumsum(new)
             ranks.append((width, rank))
-            if width >= 2 * LENGTH or rank[order[-1]] == n - 1:
+            if rank[order[-1]] == n - 1:
                 break
-            key = rank.astype(np.uint64) << np.uint64(32)
-            key[:max(0, n - width)] |= rank[width:].astype(np.uint64) + np.uint64(1)
+            after = string.astype(np.uint64)
+            longer = np.flatnonzero(left >= width)
+            after[longer] = rank[longer + width]
+            key = (rank.astype(np.uint64) << np.uint64(32)) | after
             width *= 2
         self.n, self._ranks, self._data = n, ranks, data
         last = data[order - 1]  # the transform
-        last[order == 0] = 999  # nothing stands before the text, so that place is a run of its own
-        cut = np.flatnonzero(np.diff(last.astype(np.int32)) != 0) + 1
+        # Before a string's start stands another string's end or nothing: each start is a run of its own.
+        cut = np.flatnonzero((last[1:] != last[:-1]) | (last[1:] == 0)) + 1
         self.runs = len(cut) + 1
         # The prefix at a cut belongs to the tail before it and to the head after it.
         prefix = np.zeros(len(cut), np.int64)
@@ -232,7 +239,7 @@ class RunLengthIndex:
         return length
 
     def matching_statistics(self) -> np.ndarray:
-        """Longest prefix of each position's suffix that also starts elsewhere (exact up to 2 * LENGTH)."""
+        """Longest prefix of each position's suffix that also starts elsewhere (exact up to the end of its string)."""
         at = np.arange(self.n)
         out = np.zeros(self.n, np.int64)
         for where, prefix in ((self.head_at, self.head_prefix), (self.tail_at, self.tail_prefix)):

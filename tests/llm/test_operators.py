@@ -187,6 +187,57 @@ def test_suffix_dedup(docs, rows, hot):
     assert sum(w[2] > 0 for w in want) > 10
 
 
+def edited_variants(rng, n, length=1200):
+    """Variants of one text that differ in a few bytes each, from the first byte on, and one passage with different surroundings."""
+    letters = np.frombuffer(b"abcdefghij klmnop", np.uint8)
+    base, passage = letters[rng.integers(0, len(letters), length)], letters[rng.integers(0, len(letters), 260)]
+    out = []
+    for k in range(n):
+        t = base.copy()
+        at = rng.integers(0, length, 1 + k % 5)
+        t[at] = letters[rng.integers(0, len(letters), len(at))]
+        around = letters[rng.integers(0, len(letters), 300)]
+        out += [t.tobytes(), around[:150].tobytes() + passage.tobytes() + around[150:].tobytes()]
+    return out
+
+
+@pytest.mark.parametrize("n", [3, 20, 60])
+def test_index_of_variants(n):
+    size = suffix_dedup.LENGTH
+    for seed in range(4):
+        texts = edited_variants(np.random.default_rng([n, seed]), n)
+        cuts = defaultdict(set)  # snippets as the buckets get them, all in one bucket
+        for _, data, _, valid in suffix_dedup.windows_of(texts):
+            for h, first, count in suffix_dedup.snippets(data, valid):
+                for a, i, k in zip(h.tolist(), first.tolist(), count.tolist()):
+                    cuts[a].add(data[i:i + k + size - 1].tobytes())
+        strings = sorted(x for c in cuts.values() if len(c) > 1 for x in c)
+        np.random.default_rng(seed).shuffle(strings)
+        seen = Counter(x[i:i + size] for x in strings for i in range(len(x) - size + 1))
+        stats, at = suffix_dedup.RunLengthIndex(strings, size).matching_statistics(), 0
+        for x in strings:
+            for i in range(len(x) - size + 1):
+                assert (stats[at + i] >= size) == (seen[x[i:i + size]] > 1)
+            at += len(x) + 1
+
+
+def test_suffix_dedup_variants(spark):
+    size = suffix_dedup.LENGTH
+    texts = [t for k in (20, 60) for t in edited_variants(np.random.default_rng(k), k)]
+    seen = Counter(t[i:i + size] for t in texts for i in range(len(t) - size + 1))
+    want = []
+    for i, t in enumerate(texts):
+        gone = np.zeros(len(t), bool)
+        for k in range(len(t) - size + 1):
+            if seen[t[k:k + size]] > 1:
+                gone[k:k + size] = True
+        spans = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
+        want.append((i, len(t), int(gone.sum()), spans, hashlib.sha256(bytes(b for b, g in zip(t, gone) if not g)).hexdigest()))
+    df = spark.createDataFrame([(i, t.decode()) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = suffix_dedup.remove_repeats(df, keep_text=False).drop("kept").collect()
+    assert counted(got) == counted(want)
+
+
 def test_matching_statistics():
     strings = [b"abracadabra" * 3, b"cadabrax", b"\x00\x00zz", b"abracad"]
     index = suffix_dedup.RunLengthIndex(strings)
