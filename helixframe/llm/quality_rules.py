@@ -2,8 +2,9 @@
 
 A line (lower-cased, digits as 0, white space folded) that more documents of one
 host hold than the limit allows is boilerplate: it is removed, and a document that
-loses nearly all its words this way is rejected. Near and exact copies count as
-one document: what tells a line's documents apart is the smallest hash of their other lines.
+loses nearly all its words this way is rejected. Documents with the same set of lines
+are copies and count as one, for a line and for its host; any other difference makes
+them distinct documents.
 
 Null or empty texts have no words and fail the base rule; a null host is a host of
 its own; equal rows get equal verdicts; an empty table gives an empty result; other
@@ -27,9 +28,9 @@ FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789", b"abcdefghijklmno
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 PROFILE = pa.schema([("row_key", pa.int64()), ("doc_id", pa.int64()), ("host", pa.string())]
                     + [(c, pa.int64()) for c in STATS]
-                    + [("identity", pa.int64()), ("second", pa.int64()), ("lines", pa.list_(pa.int64())), ("line_words", pa.list_(pa.int32()))])
+                    + [("identity", pa.int64()), ("lines", pa.list_(pa.int64())), ("line_words", pa.list_(pa.int32()))])
 PROFILE_DDL = ("row_key long, doc_id long, host string, " + ", ".join(f"{c} long" for c in STATS)
-               + ", identity long, second long, lines array<long>, line_words array<int>")
+               + ", identity long, lines array<long>, line_words array<int>")
 
 
 def repeated_words(words: np.ndarray, k: int = 5) -> int:
@@ -65,13 +66,19 @@ def profile_text(text: str | None) -> tuple[list[int], list[int], list[int]]:
     return stats, hashes, counts
 
 
+def line_set_hash(hashes: list[int], counts: list[int]) -> int:
+    """One hash of all distinct lines with words, in whatever order; 0 when there are none."""
+    held = sorted({h for h, n in zip(hashes, counts) if n})
+    h = xxhash.xxh3_64_intdigest(np.array(held, "<i8").tobytes()) if held else 0
+    return h - (1 << 64) if h >= 1 << 63 else h
+
+
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         done = [profile_text(t) for t in batch["text"].to_pylist()]
         columns = [batch["row_key"], batch["doc_id"], batch["host"]]
         columns += [pa.array([d[0][i] for d in done], pa.int64()) for i in range(len(STATS))]
-        lowest = [(sorted({h for h, n in zip(d[1], d[2]) if n}) + [0, 0])[:2] for d in done]
-        columns += [pa.array([x[i] for x in lowest], pa.int64()) for i in (0, 1)]
+        columns += [pa.array([line_set_hash(d[1], d[2]) for d in done], pa.int64())]
         columns += [pa.array([d[1] for d in done], pa.list_(pa.int64())), pa.array([d[2] for d in done], pa.list_(pa.int32()))]
         yield pa.RecordBatch.from_arrays(columns, schema=PROFILE)
 
@@ -93,10 +100,9 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     rows = docs.select(row_key(id_col, host_col, text_col).alias("row_key"), F.col(id_col).cast("long").alias("doc_id"),
                        F.col(host_col).cast("string").alias("host"), F.col(text_col).alias("text"))
     profile = materialise(rows.mapInArrow(_profile, PROFILE_DDL), "line-profile")
-    each = profile.select("row_key", "host", "identity", "second", F.posexplode(F.arrays_zip("lines", "line_words")).alias("pos", "l"))
-    other = F.when(F.col("l.lines") == F.col("identity"), F.col("second")).otherwise(F.col("identity"))
-    each = each.select("row_key", "host", other.alias("identity"), "pos", F.col("l.lines").alias("line"), F.col("l.line_words").alias("words")).filter("words > 0")
-    hosts = profile.groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
+    each = profile.select("row_key", "host", "identity", F.posexplode(F.arrays_zip("lines", "line_words")).alias("pos", "l"))
+    each = each.select("row_key", "host", "identity", "pos", F.col("l.lines").alias("line"), F.col("l.line_words").alias("words")).filter("words > 0")
+    hosts = profile.select("host", "identity").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
     # Upper bound first (rows, combined map-side): nearly all lines end here.
     held = each.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > min_line_docs)
     often = materialise(held, "line-often")
@@ -115,7 +121,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     left = F.col("n_words") - removed
     base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_pct * F.col("n_words"))
     depleted = (removed > 0) & ((left < min_words) | (left < min_kept_share * F.col("n_words")))
-    return (profile.drop("lines", "line_words", "identity", "second").join(gone, "row_key", "left")
+    return (profile.drop("lines", "line_words", "identity").join(gone, "row_key", "left")
             .select("row_key", "doc_id", "host", *STATS, base.alias("base_failed"), (~base & ~depleted).alias("kept"),
                     F.coalesce("removed_lines", F.array().cast("array<int>")).alias("removed_lines"),
                     removed.cast("long").alias("removed_words")))

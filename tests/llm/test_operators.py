@@ -332,6 +332,20 @@ def test_line_frequency(spark):
     assert out[0] == letters(0) and out[30] == rows[-1][1] and 10 not in out
 
 
+def test_line_frequency_counts_documents(spark):
+    line = lambda k: f"{k} " + " ".join(f"{k}{c}" for c in "abcdefghijk")
+    name = lambda i: "".join(chr(97 + int(d)) for d in str(i))
+    lines = sorted((line("x" + name(i)) for i in range(100)), key=lambda x: quality_rules.profile_text(x)[1][0])
+    header, footer, own = lines[0], lines[1], lines[2:]  # header and footer have the smallest hashes
+    rows = [(i, f"{header}\n{own[i]}\n{footer}", "h") for i in range(12)]
+    rows += [(100 + i, own[50], "h") for i in range(300)]  # one document, however often
+    rows += [(500 + i, f"{header}\n{own[60]}\n{footer}", "copies") for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in quality_rules.judge(df, max_line_share=0.5).collect()}
+    assert all(got[i].removed_lines == [0, 2] and got[i].kept for i in range(12))
+    assert all(got[i].removed_lines == [] and got[i].kept for i in got if i >= 100)
+
+
 # Token ids
 
 def test_token_files(docs, rows):
