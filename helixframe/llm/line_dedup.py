@@ -2,7 +2,10 @@
 
 Documents that share a line are found through line hashes: a rare line (RARE holders or
 fewer) pairs all its holders, a more frequent one pairs each holder with the earliest,
-so pairs grow with the lines and no holder is left out. A pair is aligned by patience
+so pairs grow with the lines and no holder is left out. So do hashes of runs of lines, of
+any length and frequency: the shortest from each line on and up to each line that have
+``min_block_chars``. Each line of a long enough block lies in such a run of the block, so
+its document meets the earliest one that holds that run. A pair is aligned by patience
 diff (lines unique on both sides, longest increasing subsequence, recursion between
 them); runs of aligned lines with ``min_block_chars`` characters or more are deleted from
 the later document. The earliest document keeps its lines.
@@ -19,12 +22,16 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from helixframe.llm.text import mix, signed
 from helixframe.session import materialise
 
 RARE = 8
+_STEP = 0x9E3779B97F4A7C15
+_BACK = pow(_STEP, -1, 1 << 64)
 
 
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
@@ -81,6 +88,34 @@ def common_blocks(a: list[int], sizes: list[int], b: list[int], min_chars: int)
     return out
 
 
+def run_hashes(hashes: np.ndarray, sizes: np.ndarray, min_line: int, min_chars: int) -> np.ndarray:
+    """Distinct hashes of the shortest runs from each line on and up to each line that have ``min_chars``.
+
+    Runs of one line of ``min_line`` characters are left out: the line stands for itself.
+    """
+    ends = np.append(0, np.cumsum(sizes, dtype=np.int64))
+    full = np.flatnonzero(sizes > 0)
+    need = max(1, min_chars)
+    first = np.concatenate([full, np.searchsorted(ends, ends[full + 1] - need, "right") - 1])
+    last = np.concatenate([np.searchsorted(ends, ends[full] + need, "left"), full + 1])  # line after the run
+    ok = (first >= 0) & (last < len(ends))
+    ok[ok] = (last[ok] - first[ok] > 1) | (sizes[first[ok]] < min_line)
+    first, last = first[ok], last[ok]
+    if not len(first):
+        return np.empty(0, np.int64)
+    powers, back = (np.cumprod(np.append(np.uint64(1), np.full(len(hashes), x, np.uint64)), dtype=np.uint64) for x in (_STEP, _BACK))
+    total = np.append(np.uint64(0), np.cumsum(mix(hashes.view(np.uint64)) * powers[:-1], dtype=np.uint64))
+    return signed(np.unique(mix((total[last] - total[first]) * back[first] + np.uint64(_STEP))))
+
+
+def _runs(min_line: int, min_chars: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [run_hashes(np.array(h, np.int64), np.array(n, np.int64), min_line, min_chars) for h, n in zip(batch["h"].to_pylist(), batch["n"].to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch["id"], batch["k"], pa.array(found, pa.list_(pa.int64()))], ["id", "k", "runs"])
+    return run
+
+
 def text_key(id_col: str, text_col: str) -> Column:
     return F.struct(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("h"))
 
@@ -94,11 +129,13 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     lined = materialise(lined.select("key", F.col("l.h").alias("h"), F.col("l.n").alias("n")), "lines")
     lined = lined.dropDuplicates(["key"])
     each = lined.select("key", F.explode(F.array_distinct(F.arrays_zip("h", "n"))).alias("x")).filter(F.col("x.n") >= min_line_chars).select("key", F.col("x.h").alias("h"))
-    each = each.distinct()
-    held = each.groupBy("h").agg(F.count(F.lit(1)).alias("holders"), F.min("key").alias("first")).filter("holders > 1")
-    shared = materialise(each.join(held, "h"), "shared-lines")
+    runs = lined.select(F.col("key.id").alias("id"), F.col("key.h").alias("k"), "h", "n").mapInArrow(_runs(min_line_chars, min_block_chars), "id long, k long, runs array<long>")
+    runs = runs.select(F.struct("id", F.col("k").alias("h")).alias("key"), F.explode("runs").alias("h"))
+    each = each.distinct().withColumn("run", F.lit(False)).unionByName(runs.withColumn("run", F.lit(True)))
+    held = each.groupBy("run", "h").agg(F.count(F.lit(1)).alias("holders"), F.min("key").alias("first")).filter("holders > 1")
+    shared = materialise(each.join(held, ["run", "h"]), "shared-lines")
     star = shared.filter("key != first").select(F.col("key").alias("later"), F.col("first").alias("earlier"))
-    rare = shared.filter(F.col("holders") <= RARE).groupBy("h").agg(F.sort_array(F.collect_list("key")).alias("keys"))  # RARE at most
+    rare = shared.filter(~F.col("run") & (F.col("holders") <= RARE)).groupBy("h").agg(F.sort_array(F.collect_list("key")).alias("keys"))  # RARE at most
     rare = rare.select("keys", F.posexplode("keys").alias("i", "later")).select("later", F.explode(F.slice("keys", 1, F.col("i"))).alias("earlier"))
     pairs = materialise(star.unionByName(rare).distinct(), "line-pairs")
     both = (pairs.join(lined.select(F.col("key").alias("later"), F.col("h").alias("a"), F.col("n").alias("sizes")), "later")

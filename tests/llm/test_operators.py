@@ -63,6 +63,32 @@ def test_line_dedup(docs, rows):
     assert sum(len(g) for g in gone.values()) > 20
 
 
+def test_line_dedup_short_lines(spark):
+    a, b = "all rights are reserved here", "read the terms of our service"  # 28 and 29 characters
+    verse = ["so short a line", "", "and one more", "then the third", "and the end"]  # each under 20
+    own = lambda i: f"document {i} has this line of its own"
+    texts = {1: [a, own(1)], 2: [b, own(2)]}
+    texts |= {i: [own(i), a, b] for i in range(100, 130)}
+    texts |= {i: [*verse, own(i)] for i in range(200, 220)}
+    # The tail of a block whose long lines stand earlier elsewhere.
+    c, d, tail = "c" * 45, "d" * 45, "the tail"
+    texts |= {300: [c, own(300)], 301: [own(301), d], **{i: [own(i), c, d, tail] for i in range(310, 330)}}
+    df = spark.createDataFrame([(i, "\n".join(t)) for i, t in texts.items()], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in line_dedup.apply(df).collect()}
+    whole = {1, 2, 100, 200, 300, 301}
+    want = {i: "\n".join(t) if i in whole else own(i) for i, t in texts.items()} | {310: f"{own(310)}\n{tail}"}
+    assert got == want
+
+
+def test_run_hashes():
+    h, n = np.arange(1, 7, dtype=np.int64), np.array([10, 0, 35, 10, 50, 5])
+    runs = line_dedup.run_hashes(h, n, 20, 40)
+    again = line_dedup.run_hashes(h[2:5], n[2:5], 20, 40)
+    assert len(again) == 2 and set(again.tolist()) <= set(runs.tolist())
+    assert len(runs) == 4  # lines 0-2, 2-3, 3-4, 4-5
+    assert len(line_dedup.run_hashes(h[:0], n[:0], 20, 40)) == len(line_dedup.run_hashes(h[:2], n[:2], 20, 40)) == 0
+
+
 def test_patience():
     assert line_dedup.patience([1, 2, 3, 4], [1, 9, 3, 4]) == [(0, 0), (2, 2), (3, 3)]
     assert line_dedup.patience([5, 6, 7], [7, 5, 6]) == [(0, 1), (1, 2)]
