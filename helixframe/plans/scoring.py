@@ -180,6 +180,7 @@ def class_weight(spark, sf):
 
 
 FEATS = ["p_mlp", "af", "af_eas", "rel", "ph"]
+SMALL_GENES = ("BRCA1", "PALB2", "RAD51C", "RAD51D")
 
 
 def modelling(spark, sf):
@@ -196,26 +197,31 @@ def minority_oversample(spark, sf):
 @query("train_ensemble")
 def train_ensemble(spark, sf):
     m = modelling(spark, sf)
-    out = TR.train_ensemble(m.filter("split = 'train'"), m.filter("split = 'test'"), FEATS, "label", iterations=5, depth=3, hidden=(8,), net_iterations=10)
+    out = TR.train_ensemble(m.filter("split = 'train'"), m.filter("split = 'test'"), FEATS, "label")
     return out.select(*KEY, *[F.round(c, 6).alias(c) for c in ("score_tree", "score_mlp", "score_blend")])
 
 
 @query("cross_validate")
 def cross_validate(spark, sf):
-    return TR.cross_validate(modelling(spark, sf), FEATS, "label", ["gene", "label"], KEY, k=3, iterations=3, depth=3)
+    return TR.cross_validate(modelling(spark, sf), FEATS, "label", ["gene", "label"], KEY)
 
 
 @query("transfer_experiment")
 def transfer_experiment(spark, sf):
     m = modelling(spark, sf)
-    t = m.filter("gene = 'PALB2'")
-    return TR.transfer(m.filter("gene = 'BRCA2' AND split = 'train'"), t.filter("split = 'train'"), t.filter("split = 'test'"), FEATS, FEATS[:3], "label", iterations=3, depth=3)
+    source, out = m.filter("gene = 'BRCA2' AND split = 'train'"), None
+    selected = TR.important(source, FEATS, "label")
+    for gene in SMALL_GENES:
+        t = m.filter(F.col("gene") == gene)
+        part = TR.transfer(source, t.filter("split = 'train'"), t.filter("split = 'test'"), FEATS, selected, "label").select(F.lit(gene).alias("gene"), "*")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query("feature_group_ablation")
 def feature_group_ablation(spark, sf):
     m = modelling(spark, sf)
-    return TR.group_ablation(m.filter("split = 'train'"), m.filter("split = 'test'"), {"model": ["p_mlp"], "frequency": ["af", "af_eas"], "position": ["rel", "ph"]}, "label", iterations=3, depth=3)
+    return TR.group_ablation(m.filter("split = 'train'"), m.filter("split = 'test'"), {"model": ["p_mlp"], "frequency": ["af", "af_eas"], "position": ["rel", "ph"]}, "label")
 
 
 @query("ablation_delta", f"""
