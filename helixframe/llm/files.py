@@ -32,3 +32,14 @@ def read_tail(uri: str, length: int) -> tuple[bytes, int]:
         size = f.size()
         f.seek(max(0, size - length))
         return f.read(length), size
+
+
+def read_all(uri: str) -> bytes:
+    system, path = split(uri)
+    with system.open_input_stream(path, compression=None) as f:
+        return f.read()
+
+
+def delete(uri: str) -> None:
+    system, path = split(uri)
+    system.delete_file(path)

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from helixframe.llm import classifier, decontaminate, line_dedup, mixing, ngram_join, ppm, quality_rules, suffix_dedup, token_output, warc
+from helixframe.llm import (bitsliced, classifier, conversations, decontaminate, line_dedup, mixing, ngram_join, periodic_runs, ppm, quality_rules,
+                            suffix_dedup, token_output, warc)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -85,3 +86,23 @@ def op6_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes that every document loses because 200 bytes around them occur elsewhere."""
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), keep_text=False).drop("kept")
+
+
+@query
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation after damage."""
+    rows = conversations.damage(table(spark, sf_dir, "conversations"))
+    return conversations.repair(rows, absent=F.col("absent"))
+
+
+@query
+def op12_bitsliced_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best other rows of every fiftieth vector by inner product."""
+    return bitsliced.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document, some with repeated tails, and what is left of the text."""
+    docs = periodic_runs.repeat_tails(table(spark, sf_dir, "documents"))
+    return periodic_runs.digests(periodic_runs.collapse_runs(docs))
