@@ -180,22 +180,8 @@ def _render(sql: str, engine: str) -> str:
     return re.sub(r"EXPLODE\[\[(.*?)\]\]", explode, sql)
 
 
-# Row keys of the tables whose derived views do heavy work per row.
-_ROW_KEYS = {"lineitem": ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), "part": ("p_partkey",)}
-
-
-_COMPUTED_ONCE = ("variants", "vcf_lines")
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A supplied table. One that comes in fewer splits than there are cores (a single
-    small file) is spread by row key; a table of many splits is left as it is, so at
-    scale no shuffle is added."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in _ROW_KEYS and df.rdd.getNumPartitions() < cores:
-        df = df.repartition(cores, *_ROW_KEYS[name])
-    return df
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -210,11 +196,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     sources = {n: view(spark, sf_dir, n) for n in _mentions(text)}
     for n in sources:
         text = re.sub(rf"\b(FROM|JOIN) {n}\b", rf"\1 {{{n}}}", text)
-    df = spark.sql(text, **sources)
-    if name in _COMPUTED_ONCE:
-        # a one-row generator: the formulas are evaluated once per row, not once per use
-        df = df.select(F.inline(F.array(F.struct(*df.columns))))
-    return df
+    return spark.sql(text, **sources)
 
 
 def cds_bases(spark: SparkSession) -> DataFrame:
@@ -311,14 +293,17 @@ SQL_HELPERS |= {
         "abs(length(ref) - length(alt)) % 3 <> 0 AS shift, EXISTS (SELECT 1 FROM domains d WHERE d.gene = q.gene AND q.aap BETWEEN d.start_aa AND d.end_aa) AS in_dom "
         "FROM vcf_translated q) q0) q1"),
 }
-# The same classification without de-duplication, as the stream sees the lines.
-SQL_HELPERS["vcf_translated_all"] = SQL_HELPERS["vcf_translated"].replace(
-    "(SELECT * FROM vcf_marked WHERE skip IS NULL)", "(SELECT *, bad AS skip FROM vcf_alleles)")
-SQL_HELPERS["vcf_all"] = SQL_HELPERS["vcf_classified"].replace("vcf_translated", "vcf_translated_all").replace(
-    "CASE WHEN chrom <> chromosome THEN", "CASE WHEN skip IS NOT NULL THEN skip WHEN chrom <> chromosome THEN")
+# The same steps where a gene's lines make one file, numbered in file order.
+_GENE_STEPS = ("lines", "parsed", "alleles", "marked", "translated", "classified")
+SQL_HELPERS["gene_lines"] = SQL_VIEWS["vcf_lines"].replace("PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, value",
+                                                           "PARTITION BY gene ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, value")
+for _before, _step in zip(_GENE_STEPS, _GENE_STEPS[1:]):
+    SQL_HELPERS[f"gene_{_step}"] = (SQL_HELPERS[f"vcf_{_step}"].replace(f"vcf_{_before}", f"gene_{_before}")
+                                    .replace("PARTITION BY l_suppkey, chrom, pos, ref, alt, bad IS NULL ORDER BY l_orderkey, l_linenumber, l_partkey, allele",
+                                             "PARTITION BY gene, chrom, pos, ref, alt, bad IS NULL ORDER BY line, allele"))
 SQL_VIEWS.update(SQL_HELPERS)
 _ORDER = [*dims.TABLES, "cds_bases", *VIEWS, "domain_flags", "flag_wide", "known_path", "ev_in", "vcf_parsed", "vcf_alleles",
-          "vcf_marked", "gmap", "gbound", "gzones", "gcoding", "vcf_translated", "vcf_classified", "vcf_translated_all", "vcf_all"]
+          "vcf_marked", "gmap", "gbound", "gzones", "gcoding", "vcf_translated", "vcf_classified", *[f"gene_{n}" for n in _GENE_STEPS]]
 
 
 def _mentions(text: str) -> list[str]:
