@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from helixframe.operators import domains as D, lookups as L, neighbours as N, quality as Q, ranking as RK, structure as S, support
+from helixframe.operators import (aggregates as AG, domains as D, features as FE, lookups as L, neighbours as N, quality as Q, ranking as RK, structure as S,
+                                  support, training as TR)
+from helixframe.plans.features import FULL, full_vector, vec_sql
 from helixframe.plans.fixtures import view
 from helixframe.plans.registry import query
+from helixframe.session import materialise
 
 KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 K4 = ", ".join(KEY)
@@ -210,21 +213,39 @@ def cross_id_row_align(spark, sf):
     return Q.align_vectors(e.select("vec_id"), e.filter("label % 2 = 0"), "vec_id", "embedding", "extra", VECTOR_SIZE)
 
 
+SCALED = [c for c in FE.FEATURE_ORDER if not AG.is_leak(c)]
+ROW_ID = "(l_orderkey * 8 + l_linenumber) * 1000000 + (l_partkey * 31 + l_suppkey) % 1000000"
+VARIANT = "aa_ref || CAST(aa_pos AS VARCHAR) || aa_alt"
+
+
 @query("contrastive_neighbour", f"""
-WITH t AS (SELECT DISTINCT gene, label, aa_pos / 100.0::DOUBLE AS a, (cdna_pos % 97) / 10.0::DOUBLE AS b, p_tree * 4 AS c FROM variants WHERE split = 'train'),
-q AS (SELECT DISTINCT gene, CASE WHEN p_tree > 0.5::DOUBLE THEN 1 ELSE 0 END AS side, aa_pos / 100.0::DOUBLE AS a, (cdna_pos % 97) / 10.0::DOUBLE AS b, p_tree * 4 AS c FROM variants WHERE split = 'test')
-SELECT q.gene, q.side, round(q.a, 6) AS a, round(q.b, 6) AS b, round(q.c, 6) AS c, round(sqrt(min((q.a - t.a) * (q.a - t.a) + (q.b - t.b) * (q.b - t.b) + (q.c - t.c) * (q.c - t.c))), 9) AS distance
-FROM q JOIN t ON t.gene = q.gene AND t.label = 1 - q.side GROUP BY q.gene, q.side, q.a, q.b, q.c""")
+WITH f AS MATERIALIZED (SELECT {K4}, gene, split, label, p_tree, {VARIANT} AS name, {ROW_ID} AS id, {', '.join(f'CAST({vec_sql(c)} AS DOUBLE) AS "x_{c}"' for c in SCALED)} FROM {FULL} v),
+m AS (SELECT {', '.join(f'avg("x_{c}") AS "m_{c}", CASE WHEN stddev_pop("x_{c}") = 0 THEN 1 ELSE stddev_pop("x_{c}") END AS "s_{c}"' for c in SCALED)} FROM f WHERE split = 'train'),
+x AS MATERIALIZED (SELECT {K4}, gene, split, label, name, id, CASE WHEN p_tree > 0.5::DOUBLE THEN 0 ELSE 1 END AS side,
+  [{', '.join(f'("x_{c}" - "m_{c}") / "s_{c}"' for c in SCALED)}] AS v FROM f, m),
+t AS MATERIALIZED (SELECT gene, label, id, min(name) AS name, min(v) AS v FROM x WHERE split = 'train' GROUP BY gene, label, id),
+b AS (SELECT q.l_orderkey, q.l_linenumber, q.l_partkey, q.l_suppkey, min({{'d': round(list_distance(q.v, t.v), 9), 'id': t.id}}) AS e
+  FROM x q JOIN t ON t.gene = q.gene AND t.label = q.side WHERE q.split = 'test' GROUP BY ALL),
+c AS (SELECT q.l_orderkey, q.l_linenumber, q.l_partkey, q.l_suppkey, q.v, b.e.d AS d, t.name AS other, t.v AS w FROM x q JOIN b USING ({K4}) JOIN t ON t.gene = q.gene AND t.label = q.side AND t.id = b.e.id WHERE q.split = 'test'),
+g AS (SELECT *, row_number() OVER (PARTITION BY {K4} ORDER BY round(gap, 9) DESC, place) AS rank FROM (
+  SELECT {K4}, unnest(list_transform(list_zip(v, w), lambda e: abs(e[1] - e[2]))) AS gap, unnest(range(len(v))) AS place FROM c) u),
+top AS (SELECT {K4}, string_agg(list_extract([{', '.join(f"'{c}'" for c in SCALED)}], place + 1) || ':' || CASE WHEN round(gap, 9) > 2 THEN 'high' WHEN round(gap, 9) > 1 THEN 'moderate' ELSE 'low' END, ',' ORDER BY rank) AS differences
+  FROM g WHERE rank <= 5 AND round(gap, 9) >= 0.01::DOUBLE GROUP BY {K4})
+SELECT q.l_orderkey, q.l_linenumber, q.l_partkey, q.l_suppkey, CASE WHEN differences IS NOT NULL THEN other END AS contrast_variant,
+  CASE WHEN differences IS NOT NULL THEN CASE WHEN side = 1 THEN 'Pathogenic' ELSE 'Benign' END END AS contrast_class,
+  CASE WHEN differences IS NOT NULL THEN round(d, 4) END AS contrast_distance, differences
+FROM x q LEFT JOIN c USING ({K4}) LEFT JOIN top USING ({K4}) WHERE q.split = 'test'""")
 def contrastive_neighbour(spark, sf):
-    """Nearest opposite-class training variant of the same gene, exact."""
-    v = view(spark, sf, "variants").select("gene", "label", "split", "p_tree", F.expr(
-        "array(CAST(aa_pos AS DOUBLE) / 100, CAST(cdna_pos % 97 AS DOUBLE) / 10, p_tree * 4)").alias("x"))
-    train = v.filter("split = 'train'").select("gene", "label", "x").distinct()
-    side = F.when(F.col("p_tree") > 0.5, 1).otherwise(0)
-    qs = v.filter("split = 'test'").select("gene", side.alias("side"), (1 - side).alias("label"), "x").distinct()
-    out = N.nearest(qs, train, ["gene", "label"], "x", dims=3)
-    return out.select("gene", "side", *[F.round(F.col("x")[i], 6).alias(n) for i, n in enumerate("abc")],
-                      F.round("distance", 9).alias("distance"))
+    """Nearest training variant of the opposite class in the same gene, on the full scaled vector, and what sets it apart."""
+    keep = [*KEY, "gene", "split", "label", "p_tree", F.concat("aa_ref", F.col("aa_pos").cast("string"), "aa_alt").alias("name"), F.expr(ROW_ID).alias("id")]
+    table = TR.feature_table(full_vector(spark, sf, keep), SCALED, "label", [*KEY, "gene", "split", "p_tree", "name", "id"])
+    table = TR.scaled(table, table.filter("split = 'train'"), len(SCALED))
+    table = materialise(table, "scaled-features")
+    train = table.filter("split = 'train'").select("gene", F.col("label").cast("int").alias("label"), "id", "x", "name")
+    out = N.contrast(table.filter("split = 'test'").select(*KEY, "gene", "p_tree", "x"), train, ["gene"], "p_tree", "label", "x", "id", SCALED)
+    names = train.groupBy(F.col("id").alias("contrast_id")).agg(F.min("name").alias("contrast_variant"))
+    shown = F.array_join(F.transform("key_differences", lambda d: F.concat(d["feature"], F.lit(":"), d["importance"])), ",")
+    return out.join(names, "contrast_id", "left").select(*KEY, "contrast_variant", "contrast_class", "contrast_distance", shown.alias("differences"))
 
 
 @query("residue_density", """

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from helixframe.functions import rules as R
-from helixframe.operators import calibration as C, metrics as M, sampling as SA, training as TR
+from helixframe.operators import aggregates as AG, calibration as C, features as FE, metrics as M, sampling as SA, training as TR
 from helixframe.plans.evaluation import sql_auc, sql_confusion, sql_curve
 from helixframe.plans.evidence import K4, KEY
+from helixframe.plans.features import FULL, full_vector, vec_sql
 from helixframe.plans.fixtures import view
 from helixframe.plans.registry import query
 
@@ -16,13 +17,19 @@ def variants(spark, sf):
     return view(spark, sf, "variants")
 
 
+SCALED = [c for c in FE.FEATURE_ORDER if not AG.is_leak(c)]
+
+
 @query("standard_scale", f"""
-WITH s AS (SELECT avg(p_tree) AS a, stddev_pop(p_tree) AS b, avg(aa_pos) AS c, stddev_pop(aa_pos) AS d FROM variants WHERE split = 'train')
-SELECT {K4}, round((p_tree - a) / b, 9) AS p_tree, round((aa_pos - c) / d, 9) AS aa_pos FROM variants, s""")
+WITH f AS (SELECT gene, split, label, {', '.join(f'CAST({vec_sql(c)} AS DOUBLE) AS "{c}"' for c in SCALED)} FROM {FULL} v),
+m AS (SELECT {', '.join(f'avg("{c}") AS "m_{c}", CASE WHEN stddev_pop("{c}") = 0 THEN 1 ELSE stddev_pop("{c}") END AS "s_{c}"' for c in SCALED)} FROM f WHERE split = 'train')
+SELECT gene, label, count(*) AS n, {', '.join(f'round(sum(("{c}" - "m_{c}") / "s_{c}" * (("{c}" - "m_{c}") / "s_{c}" + 1)), 4) AS "{c}"' for c in SCALED)} FROM f, m GROUP BY gene, label""")
 def standard_scale(spark, sf):
-    v = variants(spark, sf)
-    out = C.scale(v, v.filter("split = 'train'"), ["p_tree", "aa_pos"])
-    return out.select(*KEY, F.round("p_tree", 9).alias("p_tree"), F.round("aa_pos", 9).alias("aa_pos"))
+    """All columns of the feature vector scaled by their training moments; compared as sums of z (z + 1)."""
+    table, _ = modelling(spark, sf)
+    out = TR.scaled(table, table.filter("split = 'train'"), len(SCALED)).withColumn("label", F.col("label").cast("int"))
+    x = F.col("x")
+    return out.groupBy("gene", "label").agg(F.count(F.lit(1)).alias("n"), *[F.round(F.sum(x[i] * (x[i] + 1)), 4).alias(c) for i, c in enumerate(SCALED)])
 
 
 @query("blend_scores", f"""
@@ -179,49 +186,55 @@ def class_weight(spark, sf):
     return C.class_weight(variants(spark, sf).filter("split = 'train'"), ["gene"], "label").withColumn("weight", F.round("weight", 9))
 
 
-FEATS = ["p_mlp", "af", "af_eas", "rel", "ph"]
 SMALL_GENES = ("BRCA1", "PALB2", "RAD51C", "RAD51D")
+# Trees of the registered jobs. The operators' defaults are the production sizes; README has measured times of both.
+SIZE = {"iterations": 20, "depth": 5, "step": 0.1}
 
 
 def modelling(spark, sf):
-    return variants(spark, sf).selectExpr(*KEY, "gene", "split", "label", "p_mlp", "af", "af_eas", "aa_pos / aa_len AS rel", "CAST(aa_pos % 90 AS DOUBLE) / 10 AS ph", "p_tree")
+    """The full feature vector of every variant, without what tells the gene or the row's place."""
+    return TR.feature_table(full_vector(spark, sf, [*KEY, "gene", "split", "label"]), SCALED, "label", [*KEY, "gene", "split"]), SCALED
+
+
+def feature_groups(columns):
+    """Places of the features of each ablation group."""
+    groups = {"frequency": ("gnomad_", "is_rare", "is_popmax_rare", "af_x"), "assay": ("mave_", "has_mave"), "conservation": ("phylop", "high_cons", "ultra_cons", "conserv_"),
+              "embedding": ("esm2_",), "structure": ("rsa", "is_buried", "bfactor", "dist_dna", "dist_palb2", "is_dna", "ss_", "buried_", "dna_contact")}
+    return {g: [i for i, c in enumerate(columns) if c.startswith(names)] for g, names in groups.items()}
 
 
 @query("minority_oversample")
 def minority_oversample(spark, sf):
-    """Balanced training set with synthetic minority rows; random, so rows only."""
-    out = TR.oversample(modelling(spark, sf).filter("split = 'train'"), ["rel", "p_mlp", "ph"], "label", KEY)
-    return out.groupBy("label", "synthetic").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("p_mlp"), 4).alias("mean_p"))
+    """Synthetic minority rows that balance the training set, on the full scaled vector; drawn by hash, so rows only."""
+    table, columns = modelling(spark, sf)
+    train = table.filter("split = 'train'")
+    out = TR.oversample(TR.scaled(train, train, len(columns)), "label", "x", "row")
+    return out.select("label", *[F.round(F.col("x")[i], 6).alias(c) for i, c in enumerate(columns)])
 
 
 @query("train_ensemble")
 def train_ensemble(spark, sf):
-    m = modelling(spark, sf)
-    out = TR.train_ensemble(m.filter("split = 'train'"), m.filter("split = 'test'"), FEATS, "label")
-    return out.select(*KEY, *[F.round(c, 6).alias(c) for c in ("score_tree", "score_mlp", "score_blend")])
+    table, columns = modelling(spark, sf)
+    out = TR.train_ensemble(table, "label", "split", "gene", len(columns), net_iterations=50, **SIZE)
+    return out.select(*KEY, *[F.round(c, 6).alias(c) for c in ("score_tree", "score_mlp", "score_blend", "calibrated")])
 
 
 @query("cross_validate")
 def cross_validate(spark, sf):
-    return TR.cross_validate(modelling(spark, sf), FEATS, "label", ["gene", "label"], KEY)
+    table, _ = modelling(spark, sf)
+    return TR.cross_validate(table, "label", ["gene", "label"], KEY, **SIZE)
 
 
 @query("transfer_experiment")
 def transfer_experiment(spark, sf):
-    m = modelling(spark, sf)
-    source, out = m.filter("gene = 'BRCA2' AND split = 'train'"), None
-    selected = TR.important(source, FEATS, "label")
-    for gene in SMALL_GENES:
-        t = m.filter(F.col("gene") == gene)
-        part = TR.transfer(source, t.filter("split = 'train'"), t.filter("split = 'test'"), FEATS, selected, "label").select(F.lit(gene).alias("gene"), "*")
-        out = part if out is None else out.unionByName(part)
-    return out
+    table, _ = modelling(spark, sf)
+    return TR.transfer(table, "label", "split", "gene", "BRCA2", SMALL_GENES, **SIZE)
 
 
 @query("feature_group_ablation")
 def feature_group_ablation(spark, sf):
-    m = modelling(spark, sf)
-    return TR.group_ablation(m.filter("split = 'train'"), m.filter("split = 'test'"), {"model": ["p_mlp"], "frequency": ["af", "af_eas"], "position": ["rel", "ph"]}, "label")
+    table, columns = modelling(spark, sf)
+    return TR.group_ablation(table, "label", "split", feature_groups(columns), len(columns), ["gene", "label"], KEY, k=3, **SIZE)
 
 
 @query("ablation_delta", f"""
