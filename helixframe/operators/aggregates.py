@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from helixframe import constants as K
 from helixframe.functions import rules
 from helixframe.operators import metrics as M, ranking
+from helixframe.session import materialise
 
 FREQUENCIES = ("af", "popmax", "afr", "amr", "eas", "nfe")
 
@@ -249,20 +252,65 @@ def histogram(df: DataFrame, value: str, bins: int, lo: float = 0.0, hi: float =
     return df.filter(F.col(value).between(lo, hi)).groupBy(b.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def zero_variance(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One row per column: min, max and whether it is constant. One pass for all columns."""
-    aggs = [a for i, c in enumerate(columns) for a in (F.min(F.col(f"`{c}`").cast("double")).alias(f"_lo{i}"),
-                                                        F.max(F.col(f"`{c}`").cast("double")).alias(f"_hi{i}"))]
-    one = df.agg(*aggs)
-    rows = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"_lo{i}").alias("lo"), F.col(f"_hi{i}").alias("hi")) for i, c in enumerate(columns)])
-    out = one.select(F.explode(rows).alias("_r"))
-    return out.select(F.col("_r.feature").alias("feature"), F.col("_r.lo").alias("lo"), F.col("_r.hi").alias("hi"),
-                      F.coalesce(F.col("_r.lo") == F.col("_r.hi"), F.lit(True)).alias("constant"))
+PROFILE_DDL = "n array<double>, mean array<double>, m2 array<double>, lo array<double>, hi array<double>"
+
+
+def array_profile(df: DataFrame, column: str, names: Sequence[str]) -> DataFrame:
+    """One row per place of an array column: n (known values, neither NULL nor NaN), lo, hi, mean, std (of the population) and whether it is constant.
+
+    One pass for all places: a task leaves one row of moments about its own means, and
+    these merge by place, so nothing is lost to cancellation.
+    """
+    width = len(names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, mean, m2 = (np.zeros(width) for _ in range(3))
+        lo, hi = np.full(width, np.inf), np.full(width, -np.inf)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            v = batch["x"].flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, width)
+            known = ~np.isnan(v)
+            k = known.sum(axis=0)
+            m = np.where(known, v, 0).sum(axis=0) / np.maximum(k, 1)
+            d, both = m - mean, np.maximum(n + k, 1)
+            m2 += (np.where(known, v - m, 0) ** 2).sum(axis=0) + d * d * n * k / both
+            mean += d * k / both
+            n += k
+            lo, hi = np.minimum(lo, np.where(known, v, np.inf).min(axis=0)), np.maximum(hi, np.where(known, v, -np.inf).max(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.list_(pa.float64())) for x in (n, mean, m2, lo, hi)], ["n", "mean", "m2", "lo", "hi"])
+
+    parts = df.filter(F.col(column).isNotNull()).select(F.col(column).cast("array<double>").alias("x")).mapInArrow(run, PROFILE_DDL)
+    each = materialise(parts.select(F.posexplode(F.arrays_zip("n", "mean", "m2", "lo", "hi")).alias("i", "p")).select("i", "p.*").filter("n > 0"), "profile")  # a row per task and place
+    means = each.groupBy("i").agg((F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("all"))
+    out = each.join(means, "i").groupBy("i").agg(
+        F.sum("n").cast("long").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.first("all").alias("mean"),
+        F.sqrt(F.sum(F.col("m2") + F.col("n") * (F.col("mean") - F.col("all")) * (F.col("mean") - F.col("all"))) / F.sum("n")).alias("std"))
+    every = df.sparkSession.createDataFrame([(i, c) for i, c in enumerate(names)], "i int, feature string")
+    constant = F.coalesce(F.col("lo") == F.col("hi"), F.lit(True))
+    return every.join(out, "i", "left").select("feature", F.coalesce("n", F.lit(0).cast("long")).alias("n"), "lo", "hi", "mean", F.when(constant, 0.0).otherwise(F.col("std")).alias("std"),
+                                               constant.alias("constant"))
+
+
+def column_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``array_profile`` of numeric columns, one row per column."""
+    return array_profile(df.select(F.array(*[F.col(f"`{c}`").cast("double") for c in columns]).alias("x")), "x", columns)
+
+
+def drop_constant(df: DataFrame, columns: Sequence[str], profile: DataFrame | None = None) -> DataFrame:
+    """The table without those of the columns that are constant (at most one distinct value); the profile has one row per column."""
+    profile = column_profile(df, columns) if profile is None else profile
+    return df.drop(*[r["feature"] for r in profile.filter("constant").select("feature").collect()])
+
+
+def is_leak(column: str, names: Sequence[str] = tuple(K.LEAK_FEATURES), prefix: str = "Mutation_") -> bool:
+    """Does the feature tell the gene or the variant's place?"""
+    return column in names or column.startswith(prefix)
 
 
 def drop_leaks(df: DataFrame, names: Sequence[str] = tuple(K.LEAK_FEATURES), prefix: str = "Mutation_") -> DataFrame:
     """Drop gene-identifying features: a metadata change only."""
-    return df.drop(*[c for c in df.columns if c in names or c.startswith(prefix)])
+    return df.drop(*[c for c in df.columns if is_leak(c, names, prefix)])
 
 
 def master_dataset(parts: Sequence[DataFrame], annotate) -> DataFrame:

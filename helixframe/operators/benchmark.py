@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from helixframe.functions import rules
 from helixframe.operators import metrics as M
+from helixframe.session import materialise
 
 
 def oriented(long: DataFrame, lower_is_pathogenic: Sequence[str]) -> DataFrame:
@@ -21,7 +22,7 @@ def compare_predictors(long: DataFrame, lower_is_pathogenic: Sequence[str] = (),
     o = oriented(long, lower_is_pathogenic)
     key = ["predictor"]
     cover = o.groupBy(*key).agg(F.count(F.lit(1)).alias("_total"), F.count("score").alias("n_scored"))
-    counts = M.score_counts(o, key, "score", "label")
+    counts = materialise(M.score_counts(o, key, "score", "label"), "predictor-counts")  # pooled once, read three times
     median = M.median_by_counts(counts.withColumn("n", F.col("pos") + F.col("neg")), key)
     # the median cut splits the pooled counts, so no raw row is touched again
     cut = (counts.join(median, key).withColumn("_up", F.col("score") >= F.col("median")).groupBy(*key).agg(
@@ -31,8 +32,7 @@ def compare_predictors(long: DataFrame, lower_is_pathogenic: Sequence[str] = (),
     # a predictor with few scores keeps its row, without metrics and with a note
     few = F.col("n_scored") < min_scored
     names = ("roc_auc", "pr_auc", "mcc", "balanced_accuracy")
-    out = (cover.join(M.auc_from_counts(counts, key).select(*key, "roc_auc"), key, "left")
-           .join(M.pr_from_counts(counts, key).select(*key, "pr_auc"), key, "left").join(cut, key, "left"))
+    out = cover.join(M.areas_from_counts(counts, key).select(*key, "roc_auc", "pr_auc"), key, "left").join(cut, key, "left")
     note = F.when(few, "too few scores").when(F.col("roc_auc").isNull(), "single class").otherwise("ok")
     return (out.withColumn("note", note).withColumn("coverage", 100.0 * F.col("n_scored") / F.col("_total"))
             .select(*key, "n_scored", "coverage", *[F.when(F.col("note") == "ok", F.col(n)).alias(n) for n in names], "note"))

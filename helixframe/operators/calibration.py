@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -13,6 +13,7 @@ from helixframe.operators import metrics as M
 from helixframe.session import materialise
 
 WEIGHT_STEPS = 20
+FAN_IN = 16  # nodes that become one in the tree of isotonic blocks
 
 
 def fit_scaler(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -38,6 +39,12 @@ def blend(p1: Column, p2: Column, w1: Column | None = None, w2: Column | None =
     return w1 * p1 + w2 * p2, F.abs(p1 - p2)
 
 
+def logistic(weights: Mapping[str, float], bias: float) -> Column:
+    """Score of a linear model over feature columns."""
+    z = sum((F.lit(w) * F.col(f"`{c}`") for c, w in weights.items()), F.lit(bias))
+    return 1 / (1 + F.exp(-z))
+
+
 def optimise_weights(df: DataFrame, group: str, p1: str, p2: str, label: str, min_rows: int = 10, min_class: int = 2) -> DataFrame:
     """Best blend weight per group on a 0..1 grid of step 0.05 by AUC, the lowest on ties.
 
@@ -76,9 +83,9 @@ def isotonic_fit(df: DataFrame, group: str, score: str, label: str, min_rows: in
                  fallback: str = "_universal") -> DataFrame:
     """Isotonic blocks (lo, hi, weight, mean) per group, and a universal fit over all rows.
 
-    Rows pool to distinct scores; adjacent violators merge first inside slices of
-    the group's scores, then across slices. Merging is associative, so the result is
-    the exact fit while no task reads more than a slice or the remaining blocks.
+    Rows pool to distinct scores; adjacent violators merge inside slices of the group's
+    scores, then between slices in a tree (``merge_neighbours``). Merging is associative,
+    so the result is the exact fit while no task reads all blocks of a group.
     Groups with too few rows or labels have no own fit.
     """
     pooled = (df.groupBy(group, F.col(score).alias("lo")).agg(F.count(F.lit(1)).cast("double").alias("weight"), F.sum(F.col(label).cast("double")).alias("_s"),
@@ -88,16 +95,40 @@ def isotonic_fit(df: DataFrame, group: str, score: str, label: str, min_rows: in
     every = pooled.groupBy("lo").agg(F.sum("weight").alias("weight"), F.sum("_s").alias("_s")).withColumn(group, F.lit(fallback))
     points = (pooled.join(enough, group, "left_semi").select(group, "lo", "weight", "_s").unionByName(every.select(group, "lo", "weight", "_s"))
               .select(group, "lo", F.col("lo").alias("hi"), "weight", (F.col("_s") / F.col("weight")).alias("mean")))
-    points = M.with_slices(points, [group], "lo").select(group, "_slice", "lo", "hi", "weight", "mean")
-    schema = f"`{group}` string, lo double, hi double, weight double, mean double"
+    points = M.with_slices(points, [group], "lo").select(group, F.col("_slice").cast("long").alias("node"), "lo", "hi", "weight", "mean")
+    blocks = materialise(_pooled(points, group), "isotonic-slices")
+    nodes = M.COARSE * M.COARSE
+    while nodes > 1:
+        nodes = -(-nodes // FAN_IN)
+        blocks = materialise(merge_neighbours(blocks, group), "isotonic")
+    return blocks.drop("node")
+
 
+def _pooled(blocks: DataFrame, group: str) -> DataFrame:
+    """Blocks of every (group, node) with adjacent violators merged."""
     def merge(key, pdf):
         out = _pool_adjacent(pdf)
+        out.insert(0, "node", key[1])
         out.insert(0, group, key[0])
         return out
+    return blocks.groupBy(group, "node").applyInPandas(merge, f"`{group}` string, node long, lo double, hi double, weight double, mean double")
 
-    blocks = points.groupBy(group, "_slice").applyInPandas(merge, schema)
-    return materialise(blocks.groupBy(group).applyInPandas(merge, schema), "isotonic")  # used several times, pooled once
+
+def merge_neighbours(blocks: DataFrame, group: str) -> DataFrame:
+    """One level of the tree: FAN_IN neighbouring nodes, each rising within itself, become one.
+
+    Only blocks that neighbours can still pull in meet in a task: those with a mean at or
+    above the least one to their right, or at or below the greatest one to their left.
+    Pooling them gives means within those bounds, so the others stay as they are.
+    """
+    b = blocks.withColumn("_up", F.floor(F.col("node") / FAN_IN).cast("long"))
+    ends = b.groupBy(group, "_up", "node").agg(F.min("mean").alias("_lo"), F.max("mean").alias("_hi"))
+    w = W.partitionBy(group, "_up").orderBy("node")  # FAN_IN rows
+    ends = ends.select(group, "node", F.min("_lo").over(w.rowsBetween(1, W.unboundedFollowing)).alias("_right"), F.max("_hi").over(w.rowsBetween(W.unboundedPreceding, -1)).alias("_left"))
+    b = b.join(ends, [group, "node"])
+    open_block = F.coalesce(F.col("mean") >= F.col("_right"), F.lit(False)) | F.coalesce(F.col("mean") <= F.col("_left"), F.lit(False))
+    columns = [group, F.col("_up").alias("node"), "lo", "hi", "weight", "mean"]
+    return _pooled(b.filter(open_block).select(*columns), group).unionByName(b.filter(~open_block).select(*columns))
 
 
 def isotonic_segments(blocks: DataFrame, group: str) -> DataFrame:
@@ -238,25 +269,73 @@ def beta_interval(p: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series(list(np.column_stack(ends)))
 
 
-def bootstrap_metric_ci(df: DataFrame, score: str, label: str, replicates: int = 1000, seed: int = 42) -> DataFrame:
-    """Percentile interval of ROC and PR area over Poisson resamples of pooled rows.
+def draws(keys: np.ndarray, means: np.ndarray, replicates: int) -> np.ndarray:
+    """Poisson draws of every pooled row for all replicates: one generator per row, seeded by its key, so a repeated task draws the same."""
+    out = np.zeros((len(keys), replicates), np.int64)
+    for i in np.flatnonzero(means):
+        out[i] = np.random.Generator(np.random.Philox(key=int(keys[i]) & (2**64 - 1))).poisson(means[i], replicates)
+    return out
+
+
+def bootstrap_replicates(df: DataFrame, score: str, label: str, replicates: int = 1000, seed: int = 42) -> DataFrame:
+    """rep, roc_auc and pr_auc (trapezoid) of every Poisson resample that holds both classes.
 
-    A pooled row of n copies draws Poisson(n), the sum of n Poisson(1) draws, all
-    replicates at once from a generator seeded by its key; a lost task redraws the
-    same numbers. Cost is distinct scores x replicates.
+    Rows pool to distinct scores, in slices of the score range; a pooled row of n copies
+    draws Poisson(n), the sum of n Poisson(1) draws. A slice holds vectors of all replicates
+    and is read twice: for its totals, whose sums over the slices above are where its
+    curves begin, and for its parts of both areas. What is shuffled is pooled rows and one
+    vector per slice, whatever the number of replicates a row takes part in.
     """
     counts = M.score_counts(df, [], score, label)
+    keys = [F.xxhash64(F.lit(seed), F.lit(c), "score").alias(f"key_{c}") for c in ("pos", "neg")]
+    sliced = M.with_slices(counts, [], "score").select("_slice", "score", F.col("pos").cast("double").alias("pos"), F.col("neg").cast("double").alias("neg"), *keys)
+    sliced = materialise(sliced, "bootstrap-slices")
+    vectors = ", ".join(f"{c} array<double>" for c in ("tp", "fp", "wins", "area"))
+
+    def drawn(pdf: pd.DataFrame):
+        """Draws (pos, neg) of the rows from the highest score down, a block of rows at a time."""
+        pdf = pdf.sort_values("score", ascending=False)
+        for i in range(0, len(pdf), 1000):
+            part = pdf.iloc[i:i + 1000]
+            yield tuple(draws(part[f"key_{c}"].to_numpy(), part[c].to_numpy(), replicates) for c in ("pos", "neg"))
+
+    def totals(pdf: pd.DataFrame) -> pd.DataFrame:
+        tp, fp = np.zeros(replicates), np.zeros(replicates)
+        for pos, neg in drawn(pdf):
+            tp, fp = tp + pos.sum(axis=0), fp + neg.sum(axis=0)
+        return pd.DataFrame({"_slice": [pdf["_slice"].iloc[0]], "tp": [tp], "fp": [fp]})
+
+    sums = materialise(sliced.groupBy("_slice").applyInPandas(totals, "_slice int, tp array<double>, fp array<double>"), "bootstrap-totals")
+    # slices x replicates values at most, of a bounded number of slices
+    each = sums.select("_slice", F.posexplode(F.arrays_zip("tp", "fp")).alias("rep", "t")).select("_slice", "rep", "t.tp", "t.fp")
+    above = W.partitionBy("rep").orderBy(F.desc("_slice")).rowsBetween(W.unboundedPreceding, -1)
+    starts = each.select("_slice", "rep", *[F.coalesce(F.sum(c).over(above), F.lit(0.0)).alias(c) for c in ("tp", "fp")])
+    starts = starts.groupBy("_slice").agg(F.sort_array(F.collect_list(F.struct("rep", "tp", "fp"))).alias("s"))
+    starts = starts.select(F.col("_slice").alias("_of"), F.col("s.tp").alias("tp0"), F.col("s.fp").alias("fp0"))
+
+    def areas(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({c: [] for c in ("tp", "fp", "wins", "area")})
+        tp, fp = (np.array(right[c].iloc[0], float) for c in ("tp0", "fp0"))
+        wins, area = np.zeros(replicates), np.zeros(replicates)
+        first = tp, fp
+        for pos, neg in drawn(left):
+            tps, fps = np.vstack([tp, tp + np.cumsum(pos, axis=0)]), np.vstack([fp, fp + np.cumsum(neg, axis=0)])
+            wins += (neg * (tps[:-1] + pos / 2)).sum(axis=0)
+            # precision where the curve begins is 1; rows without a draw add nothing
+            precision = np.where(tps + fps > 0, tps / np.maximum(tps + fps, 1), 1.0)
+            area += (pos * (precision[1:] + precision[:-1]) / 2).sum(axis=0)
+            tp, fp = tps[-1], fps[-1]
+        return pd.DataFrame({"tp": [tp - first[0]], "fp": [fp - first[1]], "wins": [wins], "area": [area]})
+
+    parts = sliced.groupBy("_slice").cogroup(starts.groupBy("_of")).applyInPandas(areas, vectors)
+    each = parts.select(F.posexplode(F.arrays_zip("tp", "fp", "wins", "area")).alias("rep", "v")).groupBy("rep").agg(*[
+        F.sum(f"v.{c}").alias(c) for c in ("tp", "fp", "wins", "area")]).filter("tp > 0 AND fp > 0")
+    return each.select("rep", (F.col("wins") / (F.col("tp") * F.col("fp"))).alias("roc_auc"), (F.col("area") / F.col("tp")).alias("pr_auc"))
 
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def draws(mean: pd.Series, key: pd.Series) -> pd.Series:
-        return pd.Series([np.random.Generator(np.random.Philox(key=k & (2**64 - 1))).poisson(m, replicates) for m, k in zip(mean, key)])
-
-    for c in ("pos", "neg"):
-        counts = counts.withColumn(f"_{c}", draws(F.col(c).cast("double"), F.xxhash64(F.lit(seed), F.lit(c), "score")))
-    reps = counts.select("score", F.posexplode(F.arrays_zip("_pos", "_neg")).alias("rep", "_d")).select(
-        "score", "rep", F.col("_d._pos").alias("pos"), F.col("_d._neg").alias("neg"))
-    auc = M.auc_from_counts(reps, ["rep"])
-    pr = M.pr_from_counts(reps, ["rep"])
-    m = auc.join(pr, "rep").filter("roc_auc IS NOT NULL")
+
+def bootstrap_metric_ci(df: DataFrame, score: str, label: str, replicates: int = 1000, seed: int = 42) -> DataFrame:
+    """95 % percentile interval of ROC and PR area over the resamples."""
+    m = bootstrap_replicates(df, score, label, replicates, seed)  # a row per replicate
     return m.agg(*[F.percentile(c, q).alias(f"{c}_{n}") for c in ("roc_auc", "pr_auc") for n, q in (("lo", 0.025), ("hi", 0.975))],
                  F.count(F.lit(1)).alias("replicates"))

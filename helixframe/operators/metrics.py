@@ -115,6 +115,24 @@ def pr_from_counts(counts: DataFrame, groups: Sequence[str]) -> DataFrame:
         _guard(F.sum(F.col("pos") * prec) / p, p > 0).alias("average_precision"))
 
 
+def areas(df: DataFrame, groups: Sequence[str], score: str, label: str) -> DataFrame:
+    """groups, n, n_pos, n_neg, roc_auc, pr_auc and average_precision from one pass over the curve."""
+    return areas_from_counts(score_counts(df, groups, score, label), groups)
+
+
+def areas_from_counts(counts: DataFrame, groups: Sequence[str]) -> DataFrame:
+    c = cumulative(counts, groups)
+    tp, fp = F.col("pos_cum"), F.col("neg_cum")
+    tp0, fp0 = tp - F.col("pos"), fp - F.col("neg")
+    precision = tp / (tp + fp)
+    last = F.when(tp0 + fp0 == 0, 1.0).otherwise(tp0 / (tp0 + fp0))
+    wins = F.sum(F.col("pos").cast("double") * (2 * (F.col("neg_total") - fp) + F.col("neg")))
+    p, n = F.sum("pos"), F.sum("neg")
+    return c.groupBy(*groups).agg(
+        (p + n).alias("n"), p.alias("n_pos"), n.alias("n_neg"), _guard(wins / (2 * p.cast("double") * n.cast("double")), (p > 0) & (n > 0)).alias("roc_auc"),
+        _guard(F.sum(F.col("pos") * (precision + last) / 2) / p, p > 0).alias("pr_auc"), _guard(F.sum(F.col("pos") * precision) / p, p > 0).alias("average_precision"))
+
+
 def roc_points(df: DataFrame, groups: Sequence[str], score: str, label: str) -> DataFrame:
     """One row per distinct threshold: tpr, fpr and Youden's J."""
     c = cumulative(score_counts(df, groups, score, label), groups)

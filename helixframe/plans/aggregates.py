@@ -9,8 +9,10 @@ from helixframe.operators import aggregates as AG, annotate as A, features as FE
 from helixframe.plans.coordinates import classified
 from helixframe.plans.evaluation import sql_auc
 from helixframe.plans.evidence import EV_CODES, K4, KEY, sql_class, with_codes
+from helixframe.plans.features import FULL, full_vector, vec_sql
 from helixframe.plans.fixtures import view
 from helixframe.plans.registry import query
+from helixframe.session import materialise
 
 VK = "gene, aa_pos, aa_ref, aa_alt"
 POPS = {"AFR": "af_afr", "AMR": "af_amr", "EAS": "af_eas", "NFE": "af_nfe"}
@@ -124,20 +126,34 @@ def master_dataset(spark, sf):
         F.sum("cdna_pos").alias("cdna"))
 
 
-@query("leak_drop", f"SELECT {K4}, blosum62_score FROM variants v JOIN (SELECT aa_ref, aa_alt, CAST(blosum62_score AS DOUBLE) AS blosum62_score FROM blosum62) b USING (aa_ref, aa_alt)")
+KEPT = [c for c in FE.FEATURE_ORDER if not AG.is_leak(c)]
+
+
+def sums(columns):
+    return ", ".join(f'round(sum(CAST({vec_sql(c)} AS DOUBLE)), 4) AS "{c}"' for c in columns)
+
+
+@query("leak_drop", f"SELECT gene, label, count(*) AS n, {sums(KEPT)} FROM {FULL} v GROUP BY gene, label")
 def leak_drop(spark, sf):
-    wide = FE.add_onehot(FE.add_substitution_class(FE.add_substitution(variants(spark, sf), view(spark, sf, "blosum62"), view(spark, sf, "residues"))))
-    kept = AG.drop_leaks(wide.withColumn("cDNA_pos", F.col("cdna_pos")).select(*KEY, "cDNA_pos", "blosum62_score", "is_transition", "is_transversion", *[
-        F.col(f"`{c}`") for c in wide.columns if c.startswith("Mutation_")]))
-    return kept
+    """The wide feature table without its leaking columns, compared as sums of every column that is left."""
+    kept = AG.drop_leaks(full_vector(spark, sf, ["gene", "label"]))
+    return kept.groupBy("gene", "label").agg(F.count(F.lit(1)).alias("n"), *[F.round(F.sum(F.col(f"`{c}`").cast("double")), 4).alias(c) for c in kept.columns[2:]])
+
+
+PROFILE_SQL = " UNION ALL ".join(
+    f"""SELECT '{c}' AS feature, count("{c}") AS n, round(min("{c}"), 9) AS lo, round(max("{c}"), 9) AS hi, round(avg("{c}"), 6) AS mean, round(stddev_pop("{c}"), 6) AS std,
+  min("{c}") = max("{c}") AS constant FROM f""" for c in FE.FEATURE_ORDER)
 
 
-@query("zero_variance_drop", """
-WITH s AS (SELECT min(p_tree) AS a0, max(p_tree) AS a1, min(af_eas) AS b0, max(af_eas) AS b1, min(CAST(label AS DOUBLE)) AS c0, max(CAST(label AS DOUBLE)) AS c1 FROM variants)
-SELECT 'p_tree' AS feature, a0 AS lo, a1 AS hi, a0 = a1 AS constant FROM s UNION ALL SELECT 'af_eas', b0, b1, b0 = b1 FROM s UNION ALL SELECT 'label', c0, c1, c0 = c1 FROM s
-UNION ALL SELECT 'same', 7::DOUBLE, 7::DOUBLE, TRUE FROM s""")
+@query("zero_variance_drop", f"""
+WITH f AS (SELECT {', '.join(f'CAST({vec_sql(c)} AS DOUBLE) AS "{c}"' for c in FE.FEATURE_ORDER)} FROM {FULL} v), p AS ({PROFILE_SQL})
+SELECT *, NOT constant AS kept FROM p""")
 def zero_variance_drop(spark, sf):
-    return AG.zero_variance(variants(spark, sf).withColumn("same", F.expr("label * 0 + 7")), ["p_tree", "af_eas", "label", "same"])
+    """Profile of all columns of the feature table and whether each is in the reduced one."""
+    wide = materialise(full_vector(spark, sf), "wide-features")
+    out = materialise(AG.column_profile(wide, FE.FEATURE_ORDER), "column-profile")
+    kept = AG.drop_constant(wide, FE.FEATURE_ORDER, out).columns
+    return out.select("feature", "n", F.round("lo", 9).alias("lo"), F.round("hi", 9).alias("hi"), F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "constant", F.col("feature").isin(kept).alias("kept"))
 
 
 @query("class_balance", """

@@ -8,6 +8,7 @@ from helixframe import constants as K
 from helixframe.operators import domains as D, features as FE, structure as S, vectors as VE
 from helixframe.plans.fixtures import view
 from helixframe.plans.registry import query
+from helixframe.session import materialise
 
 KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 K4 = ", ".join(KEY)
@@ -155,15 +156,6 @@ def feat_splice(spark, sf):
     return FE.add_splice(V(spark, sf), F.expr(EVE)).select(*KEY, "spliceai_score", "splice_pathogenic")
 
 
-@query("feat_embedding", """
-SELECT vec_id, CAST(label AS DOUBLE) AS esm2_cosine_sim, 0::DOUBLE AS esm2_l2_shift, """ + ", ".join(
-    f"coalesce(CAST((CASE WHEN vec_id % 5 = 0 THEN embedding[1:7] ELSE embedding END)[{i + 1}] AS DOUBLE), 0) AS esm2_pca_{i}" for i in range(20)) + " FROM embeddings")
-def feat_embedding(spark, sf):
-    e = view(spark, sf, "embeddings").withColumn("c", F.expr("CASE WHEN vec_id % 5 = 0 THEN slice(embedding, 1, 7) ELSE embedding END"))
-    out = FE.add_embedding(e, F.col("label"), F.lit(None).cast("double"), F.col("c"))
-    return out.select("vec_id", "esm2_cosine_sim", "esm2_l2_shift", *[f"esm2_pca_{i}" for i in range(20)])
-
-
 def sql_onehot():
     return ", ".join(f"CASE WHEN {c} = '{v}' THEN 1 ELSE 0 END AS \"{n}\"" for n, (c, v) in FE.onehot_columns().items())
 
@@ -275,11 +267,54 @@ def embedding_shift(spark, sf):
 
 @query("embedding_pca")
 def embedding_pca(spark, sf):
-    """Components of all difference vectors; sign and order are solver-specific, so rows only."""
+    """Components of all difference vectors; SQL has no solver, the distances they keep are compared below."""
     diff = pairs(spark, sf).select("pair", VE.difference(F.col("wt"), F.col("mut")).alias("diff"))
     return VE.principal_components(diff, "diff", 20)
 
 
+WIDTH = 20  # components of the feature vector
+DIFFS = f"""d AS (SELECT pair, list_transform(range({WIDTH}), lambda i: CAST(mut[i + 1] AS DOUBLE) - CAST(wt[i + 1] AS DOUBLE)) AS v FROM {{pairs}} p),
+m AS (SELECT {', '.join(f'avg(v[{i + 1}]) AS m{i}' for i in range(WIDTH))} FROM d),
+c AS (SELECT pair, [{', '.join(f'v[{i + 1}] - m{i}' for i in range(WIDTH))}] AS v FROM d, m)""".replace("{pairs}", PAIRS)
+
+
+def rotated(spark, sf):
+    """Pairs with all components of the first WIDTH places of their difference: a rotation about the mean, which keeps distances."""
+    p = pairs(spark, sf)
+    diff = VE.difference(F.slice("wt", 1, WIDTH), F.slice("mut", 1, WIDTH))
+    return VE.principal_components(p.withColumn("diff", diff), "diff", WIDTH)
+
+
+def squares(a, b=None):
+    terms = F.transform(a, lambda x: x * x) if b is None else F.zip_with(a, b, lambda x, y: (x - y) * (x - y))
+    return F.aggregate(terms, F.lit(0.0), lambda s, x: s + x)
+
+
+@query("embedding_pca_distances", f"""WITH {DIFFS}
+SELECT c.pair, round(sqrt(list_dot_product(c.v, c.v)), 6) AS from_mean, round(list_distance(c.v, o.v), 6) AS to_next FROM c LEFT JOIN c o ON o.pair = c.pair + 1""")
+def embedding_pca_distances(spark, sf):
+    """Distances in the space of all components equal those of the centred vectors."""
+    r = materialise(rotated(spark, sf).select("pair", "pca_components"), "rotated")
+    nxt = r.select((F.col("pair") - 1).alias("pair"), F.col("pca_components").alias("other"))
+    return r.join(nxt, "pair", "left").select("pair", F.round(F.sqrt(squares("pca_components")), 6).alias("from_mean"),
+                                              F.round(F.sqrt(squares("pca_components", "other")), 6).alias("to_next"))
+
+
+@query("feat_embedding", f"""WITH {DIFFS}, s AS (
+SELECT pair, dot / (sqrt(ww) * sqrt(mm) + 1e-8::DOUBLE) AS cosine, sqrt(dd) AS l2 FROM (
+SELECT pair, sum(w * m) AS dot, sum(w * w) AS ww, sum(m * m) AS mm, sum((m - w) * (m - w)) AS dd FROM (
+  SELECT pair, CAST(unnest(wt) AS DOUBLE) AS w, CAST(unnest(mut) AS DOUBLE) AS m FROM {PAIRS} p) x GROUP BY pair) y)
+SELECT s.pair, CASE WHEN s.pair % 5 = 0 THEN 0 ELSE round(cosine, 6) END AS esm2_cosine_sim, CASE WHEN s.pair % 5 = 0 THEN 0 ELSE round(l2, 6) END AS esm2_l2_shift,
+  CASE WHEN s.pair % 5 = 0 THEN 0 ELSE round(list_dot_product(c.v, c.v), 5) END AS energy FROM s JOIN c USING (pair)""")
+def feat_embedding(spark, sf):
+    """Similarity, shift and principal components of every pair as feature columns, 0 where a pair has no embedding; the components by their energy."""
+    have = F.col("pair") % 5 != 0
+    cos, l2 = VE.cosine_and_shift(F.col("wt"), F.col("mut"))
+    out = FE.add_embedding(rotated(spark, sf), F.when(have, cos), F.when(have, l2), F.when(have, F.col("pca_components")))
+    energy = sum((F.col(f"esm2_pca_{i}") * F.col(f"esm2_pca_{i}") for i in range(WIDTH)), F.lit(0.0))
+    return out.select("pair", F.round("esm2_cosine_sim", 6).alias("esm2_cosine_sim"), F.round("esm2_l2_shift", 6).alias("esm2_l2_shift"), F.round(energy, 5).alias("energy"))
+
+
 @query("rsa_from_confidence", """
 SELECT structure, resnum, round(CASE WHEN plddt >= 90 THEN 0.1::DOUBLE WHEN plddt >= 70 THEN 0.15::DOUBLE + (90 - plddt) * 0.01::DOUBLE
   WHEN plddt >= 50 THEN 0.35::DOUBLE + (70 - plddt) * 0.015::DOUBLE ELSE 0.65::DOUBLE + (50 - plddt) * 0.01::DOUBLE END, 9) AS rsa,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from helixframe import constants as K
@@ -13,13 +14,15 @@ VCF_CHECK_FORMAT, VCF_CHECK_HEADER = 50, 100
 
 
 def existing_paths(spark: SparkSession, paths: Sequence[str]) -> list[str]:
-    """The given paths that exist and are not empty files."""
-    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    """The given paths that can be listed; Spark itself skips empty files."""
     keep = []
     for p in paths:
-        path = jvm.org.apache.hadoop.fs.Path(p)
-        fs = path.getFileSystem(conf)
-        if fs.exists(path) and (fs.getFileStatus(path).isDirectory() or fs.getFileStatus(path).getLen() > 0):
+        try:
+            spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(p)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+        else:
             keep.append(p)
     return keep
 
@@ -163,6 +166,13 @@ def nested_hit(json: Column) -> dict[str, Column]:
     }
 
 
+def read_hits(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """Annotation hits from text of an id, a tab and the hit's JSON: id and the columns of ``nested_hit``."""
+    parts = F.split("value", "\t", 2)
+    lines = spark.read.text(path).select(parts[0].alias("id"), parts[1].alias("hit"))
+    return lines.select("id", *[c.alias(n) for n, c in nested_hit(F.col("hit")).items()])
+
+
 def read_atoms(spark: SparkSession, path: str) -> DataFrame:
     """CA atoms of fixed-width structure text: resnum, x, y, z and confidence."""
     lines = spark.read.text(path)

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from helixframe.functions import parsing as P
 from helixframe.sources.readers import supported_genes
 
+MANIFEST = "batch_id string, n long"
 PREDICTION_COLUMNS = ("gene", "variant", "prediction", "probability", "risk_tier")
 
 
@@ -49,5 +51,35 @@ def observation_rows(requests: DataFrame, timestamp: Column) -> DataFrame:
         P.clean_text(F.coalesce("country", F.lit("unknown")), 60).alias("country"))
 
 
-def append_observations(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").parquet(path)
+def append_observations(rows: DataFrame, path: str, batch_id: str) -> None:
+    """Append a batch once, however often the call is repeated.
+
+    The rows replace whatever an earlier attempt left under the batch id, and the batch
+    counts from when its manifest is there: one small row with the number of rows, written
+    last. A batch that is published already is left as it is.
+    """
+    spark = rows.sparkSession
+    if batch_id in published(spark, path):
+        return
+    rows.write.mode("overwrite").parquet(f"{path}/data/batch={batch_id}")
+    n = spark.read.schema(rows.schema).parquet(f"{path}/data/batch={batch_id}").count()
+    spark.createDataFrame([(batch_id, n)], MANIFEST).coalesce(1).write.mode("overwrite").json(f"{path}/manifest/batch={batch_id}")
+
+
+def published(spark: SparkSession, path: str) -> list[str]:
+    """Batches whose manifest is there; a writer's file appears only when it is whole."""
+    try:
+        names = spark.read.schema(MANIFEST).json(f"{path}/manifest").select("batch_id").collect()  # one row per batch
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return []
+    return sorted({r["batch_id"] for r in names})
+
+
+def read_observations(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of all published batches; what a failed attempt left behind is not read."""
+    batches = published(spark, path)
+    if not batches:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*[f"{path}/data/batch={b}" for b in batches])

@@ -3,10 +3,13 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from helixframe.operators import calibration as C, metrics as M, neighbours as N, ranking as RK, sampling as SA
+from helixframe.operators import aggregates as AG, calibration as C, metrics as M, neighbours as N, ranking as RK, sampling as SA, training as TR, vectors as VE
+from helixframe.session import materialise
+from helixframe.sources import writers as WR
 
 
 @pytest.fixture(scope="module")
@@ -82,18 +85,34 @@ def test_beta_interval(spark):
     assert e == pytest.approx([1 - 0.975 ** (1 / 21), 1 - 0.025 ** (1 / 21)], abs=1e-9)
 
 
-def test_nearest_is_exact_with_small_cells(spark):
-    rng = np.random.default_rng(3)
-    t, q = rng.normal(size=(400, 3)).round(3), rng.normal(size=(60, 3)).round(3)
-    t[:130, 0] = 0.25  # a hot slice
-    train = spark.createDataFrame([("k", [float(x) for x in v]) for v in t], "k string, x array<double>").distinct()
-    qs = spark.createDataFrame([("k", [float(x) for x in v]) for v in q], "k string, x array<double>").distinct()
-    got = {tuple(r["x"]): [] for r in qs.collect()}
-    for r in N.nearest(qs, train, ["k"], "x", 3, k=3, buckets=8, cell_rows=25).collect():
-        got[tuple(r["x"])].append(r["distance"])
-    for v, d in got.items():
-        want = np.sort(np.sqrt(((np.unique(t, axis=0) - np.array(v)) ** 2).sum(1)))[:3]
-        assert sorted(d) == pytest.approx(list(want))
+@pytest.mark.parametrize("dims", [3, 40])
+def test_nearest_is_exact_with_small_cells(spark, dims):
+    rng = np.random.default_rng(dims)
+    t, q = rng.normal(size=(400, dims)).round(2), rng.normal(size=(60, dims)).round(2)
+    t[:130] = t[rng.integers(130, 140, 130)]  # many copies of few vectors
+    t[:40, 0] += 0.01
+    q[:10] = t[rng.integers(0, 400, 10)]
+    train = spark.createDataFrame([("k" if i % 3 else "z", [float(x) for x in v], i) for i, v in enumerate(t)], "k string, x array<double>, id long")
+    qs = spark.createDataFrame([("k", [float(x) for x in v], i) for i, v in enumerate(q)] + [("k", None, 99)], "k string, x array<double>, q int")
+    for size in ({}, {"pivots": 5, "cell_rows": 25}):
+        got = {}
+        for r in N.nearest(qs, train, ["k"], "x", "id", k=3, **size).collect():
+            got.setdefault(r["q"], []).append((r["distance"], r["neighbour_id"]))
+        assert got.pop(99) == [(None, None)]
+        for i, found in got.items():
+            d = np.round(np.sqrt(((t - q[i]) ** 2).sum(1)), 9)
+            assert sorted(found) == sorted((x, n) for n, x in enumerate(d.tolist()) if n % 3)[:3]
+
+
+def test_contrast_names_what_differs(spark):
+    train = spark.createDataFrame([("g", 0, 1, [0.0, 0.0, 5.0]), ("g", 1, 2, [0.0, 1.0, 0.0]), ("g", 1, 2, [0.0, 1.0, 0.0])], "gene string, label int, id long, x array<double>")
+    qs = spark.createDataFrame([("g", 0.9, [0.5, 0.0, 0.005], 1), ("g", 0.1, [0.0, 2.5, 0.0], 2), ("g", 0.1, [0.0, 1.0, 0.0], 3), ("h", 0.9, [0.0, 0.0, 0.0], 4)],
+                               "gene string, p double, x array<double>, q int")
+    got = {r["q"]: r for r in N.contrast(qs, train, ["gene"], "p", "label", "x", "id", ["a", "b", "c"]).collect()}
+    assert [tuple(d) for d in got[1]["key_differences"]] == [("c", 0.005, 5.0, 4.995, "high"), ("a", 0.5, 0.0, 0.5, "low")]
+    assert (got[1]["contrast_id"], got[1]["contrast_class"]) == (1, "Benign")
+    assert (got[2]["contrast_id"], got[2]["contrast_class"], got[2]["contrast_distance"], got[2]["key_differences"][0]["importance"]) == (2, "Pathogenic", 1.5, "moderate")
+    assert len(got) == 4 and all(got[q][c] is None for q in (3, 4) for c in ("contrast_id", "contrast_class", "contrast_distance", "key_differences"))
 
 
 def test_founder_containment(spark):
@@ -136,12 +155,96 @@ def test_nan_scores_are_missing(spark):
 def test_nearest_keeps_all_queries(spark):
     train = spark.createDataFrame([("k", [0.0, 0.0], 7), ("k", [0.0, 0.0], 3)], "k string, x array<double>, id long")
     qs = spark.createDataFrame([("k", [1.0, 0.0], 1), ("k", [1.0, 0.0], 1), ("z", [0.0, 0.0], 2)], "k string, x array<double>, q int")
-    got = sorted((r["k"], r["neighbour_id"], r["distance"]) for r in N.nearest(qs, train, ["k"], "x", 2, train_id="id").collect())
+    got = sorted((r["k"], r["neighbour_id"], r["distance"]) for r in N.nearest(qs, train, ["k"], "x", "id").collect())
     assert got == [("k", 3, 1.0), ("k", 3, 1.0), ("z", None, None)]
+    assert N.nearest(qs, train.limit(0), [], "x", "id").filter("neighbour_id IS NULL").count() == 3
+
+
+def test_isotonic_tree(spark):
+    """Blocks that reach over many nodes of the tree, against pooling in one list."""
+    rng = np.random.default_rng(8)
+    for shape in (lambda x: x, lambda x: 1 - x, lambda x: (x * 7) % 1, lambda x: 0.5 + 0 * x):
+        x = np.sort(rng.random(3000))
+        y = (rng.random(3000) < shape(x)).astype(int)
+        df = spark.createDataFrame([("g", float(a), int(b)) for a, b in zip(x, y)], "gene string, s double, y int")
+        got = sorted((r["gene"], r["lo"], r["hi"], r["weight"], r["mean"]) for r in C.isotonic_fit(df, "gene", "s", "y").collect())
+        want = C._pool_adjacent(pd.DataFrame({"lo": x, "hi": x, "weight": 1.0, "mean": y.astype(float)}))
+        want = [(g, *r) for g in ("_universal", "g") for r in want[["lo", "hi", "weight", "mean"]].itertuples(index=False, name=None)]
+        assert len(got) == len(want) and all(a[:4] == b[:4] and a[4] == pytest.approx(b[4]) for a, b in zip(got, want))
+
+
+def test_bootstrap_replicates(spark):
+    rng = np.random.default_rng(9)
+    s, y = rng.integers(0, 400, 3000) / 400, rng.integers(0, 2, 3000)
+    df = spark.createDataFrame([(float(a), int(b)) for a, b in zip(s, y)], "s double, y int")
+    got = {r["rep"]: (r["roc_auc"], r["pr_auc"]) for r in C.bootstrap_replicates(df, "s", "y", 40).collect()}
+    counts = M.score_counts(df, [], "s", "y").select("score", "pos", "neg", *[F.xxhash64(F.lit(42), F.lit(c), "score").alias(f"key_{c}") for c in ("pos", "neg")])
+    pdf = counts.toPandas().sort_values("score", ascending=False)
+    pos, neg = (C.draws(pdf[f"key_{c}"].to_numpy(), pdf[c].to_numpy(float), 40) for c in ("pos", "neg"))
+    for rep, (roc, pr) in got.items():
+        p, n = pos[:, rep], neg[:, rep]
+        tp, fp = np.cumsum(p), np.cumsum(n)
+        assert roc == pytest.approx((n * (tp - p / 2)).sum() / (p.sum() * n.sum()))
+        prec = np.append(1.0, np.where(tp + fp > 0, tp / np.maximum(tp + fp, 1), 1.0))
+        assert pr == pytest.approx((p * (prec[1:] + prec[:-1]) / 2).sum() / p.sum())
+    assert len(got) == 40
+    ci = C.bootstrap_metric_ci(df, "s", "y", 200).first()
+    assert ci["roc_auc_lo"] < M.roc_auc(df, [], "s", "y").first()["roc_auc"] < ci["roc_auc_hi"] and ci["replicates"] == 200
+
+
+def test_areas_in_one_pass(spark):
+    rng = np.random.default_rng(10)
+    df = spark.createDataFrame([("a" if i % 3 else "b", float(rng.integers(0, 50)) / 50, int(rng.integers(0, 2))) for i in range(600)], "g string, s double, y int")
+    got = {r["g"]: r for r in M.areas(df, ["g"], "s", "y").collect()}
+    for r in M.roc_auc(df, ["g"], "s", "y").join(M.pr_metrics(df, ["g"], "s", "y"), "g").collect():
+        assert all(got[r["g"]][c] == pytest.approx(r[c]) for c in ("n", "roc_auc", "pr_auc", "average_precision"))
+
+
+def test_principal_axes(spark):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(900, 7)) * np.array([9, 5, 3, 2, 1, 0.5, 0.1]) + 4
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(-1, None)], "id long, x array<double>").repartition(40)
+    got = {r["id"]: r["pca_components"] for r in VE.principal_components(df, "x", 3).collect()}
+    c = x - x.mean(axis=0)
+    axes = np.linalg.svd(c, full_matrices=False)[2][:3]
+    axes *= np.sign(axes[np.arange(3), np.argmax(np.abs(axes), axis=1)])[:, None]
+    assert got.pop(-1) is None and np.allclose([got[i] for i in range(900)], c @ axes.T, atol=1e-6)
+    assert VE.principal_components(df.limit(0), "x", 3).count() == 0
+
+
+def test_profile_and_constant_columns(spark):
+    df = spark.range(500).selectExpr("id", "7.0 AS same", "CAST(NULL AS DOUBLE) AS none", "IF(id = 499, 1.0, 0.0) AS rare", "IF(id % 2 = 0, NULL, 3) AS holes")
+    got = {r["feature"]: r for r in AG.column_profile(df, ["id", "same", "none", "rare", "holes"]).collect()}
+    assert [got[c]["constant"] for c in ("id", "same", "none", "rare", "holes")] == [False, True, True, False, True]
+    assert (got["id"]["lo"], got["id"]["hi"], got["id"]["mean"], got["holes"]["n"]) == (0, 499, 249.5, 250) and got["id"]["std"] == pytest.approx(np.arange(500).std())
+    assert AG.drop_constant(df, ["id", "same", "none", "rare", "holes"]).columns == ["id", "rare"]
+
+
+def test_observations_are_appended_once(spark, tmp_path):
+    rows = spark.range(10).selectExpr("id", "concat('v', id) AS v")
+    path = str(tmp_path / "log")
+    assert WR.read_observations(spark, path, "id long, v string").count() == 0
+    for _ in range(2):
+        WR.append_observations(rows, path, "a")
+    WR.append_observations(rows.filter("id < 3"), path, "b")
+    rows.write.parquet(f"{path}/data/batch=c")  # an attempt that did not publish
+    assert WR.published(spark, path) == ["a", "b"] and WR.read_observations(spark, path, "id long, v string").count() == 13
+    WR.append_observations(rows, path, "c")
+    assert WR.read_observations(spark, path, "id long, v string").count() == 23
 
 
 def test_oversampling_balances_exactly(spark):
-    from helixframe.operators import training as TR
-    df = spark.range(130).select("id", (F.col("id") < 40).cast("int").alias("y"), (F.col("id") % 17).cast("double").alias("a"), F.rand(1).alias("b"))
-    out = TR.oversample(df, ["a", "b"], "y", ["id"])
-    assert {r["y"]: r["count"] for r in out.groupBy("y").count().collect()} == {0: 90, 1: 90}
+    df = spark.range(130).select(F.col("id").alias("row"), (F.col("id") < 40).cast("double").alias("y"), (F.col("id") % 10).alias("f"),
+                                 F.array((F.col("id") % 17).cast("double"), F.rand(1), F.lit(0.0)).alias("x"))
+    df = materialise(df, "oversample-test")
+    made = TR.oversample(df, "y", "x", "row").collect()
+    assert len(made) == 50 and {r["y"] for r in made} == {1.0} and {r["fold"] for r in made} == {0}
+    small = np.array([r["x"] for r in df.filter("y = 1").collect()])
+    for r in made:  # every row lies between a minority row and one of its five nearest
+        v = np.array(r["x"])
+        d = np.sqrt(((small[:, None] - small[None]) ** 2).sum(-1))
+        ends = [(i, j) for i in range(40) for j in np.argsort(d[i], kind="stable")[1:8]]
+        assert min(np.linalg.norm(small[i] - v) + np.linalg.norm(v - small[j]) - d[i, j] for i, j in ends) < 1e-9
+    by_fold = TR.oversample(df, "y", "x", "row", fold="f").groupBy("fold").count().collect()
+    assert {r["fold"]: r["count"] for r in by_fold} == {f: 45 for f in range(10)}
+    assert TR.oversample(df.filter("y = 1"), "y", "x", "row").count() == 0
