@@ -2,13 +2,13 @@
 
 A line (lower-cased, digits as 0, white space folded) that more documents of one
 host hold than the limit allows is boilerplate: it is removed, and a document that
-loses nearly all its words this way is rejected. Documents with the same set of lines
-are copies and count as one, for a line and for its host; any other difference makes
-them distinct documents.
+loses nearly all its words this way is rejected. Documents are told apart by their whole
+texts as they stand: exact copies count as one, for a line and for its host, and any
+difference, of a digit too, makes distinct documents.
 
 Null or empty texts have no words and fail the base rule; a null host is a host of
 its own; equal rows get equal verdicts; an empty table gives an empty result; other
-columns are neither read nor changed.
+columns, whatever their names, are neither read nor changed.
 """
 
 from __future__ import annotations
@@ -20,17 +20,18 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from helixframe.llm.rows import boxed, unboxed, without_lines
 from helixframe.llm.text import SPACES, raw, window_hashes, word_hashes
 from helixframe.session import materialise
 
 SYMBOLS = b"#*$%&|<>"
 FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789", b"abcdefghijklmnopqrstuvwxyz" + b"0" * 9)
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-PROFILE = pa.schema([("row_key", pa.int64()), ("doc_id", pa.int64()), ("host", pa.string())]
+PROFILE = pa.schema([("row_key", pa.int64()), ("doc_id", pa.int64()), ("host", pa.string()), ("identity", pa.int64())]
                     + [(c, pa.int64()) for c in STATS]
-                    + [("identity", pa.int64()), ("lines", pa.list_(pa.int64())), ("line_words", pa.list_(pa.int32()))])
-PROFILE_DDL = ("row_key long, doc_id long, host string, " + ", ".join(f"{c} long" for c in STATS)
-               + ", identity long, lines array<long>, line_words array<int>")
+                    + [("lines", pa.list_(pa.int64())), ("line_words", pa.list_(pa.int32()))])
+PROFILE_DDL = ("row_key long, doc_id long, host string, identity long, " + ", ".join(f"{c} long" for c in STATS)
+               + ", lines array<long>, line_words array<int>")
 
 
 def repeated_words(words: np.ndarray, k: int = 5) -> int:
@@ -66,19 +67,11 @@ def profile_text(text: str | None) -> tuple[list[int], list[int], list[int]]:
     return stats, hashes, counts
 
 
-def line_set_hash(hashes: list[int], counts: list[int]) -> int:
-    """One hash of all distinct lines with words, in whatever order; 0 when there are none."""
-    held = sorted({h for h, n in zip(hashes, counts) if n})
-    h = xxhash.xxh3_64_intdigest(np.array(held, "<i8").tobytes()) if held else 0
-    return h - (1 << 64) if h >= 1 << 63 else h
-
-
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         done = [profile_text(t) for t in batch["text"].to_pylist()]
-        columns = [batch["row_key"], batch["doc_id"], batch["host"]]
+        columns = [batch["row_key"], batch["doc_id"], batch["host"], batch["identity"]]
         columns += [pa.array([d[0][i] for d in done], pa.int64()) for i in range(len(STATS))]
-        columns += [pa.array([line_set_hash(d[1], d[2]) for d in done], pa.int64())]
         columns += [pa.array([d[1] for d in done], pa.list_(pa.int64())), pa.array([d[2] for d in done], pa.list_(pa.int32()))]
         yield pa.RecordBatch.from_arrays(columns, schema=PROFILE)
 
@@ -98,7 +91,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     ``min_kept_share`` of its words remain.
     """
     rows = docs.select(row_key(id_col, host_col, text_col).alias("row_key"), F.col(id_col).cast("long").alias("doc_id"),
-                       F.col(host_col).cast("string").alias("host"), F.col(text_col).alias("text"))
+                       F.col(host_col).cast("string").alias("host"), F.xxhash64(text_col).alias("identity"), F.col(text_col).alias("text"))
     profile = materialise(rows.mapInArrow(_profile, PROFILE_DDL), "line-profile")
     each = profile.select("row_key", "host", "identity", F.posexplode(F.arrays_zip("lines", "line_words")).alias("pos", "l"))
     each = each.select("row_key", "host", "identity", "pos", F.col("l.lines").alias("line"), F.col("l.line_words").alias("words")).filter("words > 0")
@@ -130,11 +123,11 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
 def apply(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
           length_col: str | None = "n_chars", **limits) -> DataFrame:
     """Documents that pass, without their boilerplate lines, in the input's columns."""
-    verdicts = (judge(docs, id_col, text_col, host_col, **limits).filter("kept")
-                .select(F.col("row_key").alias("_key"), F.col("removed_lines").alias("_gone")).dropDuplicates(["_key"]))
-    joined = docs.withColumn("_key", row_key(id_col, host_col, text_col)).join(verdicts, "_key")
-    kept = F.array_join(F.filter(F.split(text_col, "\n", -1), lambda line, i: ~F.array_contains("_gone", i)), "\n")
-    out = joined.withColumn(text_col, F.when(F.size("_gone") > 0, kept).otherwise(F.col(text_col)))
+    verdicts = judge(docs, id_col, text_col, host_col, **limits).filter("kept").select(F.col("row_key").alias("judged"), "removed_lines").dropDuplicates(["judged"])
+    joined = boxed(docs, key=row_key(id_col, host_col, text_col)).join(verdicts, F.col("key") == F.col("judged"))
+    out = without_lines(joined, F.col("row").getField(text_col), "removed_lines", "left_text")
+    changed = {text_col: F.col("left_text")}
     if length_col and length_col in docs.columns:
-        out = out.withColumn(length_col, F.when(F.size("_gone") > 0, F.length(text_col).cast(docs.schema[length_col].dataType)).otherwise(F.col(length_col)))
-    return out.select(*docs.columns)
+        length = F.length("left_text").cast(docs.schema[length_col].dataType)
+        changed[length_col] = F.when(F.size("removed_lines") > 0, length).otherwise(F.col("row").getField(length_col))
+    return unboxed(out, docs.columns, **changed)
