@@ -1,19 +1,22 @@
 """Line dedup by pairwise alignment.
 
-Documents that share a line are found through line hashes: a rare line (RARE holders or
-fewer) pairs all its holders, a more frequent one pairs each holder with the earliest,
-so pairs grow with the lines and no holder is left out. So do hashes of runs of lines, of
-any length and frequency: the shortest from each line on and up to each line that have
-``min_block_chars``. Each line of a long enough block lies in such a run of the block, so
-its document meets the earliest one that holds that run. A pair is aligned by patience
-diff (lines unique on both sides, longest increasing subsequence, recursion between
-them); runs of aligned lines with ``min_block_chars`` characters or more are deleted from
-the later document. The earliest document keeps its lines.
+Documents that share lines are found through hashes of lines (``min_line_chars`` or more)
+and of runs of lines: the shortest from each line on and up to each line that have
+``min_block_chars``. Each line of a long enough block lies in such a run of the block.
+A hash pairs every later holder with the earliest one, so pairs grow with the lines, no
+holder is left out, and what a document loses to an earlier one does not depend on how
+many others hold the same lines. A pair is aligned by patience diff (lines unique on both
+sides, longest increasing subsequence, recursion between them); runs of aligned lines
+with ``min_block_chars`` characters or more are deleted from the later document. An
+alignment keeps one order, so blocks that changed places are not all found at once:
+shared runs that still hold a line not deleted are aligned again by themselves, with the
+other lines masked, until nothing more is deleted. The earliest document keeps its lines.
 
 Lines are compared without outer white space; blank lines find no partner but may be
 part of a block. Documents order by id, then text hash, null ids first; rows equal in
 both are one document and all keep what it keeps; null texts have no lines and stay null;
-an empty table gives an empty result; other columns are neither read nor changed.
+an empty table gives an empty result; other columns, whatever their names, are neither
+read nor changed.
 """
 
 from __future__ import annotations
@@ -26,10 +29,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from helixframe.llm.rows import boxed, unboxed, without_lines
 from helixframe.llm.text import mix, signed
 from helixframe.session import materialise
 
-RARE = 8
 _STEP = 0x9E3779B97F4A7C15
 _BACK = pow(_STEP, -1, 1 << 64)
 
@@ -88,31 +91,32 @@ def common_blocks(a: list[int], sizes: list[int], b: list[int], min_chars: int)
     return out
 
 
-def run_hashes(hashes: np.ndarray, sizes: np.ndarray, min_line: int, min_chars: int) -> np.ndarray:
-    """Distinct hashes of the shortest runs from each line on and up to each line that have ``min_chars``.
-
-    Runs of one line of ``min_line`` characters are left out: the line stands for itself.
-    """
+def run_hashes(hashes: np.ndarray, sizes: np.ndarray, min_line: int, min_chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first line and line after of each seed: lines of ``min_line`` characters or more, and the shortest runs from each line
+    on and up to each line that have ``min_chars``."""
     ends = np.append(0, np.cumsum(sizes, dtype=np.int64))
     full = np.flatnonzero(sizes > 0)
     need = max(1, min_chars)
+    alone = np.flatnonzero(sizes >= max(1, min_line))
     first = np.concatenate([full, np.searchsorted(ends, ends[full + 1] - need, "right") - 1])
     last = np.concatenate([np.searchsorted(ends, ends[full] + need, "left"), full + 1])  # line after the run
     ok = (first >= 0) & (last < len(ends))
-    ok[ok] = (last[ok] - first[ok] > 1) | (sizes[first[ok]] < min_line)
-    first, last = first[ok], last[ok]
+    first, last = np.concatenate([alone, first[ok]]), np.concatenate([alone + 1, last[ok]])
     if not len(first):
-        return np.empty(0, np.int64)
+        return np.empty(0, np.int64), first, last
+    first, last = np.unique(np.stack([first, last]), axis=1)
     powers, back = (np.cumprod(np.append(np.uint64(1), np.full(len(hashes), x, np.uint64)), dtype=np.uint64) for x in (_STEP, _BACK))
     total = np.append(np.uint64(0), np.cumsum(mix(hashes.view(np.uint64)) * powers[:-1], dtype=np.uint64))
-    return signed(np.unique(mix((total[last] - total[first]) * back[first] + np.uint64(_STEP))))
+    return signed(mix((total[last] - total[first]) * back[first] + np.uint64(_STEP))), first, last
 
 
-def _runs(min_line: int, min_chars: int):
+def _seeds(min_line: int, min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [run_hashes(np.array(h, np.int64), np.array(n, np.int64), min_line, min_chars) for h, n in zip(batch["h"].to_pylist(), batch["n"].to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch["id"], batch["k"], pa.array(found, pa.list_(pa.int64()))], ["id", "k", "runs"])
+            for id_, key, h, n in zip(*[batch[c].to_pylist() for c in ("id", "k", "h", "n")]):
+                found, first, last = run_hashes(np.array(h, np.int64), np.array(n, np.int64), min_line, min_chars)
+                yield pa.RecordBatch.from_arrays([pa.array([id_] * len(found), pa.int64()), pa.array([key] * len(found), pa.int64()), pa.array(found, pa.int64()),
+                                                  pa.array(first, pa.int32()), pa.array(last, pa.int32())], ["id", "k", "seed", "first", "last"])
     return run
 
 
@@ -127,35 +131,62 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.when(F.length(F.trim(x)) == 0, F.lit(0).cast("long")).otherwise(F.xxhash64(F.trim(x))).alias("h"), F.length(F.trim(x)).alias("n")))
     lined = docs.filter(F.col(text_col).isNotNull()).select(text_key(id_col, text_col).alias("key"), line.alias("l"))
     lined = materialise(lined.select("key", F.col("l.h").alias("h"), F.col("l.n").alias("n")), "lines")
-    lined = lined.dropDuplicates(["key"])
-    each = lined.select("key", F.explode(F.array_distinct(F.arrays_zip("h", "n"))).alias("x")).filter(F.col("x.n") >= min_line_chars).select("key", F.col("x.h").alias("h"))
-    runs = lined.select(F.col("key.id").alias("id"), F.col("key.h").alias("k"), "h", "n").mapInArrow(_runs(min_line_chars, min_block_chars), "id long, k long, runs array<long>")
-    runs = runs.select(F.struct("id", F.col("k").alias("h")).alias("key"), F.explode("runs").alias("h"))
-    each = each.distinct().withColumn("run", F.lit(False)).unionByName(runs.withColumn("run", F.lit(True)))
-    held = each.groupBy("run", "h").agg(F.count(F.lit(1)).alias("holders"), F.min("key").alias("first")).filter("holders > 1")
-    shared = materialise(each.join(held, ["run", "h"]), "shared-lines")
-    star = shared.filter("key != first").select(F.col("key").alias("later"), F.col("first").alias("earlier"))
-    rare = shared.filter(~F.col("run") & (F.col("holders") <= RARE)).groupBy("h").agg(F.sort_array(F.collect_list("key")).alias("keys"))  # RARE at most
-    rare = rare.select("keys", F.posexplode("keys").alias("i", "later")).select("later", F.explode(F.slice("keys", 1, F.col("i"))).alias("earlier"))
-    pairs = materialise(star.unionByName(rare).distinct(), "line-pairs")
-    both = (pairs.join(lined.select(F.col("key").alias("later"), F.col("h").alias("a"), F.col("n").alias("sizes")), "later")
+    lined = materialise(lined.dropDuplicates(["key"]), "lines-once")
+    seeds = lined.select(F.col("key.id").alias("id"), F.col("key.h").alias("k"), "h", "n").mapInArrow(
+        _seeds(min_line_chars, min_block_chars), "id long, k long, seed long, first int, last int")
+    seeds = materialise(seeds.select(F.struct("id", F.col("k").alias("h")).alias("key"), "seed", "first", "last"), "line-seeds")
+    held = seeds.groupBy("seed").agg(F.min("key").alias("earlier"), F.max("key").alias("latest")).filter("earlier != latest").drop("latest")
+    held = materialise(held, "shared-seeds")  # written first, so that the join sees two plain sides and can split a hot seed
+    shared = materialise(seeds.join(held, "seed").filter("key != earlier").select(F.col("key").alias("later"), "earlier", "first", "last").distinct(), "line-pairs")
+
+    gone, asked = None, shared.groupBy("later", "earlier").agg(F.lit(None).cast("array<struct<first:int,last:int>>").alias("only"))
+    while True:
+        found = materialise(_deleted(asked, lined, min_block_chars), "line-removals")
+        if gone is not None:
+            found = materialise(found.join(gone, ["key", "line"], "left_anti"), "line-removals-new")
+            if not found.limit(1).count():
+                break
+        gone = found if gone is None else materialise(gone.unionByName(found), "lines-gone")
+        # seeds of several lines or of a whole block's size that still have a line
+        lost = gone.groupBy("key").agg(F.collect_set("line").alias("lost"))
+        rest = shared.join(lost, F.col("later") == F.col("key"), "left").filter(
+            F.col("lost").isNull() | (F.size(F.array_except(F.sequence("first", F.col("last") - 1), "lost")) > 0))
+        rest = rest.join(lined.select(F.col("key").alias("k"), "n"), F.col("later") == F.col("k")).filter(
+            F.aggregate(F.slice("n", F.col("first") + 1, F.col("last") - F.col("first")), F.lit(0), lambda a, x: a + x) >= min_block_chars)
+        asked = materialise(rest.groupBy("later", "earlier").agg(F.collect_set(F.struct("first", "last")).alias("only")), "line-pairs-left")
+        if not asked.limit(1).count():
+            break
+    return gone.groupBy("key").agg(F.sort_array(F.collect_list("line")).alias("lines"))
+
+
+def _deleted(asked: DataFrame, lined: DataFrame, min_block_chars: int) -> DataFrame:
+    """key, line of every line deleted by aligning the pairs; ``only`` names the runs that are not masked (null: all lines)."""
+    both = (asked.join(lined.select(F.col("key").alias("later"), F.col("h").alias("a"), F.col("n").alias("sizes")), "later")
             .join(lined.select(F.col("key").alias("earlier"), F.col("h").alias("b")), "earlier"))
-    both = both.select(F.col("later.id").alias("id"), F.col("later.h").alias("h"), "a", "sizes", "b")
+    both = both.select(F.col("later.id").alias("id"), F.col("later.h").alias("h"), "a", "sizes", "b", F.col("only.first").alias("first"), F.col("only.last").alias("last"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [common_blocks(a, n, b, min_block_chars) for a, n, b in zip(*[batch[c].to_pylist() for c in ("a", "sizes", "b")])]
+            found = []
+            for a, n, b, first, last in zip(*[batch[c].to_pylist() for c in ("a", "sizes", "b", "first", "last")]):
+                if first is not None:
+                    open_lines = {i for x, y in zip(first, last) for i in range(x, y)}
+                    a = [x if i in open_lines else ("masked", i) for i, x in enumerate(a)]
+                found.append(common_blocks(a, n, b, min_block_chars))
             yield pa.RecordBatch.from_arrays([batch["id"], batch["h"], pa.array(found, pa.list_(pa.int32()))], ["id", "h", "lines"])
-    gone = both.mapInArrow(run, "id long, h long, lines array<int>").select(F.struct("id", "h").alias("key"), F.explode("lines").alias("line")).distinct()
-    return gone.groupBy("key").agg(F.sort_array(F.collect_list("line")).alias("lines"))
+    gone = both.mapInArrow(run, "id long, h long, lines array<int>").select(F.struct("id", "h").alias("key"), F.explode("lines").alias("line"))
+    return gone.distinct()
 
 
 def apply(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
-    """The input's columns without the deleted lines, plus n_lines and n_removed."""
-    gone = materialise(removed_lines(docs, id_col, text_col, **params), "line-removals").select(F.col("key.id").alias("_id"), F.col("key.h").alias("_h"), F.col("lines").alias("_lines"))
-    joined = docs.join(gone, (F.xxhash64(F.col(text_col)) == F.col("_h")) & F.col(id_col).cast("long").eqNullSafe(F.col("_id")), "left")
-    parts = F.split(text_col, "\n", -1)
-    kept = F.array_join(F.filter(parts, lambda line, i: ~F.array_contains("_lines", i)), "\n")
-    return joined.select(*[F.when(F.col("_lines").isNull(), F.col(c)).otherwise(kept).alias(c) if c == text_col else F.col(c) for c in docs.columns],
-                         F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("n_lines"),
-                         F.when(F.col("_lines").isNull(), 0).otherwise(F.size("_lines")).cast("long").alias("n_removed"))
+    """The input's columns without the deleted lines, plus n_lines and n_removed (which replace columns of those names)."""
+    gone = removed_lines(docs, id_col, text_col, **params).select("key", "lines")
+    key = F.struct(F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("id"), F.col(id_col).isNull().alias("unnamed"), F.xxhash64(text_col).alias("h"))
+    gone = gone.select(F.struct(F.coalesce("key.id", F.lit(0)).alias("id"), F.col("key.id").isNull().alias("unnamed"), F.col("key.h").alias("h")).alias("gone_key"), "lines")
+    rows = boxed(docs, key=key).join(gone, F.col("key") == F.col("gone_key"), "left")
+    text = F.col("row").getField(text_col)
+    out = without_lines(rows, text, "lines", "left_text")
+    counts = {"n_lines": F.coalesce(F.size(F.split(text, "\n", -1)), F.lit(0)).cast("long"), "n_removed": F.coalesce(F.size("lines"), F.lit(0)).cast("long")}
+    columns = [c for c in docs.columns if c not in counts]
+    return unboxed(out.withColumns({f"made_{n}": F.greatest(c, F.lit(0)) for n, c in counts.items()}), [*columns, *counts],
+                   **{text_col: F.col("left_text"), **{n: F.col(f"made_{n}") for n in counts}})
