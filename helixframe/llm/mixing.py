@@ -5,12 +5,14 @@ source size. Its fraction is rounded in pairs: one of the two takes mass from th
 other, at random but in expectation fairly, until one of them is integral; the
 one that is left meets the next. This happens within small groups of documents
 of similar size, then among the one residue of each group, in a tree of fixed
-fan-in. Copies are 0, 1 or 2; sums of copies are exact up to one per source.
+fan-in. The largest come first throughout, so that what is left to the last draw is
+small. Copies are 0, 1 or 2; sums of copies are exact up to one per source.
 
 A null text has size 0; a null source is a source of its own and comes last; a
-source without words has target 0; equal rows share one draw; an empty table gives
-an empty result; other columns are neither read nor changed. Draws come from
-hashes of the row, so that reruns agree.
+source without words has target 0; equal rows share one draw (and travel as one row
+with their number); an empty table gives an empty result; other columns, whatever their
+names, are neither read nor changed. Draws come from hashes of the row, so that reruns
+agree.
 """
 
 from __future__ import annotations
@@ -21,13 +23,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from helixframe.llm.rows import boxed, unboxed
 from helixframe.llm.text import WORD, mix
 from helixframe.operators.ranking import number_rows
 from helixframe.session import materialise
 
 GROUP = 4096  # documents in a first group, on average
 FAN_IN = 64  # residues that meet in one node of the tree
-STATE = "row_key long, doc_id long, source string, node long, size long, whole long, rest double"
+STATE = "row_key long, doc_id long, source string, times long, node long, size long, whole long, rest double"
 
 
 def row_key(*columns: str) -> Column:
@@ -80,13 +83,11 @@ def pivot(p: np.ndarray, keys: np.ndarray, seed: int) -> np.ndarray:
 
 def _round(seed: int, last: bool):
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["size", "row_key"], ignore_index=True)
-        first = ~part["row_key"].duplicated()
-        keys = part.loc[first, "row_key"].to_numpy(np.int64).view(np.uint64)
-        p = pivot(part.loc[first, "rest"].to_numpy(float), keys, seed)
+        part = part.sort_values(["size", "row_key"], ascending=[False, True], ignore_index=True)
+        keys = part["row_key"].to_numpy(np.int64).view(np.uint64)
+        rest = pivot(part["rest"].to_numpy(float), keys, seed)
         if last:
-            p = np.array([float(draw(k, k, seed) < x) if 0 < x < 1 else x for k, x in zip(keys, p)])
-        rest = part["row_key"].map(dict(zip(part.loc[first, "row_key"], p)))
+            rest = np.array([float(draw(k, k, seed) < x) if 0 < x < 1 else x for k, x in zip(keys, rest)])
         done = (rest == 0) | (rest == 1)
         return part.assign(whole=part["whole"] + np.where(done, rest, 0).astype(np.int64), rest=np.where(done, 0.0, rest))
     return run
@@ -96,11 +97,13 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 0) -> DataFrame:
     """One row per document: row_key, doc_id, source, size, source_size, target, copies, taken."""
     key = row_key(id_col, source_col, text_col)
-    sized = materialise(docs.select(
-        key.alias("row_key"), F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"),
-        F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "mix-sizes")
+    each = docs.select(key.alias("row_key"), F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"),
+                       F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    # equal rows have one key, and with it one id, source and size
+    same = each.groupBy("row_key").agg(*[F.first(c).alias(c) for c in ("doc_id", "source", "size")], F.count(F.lit(1)).alias("times"))
+    sized = materialise(same, "mix-sizes")
     # Code points order as their UTF-8 bytes do; the first two characters split the numbering.
-    sources = sized.groupBy("source").agg(F.sum("size").alias("size"))
+    sources = sized.groupBy("source").agg(F.sum(F.col("size") * F.col("times")).alias("size"))
     slot = F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.substring("source", 1, 2)))
     numbered = number_rows(sources, [], slot, [F.col("source").asc_nulls_last()])
     place = (F.col("row_number") - 1) % len(weights)
@@ -118,7 +121,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     plan = plan.join(sources, F.col("cs").eqNullSafe(F.col("s")))
     placed = rows.join(plan, rows["source"].eqNullSafe(F.col("cs")) & (rows["bucket"] == F.col("cb")))
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    state = placed.select("row_key", "doc_id", "source", (F.col("offset") + F.pmod(F.xxhash64("row_key"), F.col("slots"))).alias("node"), "size",
+    state = placed.select("row_key", "doc_id", "source", "times", (F.col("offset") + F.pmod(F.xxhash64("row_key"), F.col("slots"))).alias("node"), "size",
                           F.floor(expected).cast("long").alias("whole"), (expected - F.floor(expected)).alias("rest"))
     level = 0
     done = []
@@ -134,6 +137,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
+    out = out.withColumn("one", F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int"))))
     return (out.join(sources, out["source"].eqNullSafe(F.col("s")))
             .select("row_key", "doc_id", "source", "size", "source_size", "target", F.col("whole").alias("copies"),
                     (F.col("whole") * F.col("size")).alias("taken")))
@@ -142,6 +146,6 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def apply(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **params) -> DataFrame:
     """The mixture in the input's columns: each document as often as it is taken."""
     taken = mix_sources(docs, id_col, text_col, source_col, **params).filter("copies > 0")
-    taken = taken.groupBy(F.col("row_key").alias("_key")).agg(F.max("copies").cast("int").alias("_copies"))
-    return (docs.withColumn("_key", row_key(id_col, source_col, text_col)).join(taken, "_key")
-            .withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_copies")))).select(*docs.columns))
+    taken = taken.groupBy(F.col("row_key").alias("taken_key")).agg(F.max("copies").cast("int").alias("copies"))
+    rows = boxed(docs, key=row_key(id_col, source_col, text_col)).join(taken, F.col("key") == F.col("taken_key"))
+    return unboxed(rows.withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("copies")))), docs.columns)
