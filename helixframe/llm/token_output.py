@@ -31,6 +31,7 @@ from helixframe.session import materialise, shared_dir
 MAGIC = b"RANSIDS1"
 FOOT = "<Q8s"  # length of the directory, magic
 SEGMENT = rans.BLOCK * rans.AT_ONCE
+READ_TASKS = 10_000  # tasks that decode segments, at most; a task reads several beyond
 NO_ID = -(1 << 63)
 
 
@@ -131,8 +132,8 @@ def read(spark: SparkSession, written: DataFrame) -> DataFrame:
         return spark.createDataFrame([], schema)
     listed = spark.createDataFrame(starts, "path string, start long").repartition(min(len(starts), 256))
     segments = materialise(listed.mapInArrow(list_segments, "path string, offset long, bytes long, start long"), "token-segments")
-    total = segments.count()
-    return segments.repartition(max(1, total)).mapInArrow(decode, schema)
+    tasks = max(1, min(segments.count(), READ_TASKS))
+    return segments.repartitionByRange(tasks, "start").mapInArrow(decode, schema)
 
 
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, folder: str | None = None) -> DataFrame:

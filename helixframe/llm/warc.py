@@ -4,8 +4,8 @@
 equal payloads (``min_revisit`` bytes or more) the one with the largest page id is the
 response; the others are revisits without payload. ``build_index`` range-sorts the
 captures by reversed-host key into compressed blocks, one file per range, each with a
-sparse directory of its blocks' first keys. A look-up bisects the files' first keys,
-then the directory, and reads one block, then one record, by range.
+sparse directory of its blocks' first keys. ``lookup`` bisects the files' last keys, then
+the directory, reads one block, and ``fetch`` the records it names, by range.
 
 A null html is an empty payload; a null url has the key "-"; null page ids are the
 smallest; of rows with equal payload and page id the later url, then the later row,
@@ -145,19 +145,44 @@ class Index:
         return [json.loads(line) for line in zlib.decompress(files.read_range(path, offset, length)).decode().split("\n")]
 
     def find(self, url: str) -> list[list]:
-        """Captures of one url: bisect files, then blocks, then read."""
-        key, out = capture_key(url), []
-        lasts = [s[1] for s in self.shards]
-        for first, _, path in self.shards[bisect.bisect_left(lasts, key):]:
+        """Captures of one url."""
+        return list(Finder(self).captures(capture_key(url)))
+
+
+class Finder:
+    """Look-ups in an index by bisection: files by their last keys, the file's block directory, then one block.
+
+    The last directory and block stay at hand, so that keys asked in order read each once.
+    """
+
+    def __init__(self, index: Index):
+        self.shards, self.lasts = index.shards, [s[1] for s in index.shards]
+        self.path, self.blocks, self.firsts = None, [], []
+        self.place, self.rows, self.keys = None, [], []
+        self.reads = 0
+
+    def _open(self, path: str) -> None:
+        if path != self.path:
+            self.path, self.blocks = path, Index.directory(path)
+            self.firsts = [b[0] for b in self.blocks]
+            self.reads += 1
+
+    def _load(self, i: int) -> None:
+        if self.place != (self.path, i):
+            self.place, self.rows = (self.path, i), Index.block(self.path, *self.blocks[i][1:])
+            self.keys = [e[0] for e in self.rows]
+            self.reads += 1
+
+    def captures(self, key: str) -> Iterator[list]:
+        for first, _, path in self.shards[bisect.bisect_left(self.lasts, key):]:
             if first > key:
-                break
-            blocks = self.directory(path)
-            start = max(0, bisect.bisect_left([b[0] for b in blocks], key) - 1)
-            for b in blocks[start:]:
-                if b[0] > key:
+                return
+            self._open(path)
+            for i in range(max(0, bisect.bisect_left(self.firsts, key) - 1), len(self.blocks)):
+                if self.firsts[i] > key:
                     break
-                out += [e for e in self.block(path, b[1], b[2]) if e[0] == key]
-        return out
+                self._load(i)
+                yield from self.rows[bisect.bisect_left(self.keys, key):bisect.bisect_right(self.keys, key)]
 
 
 def build_index(captures: DataFrame, folder: str) -> Index:
@@ -194,18 +219,35 @@ def build_index(captures: DataFrame, folder: str) -> Index:
     return Index([(r["first"], r["last"], r["path"]) for r in shards.orderBy("first", "last").collect()])  # one row per file
 
 
-def read(spark: SparkSession, index: Index) -> DataFrame:
-    """Every capture of the index, read from the archives: page_id, payload_bytes, payload_digest, record_type, refers_to."""
-    if not index.shards:
-        return spark.createDataFrame([], RECORD)
+def lookup(index: Index, pages: DataFrame, url_col: str = "url") -> DataFrame:
+    """Captures of every distinct key among the pages' urls, each once. Keys are sorted, so a task walks one part of the index."""
+    def to_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([capture_key(u) for u in batch["url"].to_pylist()], pa.string())], ["key"])
 
-    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder = Finder(index)
         for batch in batches:
-            for path in batch["path"].to_pylist():
-                for _, offset, length in Index.directory(path):
-                    rows = Index.block(path, offset, length)
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()))], ENTRY_NAMES)
+            found = []
+            for key in batch["key"].to_pylist():
+                for entry in finder.captures(key):
+                    found.append(entry)
+                    if len(found) == 10_000:
+                        yield _entries(found)
+                        found = []
+            if found:
+                yield _entries(found)
+
+    keys = pages.select(F.col(url_col).cast("string").alias("url")).distinct().mapInArrow(to_keys, "key string").distinct()
+    return keys.repartitionByRange("key").sortWithinPartitions("key").mapInArrow(find, ENTRY)
+
+
+def _entries(rows: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()))], ENTRY_NAMES)
+
 
+def fetch(captures: DataFrame) -> DataFrame:
+    """The captures' records, read from the archives by range: page_id, payload_bytes, payload_digest, record_type, refers_to."""
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, f = None, None
         for batch in batches:
@@ -225,11 +267,11 @@ def read(spark: SparkSession, index: Index) -> DataFrame:
                              headers["WARC-Type"], int(refers) if refers else None))
             yield pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()))], RECORD_NAMES)
 
-    paths = spark.createDataFrame([(s[2],) for s in index.shards], "path string").repartition(min(len(index.shards), 256))
-    listed = paths.mapInArrow(entries, ENTRY)
-    return listed.repartitionByRange("path", "offset").sortWithinPartitions("path", "offset").select(*ENTRY_NAMES).mapInArrow(records, RECORD)
+    return captures.repartitionByRange("path", "offset").sortWithinPartitions("path", "offset").select(*ENTRY_NAMES).mapInArrow(records, RECORD)
 
 
-def round_trip(pages: DataFrame, folder: str | None = None, **columns) -> DataFrame:
+def round_trip(pages: DataFrame, folder: str | None = None, url_col: str = "url", **columns) -> DataFrame:
+    """Write the pages' archives, index them, look every page's url up and read the records."""
     folder = folder or shared_dir(pages.sparkSession, "archives")
-    return read(pages.sparkSession, build_index(write(pages, folder, **columns), folder))
+    index = build_index(write(pages, folder, url_col=url_col, **columns), folder)
+    return fetch(materialise(lookup(index, pages, url_col), "found-captures"))
