@@ -21,6 +21,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from helixframe.llm.rows import boxed, unboxed
 from helixframe.session import materialise
 
 UPPER, LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -100,10 +101,11 @@ def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
 
 
 def apply(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
-    """Documents that contain no item, in the input's columns."""
-    bad = find_items(docs.withColumn("_key", F.xxhash64(F.col(id_col), F.col(text_col))), items, "_key", text_col, **params)
-    bad = materialise(bad.select(F.col("doc_id").alias("_bad")).distinct(), "contaminated")
-    return docs.join(bad, F.xxhash64(F.col(id_col), F.col(text_col)) == F.col("_bad"), "left_anti")
+    """Documents that contain no item, in the input's columns (whatever their names)."""
+    key = F.xxhash64(F.col(id_col), F.col(text_col))
+    bad = find_items(docs.select(key.alias("key"), F.col(text_col).alias("text")), items, "key", "text", **params)
+    bad = materialise(bad.select("doc_id").distinct(), "contaminated")
+    return unboxed(boxed(docs, key=key).join(bad, F.col("key") == F.col("doc_id"), "left_anti"), docs.columns)
 
 
 ORACLE = """

@@ -4,10 +4,12 @@ Tokens (shingles) have one global order: by document frequency (powers of two),
 hash. Two similar
 sets of sizes n miss at most tau = n - ceil(t n) of each other's tokens, so their prefixes
 share a signature if tau + 1 removals are needed to break a prefix. A rare token is a
-signature by itself and counts 1. A frequent one (FREQUENT documents or more) only
-is one together with another of its class, where classes cut the frequent tokens by
-hash into more parts for larger sets; c tokens of a class count c - 1, so prefixes that
-reach into frequent tokens are extended. Tokens of one document are never sent.
+signature by itself and counts 1. A frequent one (in ``frequent_share`` of all documents
+or more) only is one together with another of its class, where classes cut the frequent
+tokens by hash into more parts for larger sets; c tokens of a class count c - 1, so
+prefixes that reach into frequent tokens are extended. Sets of fewer than
+``combine_from`` tokens have too few for classes and index all tokens singly. The two
+parameters decide the work, not the result. Tokens of one document are never sent.
 
 Equal sets are one class throughout; signatures, links and components join classes.
 Candidates of a signature are first paired with its least altered class (a star), verified
@@ -16,8 +18,9 @@ components is then paired in full, where sizes, places and bitmaps of the sets a
 the overlap, and verified, so that no link between components is lost.
 
 Null or empty texts have an empty set and link with nothing; null ids take part and
-are no component's id unless all are null; repeated rows give repeated results; an
-empty table gives an empty result; other columns are not read.
+are no component's id unless all are null; repeated rows give repeated results, and
+rows of one id with different texts are documents of their own; an empty table gives an
+empty result; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -32,12 +35,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from helixframe.llm import chunks
 from helixframe.llm.components import components
+from helixframe.llm.rows import boxed, unboxed
 from helixframe.llm.text import LOWER, mix, shingle_set, word_hashes
 from helixframe.session import materialise
 
-FREQUENT = 12  # log2 of the document frequency
+FREQUENT_SHARE = 1 / 64  # of the documents
 BITS = 2048  # slots of a set's bitmap
-SINGLES_BELOW = 6  # log2 of the set size below which all tokens are single signatures
+COMBINE_FROM = 64  # tokens of a set from which frequent ones are combined
 
 
 def need(n: int, percent: int) -> int:
@@ -58,8 +62,9 @@ def part_of(tokens: np.ndarray, level: int) -> np.ndarray:
     return (mix(tokens ^ np.uint64(0x517CC1B727220A95)) % np.uint64(parts(level))).astype(np.int64)
 
 
-def signatures(tokens: np.ndarray, shared: np.ndarray, frequency: np.ndarray, percent: int, frequent: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of a set and their places; ``shared`` and ``frequency`` (log2) tell of its tokens.
+def signatures(tokens: np.ndarray, shared: np.ndarray, frequency: np.ndarray, percent: int, frequent: int,
+               combine_from: int = COMBINE_FROM) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of a set and their places; ``shared`` and ``frequency`` (log2) tell of its tokens, ``frequent`` (log2) where frequent ones begin.
 
     The place bounds the common tokens: if a signature is the first that two sets share, by
     the rank of its last token, at most n - place tokens are common. No rare token before it
@@ -72,7 +77,7 @@ def signatures(tokens: np.ndarray, shared: np.ndarray, frequency: np.ndarray, pe
     t, s, f = tokens[order], shared[order], frequency[order]
     out, places, plain = [], [], False
     for level in levels(n, percent):
-        combined = (f >= frequent) & (level >= SINGLES_BELOW)
+        combined = (f >= frequent) & (2 ** level >= combine_from)
         if plain and not combined[:want].any():
             continue
         counts = np.ones(n, np.int64)
@@ -114,13 +119,18 @@ def class_of(tokens: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(tokens.tobytes())
 
 
+def counted(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    values, counts = np.unique(prints, return_counts=True)
+    return values, counts.astype("<u4")
+
+
 def _keys(k: int, buckets: int):
-    """Each chunk's tokens by bucket, one print per document that holds it."""
+    """Each chunk's tokens by bucket: distinct prints and in how many of its documents each stands."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, body in zip(batch["chunk"].to_pylist(), batch["body"].to_pylist()):
                 to, prints = chunks.place(np.concatenate([set_of(t, k) for t in chunks.unpack_texts(body)]), buckets)
-                rows = [(b, chunks.dump(prints[at])) for b, at in chunks.by_bucket(to, buckets)]
+                rows = [(b, chunks.dump(*counted(prints[at]))) for b, at in chunks.by_bucket(to, buckets)]
                 yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(rows), pa.int64()), pa.array([b for b, _ in rows], pa.int32()),
                                                   pa.array([d for _, d in rows], pa.binary())], ["chunk", "bucket", "body"])
     return run
@@ -129,12 +139,12 @@ def _keys(k: int, buckets: int):
 def _frequencies(table: pa.Table) -> pa.Table:
     """Per chunk, which of its keys other documents hold too, and log2 of in how many."""
     bucket, chunk_ids = table["bucket"][0].as_py(), table["chunk"].to_pylist()
-    prints = [chunks.load(b, "<u4")[0] for b in table["body"].to_pylist()]
-    values, counts = np.unique(np.concatenate(prints), return_counts=True)
+    pairs = [chunks.load(b, "<u4", "<u4") for b in table["body"].to_pylist()]
+    values, back = np.unique(np.concatenate([p for p, _ in pairs]), return_inverse=True)
+    counts = np.bincount(back, np.concatenate([c for _, c in pairs]), len(values))
     values, log = values[counts > 1], np.floor(np.log2(counts[counts > 1])).astype(np.uint8)
     bodies = []
-    for p in prints:
-        p = np.unique(p)
+    for p, _ in pairs:
         at = np.minimum(np.searchsorted(values, p), max(0, len(values) - 1))
         own = at[values[at] == p] if len(values) else at[:0]
         bodies.append(chunks.dump(values[own], log[own]))
@@ -142,7 +152,7 @@ def _frequencies(table: pa.Table) -> pa.Table:
                     names=["chunk", "bucket", "body"])
 
 
-def _signatures(k: int, percent: int, buckets: int, frequent: int):
+def _signatures(k: int, percent: int, buckets: int, frequent: int, combine_from: int):
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
         keys, logs = [], []
         for b, body in zip(answers["bucket"].to_pylist(), answers["body"].to_pylist()):
@@ -153,7 +163,7 @@ def _signatures(k: int, percent: int, buckets: int, frequent: int):
         order = np.argsort(keys)
         keys, logs = np.append(keys[order], np.uint64(2 ** 64 - 1)), np.append(logs[order], 0)
         seen, found, places, owners, sizes, tokens, bits = set(), [], [], [], [], [], []
-        ids, every_size, every_class = sum(texts["ids"].to_pylist(), []), [], []
+        ids, versions, every_size, every_class = sum(texts["ids"].to_pylist(), []), sum(texts["sizes"].to_pylist(), []), [], []
         for body in texts["body"].to_pylist():
             for text in chunks.unpack_texts(body):
                 s = set_of(text, k)
@@ -166,7 +176,7 @@ def _signatures(k: int, percent: int, buckets: int, frequent: int):
                 wanted = chunks.join_key(*chunks.place(s, buckets))
                 at = np.searchsorted(keys, wanted)
                 shared = keys[at] == wanted
-                sig, place = signatures(s, shared, np.where(shared, logs[at], 0), percent, frequent)
+                sig, place = signatures(s, shared, np.where(shared, logs[at], 0), percent, frequent, combine_from)
                 if len(sig):
                     owners.append(name)
                     found.append(sig.view(np.int64))
@@ -177,9 +187,9 @@ def _signatures(k: int, percent: int, buckets: int, frequent: int):
         rest = len(owners)
         return pa.table([pa.array([*owners, None], pa.binary()), pa.array([*sizes, None], pa.int64()), pa.array([*found, None], pa.list_(pa.int64())),
                          pa.array([*places, None], pa.list_(pa.int32())), pa.array([*tokens, None], pa.list_(pa.int64())), pa.array([*bits, None], pa.list_(pa.int64())),
-                         pa.array([None] * rest + [ids], pa.list_(pa.int64())), pa.array([None] * rest + [every_size], pa.list_(pa.int64())),
+                         *[pa.array([None] * rest + [x], pa.list_(pa.int64())) for x in (ids, versions, every_size)],
                          pa.array([None] * rest + [every_class], pa.list_(pa.binary()))],
-                        names=["class", "n", "signatures", "places", "tokens", "bits", "ids", "sizes", "classes"])
+                        names=["class", "n", "signatures", "places", "tokens", "bits", "ids", "versions", "sizes", "classes"])
     return run
 
 
@@ -208,15 +218,23 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.filter(100 * F.col("i") >= percent * (F.col("n") - F.col("i"))).select("a", "b")
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85, frequent: int = FREQUENT) -> DataFrame:
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85, **work) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
+    return _grouped(docs, id_col, text_col, k, percent, **work).select(
+        "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("first.doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, frequent_share: float = FREQUENT_SHARE, combine_from: int = COMBINE_FROM) -> DataFrame:
+    """doc_id, version (hash of the text), n_shingles and ``first``, the smallest (doc_id, version) of the component, per document."""
     buckets = chunks.bucket_count(docs.sparkSession)
-    packs = chunks.pack(docs, None, id_col, text_col, "join-packs")
+    packs = chunks.pack(docs, None, id_col, text_col, "join-packs", F.xxhash64(text_col))
+    total = packs.agg(F.sum(F.size("ids"))).first()[0] or 0
+    frequent = max(1, int(max(2, frequent_share * total)).bit_length() - 1)
     keys = packs.select("chunk", "body").mapInArrow(_keys(k, buckets), "chunk long, bucket int, body binary")
     heard = chunks.answer(keys, ["bucket"], _frequencies, "chunk long, bucket int, body binary")
     schema = ("class binary, n long, signatures array<long>, places array<int>, tokens array<long>, bits array<long>, "
-              "ids array<long>, sizes array<long>, classes array<binary>")
-    both = materialise(chunks.rejoin(packs, heard, _signatures(k, percent, buckets, frequent), schema), "join-signatures")
+              "ids array<long>, versions array<long>, sizes array<long>, classes array<binary>")
+    both = materialise(chunks.rejoin(packs, heard, _signatures(k, percent, buckets, frequent, combine_from), schema), "join-signatures")
     own = both.filter("class IS NOT NULL")
     sets = own.select("class", "tokens").dropDuplicates(["class"])
     rows = own.select("class", "n", F.explode(F.arrays_zip("signatures", "places")).alias("s")).select("class", "n", F.col("s.signatures").alias("sig"), F.col("s.places").alias("place"))
@@ -247,26 +265,31 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if late.limit(1).count():
         roots = components(links.unionByName(late))
 
-    each = both.filter("class IS NULL").select(F.explode(F.arrays_zip("ids", "sizes", "classes")).alias("d"))
-    each = each.select(F.col("d.ids").alias("doc_id"), F.col("d.sizes").alias("n_shingles"), F.col("d.classes").alias("class"))
-    placed = each.join(roots, F.col("class") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("root", "class").alias("root"))
+    each = both.filter("class IS NULL").select(F.explode(F.arrays_zip("ids", "versions", "sizes", "classes")).alias("d"))
+    each = each.select(F.col("d.ids").alias("doc_id"), F.col("d.versions").alias("version"), F.col("d.sizes").alias("n_shingles"), F.col("d.classes").alias("class"))
+    placed = each.join(roots, F.col("class") == F.col("node"), "left").select("doc_id", "version", "n_shingles", F.coalesce("root", "class").alias("root"))
     placed = materialise(placed, "join-placed")
-    first = placed.filter("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("first"))
-    return (placed.join(first, "root", "left")
-            .select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("first")).otherwise(F.col("doc_id")).alias("component_id")))
+    # null ids come last; written first, so that the join sees two plain sides and can split a large component
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "version")).alias("first")
+    first = materialise(placed.filter("n_shingles > 0").groupBy("root").agg(least), "join-firsts")
+    return placed.join(first, "root", "left").drop("root")
 
 
 def apply(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
-    """One document of each group (the smallest id), in the input's columns.
+    """One document of each group, the smallest by id, then by text hash, in the input's columns.
 
-    Of rows with one id one stays; rows without an id cannot be told apart and stay.
+    Rows equal in id and text are one document, of which one row stays; rows of one id
+    with unlike texts are decided each for itself. Rows without a shingle or an id stay.
     """
-    groups = similar_groups(docs, id_col, text_col, **params)
-    groups = materialise(groups, "join-groups")
-    losers = materialise(groups.filter("doc_id != component_id").select(F.col("doc_id").alias("_lost")).distinct(), "join-losers")
-    kept = docs.join(losers, F.col(id_col) == F.col("_lost"), "left_anti")
-    again = materialise(groups.filter("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias("_again")), "join-again")
-    if not again.limit(1).count():
-        return kept
-    once = kept.join(again, F.col(id_col) == F.col("_again"), "left_semi").dropDuplicates([id_col])
-    return kept.join(again, F.col(id_col) == F.col("_again"), "left_anti").unionByName(once)
+    p = {"k": 4, "percent": 85} | params
+    groups = _grouped(docs, id_col, text_col, **p).filter("n_shingles > 0 AND doc_id IS NOT NULL")
+    groups = materialise(groups.select("doc_id", "version", ((F.col("doc_id") == F.col("first.doc_id")) & (F.col("version") == F.col("first.version"))).alias("stays")), "join-groups")
+    lost = groups.filter("NOT stays").select("doc_id", "version").distinct()
+    rows = boxed(docs, id=F.col(id_col).cast("long"), text_hash=F.xxhash64(text_col))
+    same = (F.col("id") == F.col("doc_id")) & (F.col("text_hash") == F.col("version"))
+    kept = rows.join(lost, same, "left_anti")
+    again = materialise(groups.filter("stays").groupBy("doc_id", "version").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "join-again")
+    if again.limit(1).count():
+        once = kept.join(again, same, "left_semi").dropDuplicates(["id", "text_hash"])
+        kept = kept.join(again, same, "left_anti").unionByName(once)
+    return unboxed(kept, docs.columns)

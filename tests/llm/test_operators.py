@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from helixframe.llm import classifier, decontaminate, line_dedup, mixing, ngram_join, ppm, quality_rules, rans, suffix_dedup, token_output, warc
 from helixframe.llm.components import components
@@ -29,25 +30,42 @@ def counted(values):
 
 # Line dedup
 
+def line_seeds(lines, min_line, min_block):
+    """(first, after) of lines that stand for themselves and of the shortest runs from each line on and up to each line."""
+    n, sizes = len(lines), [len(x) for x in lines]
+    out = {(i, i + 1) for i in range(n) if sizes[i] >= min_line}
+    for i in range(n):
+        if sizes[i]:
+            out |= {(i, j) for j in range(i + 1, n + 1) if sum(sizes[i:j]) >= min_block and sum(sizes[i:j - 1]) < min_block}
+            out |= {(j, i + 1) for j in range(i + 1) if sum(sizes[j:i + 1]) >= min_block and sum(sizes[j + 1:i + 1]) < min_block}
+    return out
+
+
 def brute_line_dedup(rows, min_line=20, min_block=40):
     docs = {}
     for r in rows:
         if r[1] is not None:
             docs[((r[0] is not None, r[0] or 0), r[1])] = [x.strip(" ") for x in r[1].split("\n")]
-    order = sorted(docs, key=lambda k: k[0])
-    holders = defaultdict(set)
-    for k in order:
-        for line in docs[k]:
-            if len(line) >= min_line:
-                holders[line].add(k)
-    gone = defaultdict(set)
-    for held in holders.values():
-        held = sorted(held, key=lambda k: k[0])
-        pairs = [(b, a) for i, a in enumerate(held) for b in held[i + 1:]] if len(held) <= line_dedup.RARE else [(b, held[0]) for b in held[1:]]
-        for later, earlier in pairs:
-            a, b = docs[later], docs[earlier]
-            code = {x: i for i, x in enumerate({*a, *b})}
-            gone[later] |= set(line_dedup.common_blocks([code[x] for x in a], [len(x) for x in a], [code[x] for x in b], min_block))
+    first, gone = {}, defaultdict(set)
+    for k in sorted(docs, key=lambda k: k[0]):
+        lines = docs[k]
+        shared = []
+        for i, j in line_seeds(lines, min_line, min_block):
+            earlier = first.setdefault(tuple(lines[i:j]), k)
+            if earlier != k:
+                shared.append((earlier, i, j))
+        rest, full = shared, True
+        while rest:
+            new = set()
+            for earlier in {e for e, _, _ in rest}:
+                open_lines = {x for e, i, j in rest if e == earlier for x in range(i, j)}
+                code = {x: n for n, x in enumerate({*lines, *docs[earlier]})}
+                a = [code[x] if full or i in open_lines else ("masked", i) for i, x in enumerate(lines)]
+                new |= set(line_dedup.common_blocks(a, [len(x) for x in lines], [code[x] for x in docs[earlier]], min_block))
+            if not new - gone[k]:
+                break
+            gone[k] |= new
+            rest, full = [(e, i, j) for e, i, j in shared if not set(range(i, j)) <= gone[k] and sum(len(x) for x in lines[i:j]) >= min_block], False
     return gone
 
 
@@ -82,11 +100,12 @@ def test_line_dedup_short_lines(spark):
 
 def test_run_hashes():
     h, n = np.arange(1, 7, dtype=np.int64), np.array([10, 0, 35, 10, 50, 5])
-    runs = line_dedup.run_hashes(h, n, 20, 40)
+    seeds = line_dedup.run_hashes(h, n, 20, 40)
     again = line_dedup.run_hashes(h[2:5], n[2:5], 20, 40)
-    assert len(again) == 2 and set(again.tolist()) <= set(runs.tolist())
-    assert len(runs) == 4  # lines 0-2, 2-3, 3-4, 4-5
-    assert len(line_dedup.run_hashes(h[:0], n[:0], 20, 40)) == len(line_dedup.run_hashes(h[:2], n[:2], 20, 40)) == 0
+    assert list(zip(again[1].tolist(), again[2].tolist())) == [(0, 1), (0, 2), (1, 3), (2, 3)]
+    whole = dict(zip(zip(seeds[1].tolist(), seeds[2].tolist()), seeds[0].tolist()))
+    assert [whole[i + 2, j + 2] for i, j in zip(*again[1:])] == again[0].tolist() and len(set(whole.values())) == len(whole)
+    assert len(line_dedup.run_hashes(h[:0], n[:0], 20, 40)[0]) == 0
 
 
 def test_patience():
@@ -95,6 +114,45 @@ def test_patience():
     assert line_dedup.patience([], [1]) == []
 
 
+@pytest.mark.parametrize("n", [6, 14, 500])
+def test_line_dedup_whatever_the_size(spark, n):
+    """Lines that changed places are lost by every later document, however many hold them."""
+    p, q = "p" * 50, "q" * 50
+    rows = [(1, f"{q}\n{p}")] + [(i, f"{p}\n{q}\nan own line of document {i}") for i in range(2, n + 1)]
+    got = {r.doc_id: r.text for r in line_dedup.apply(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: rows[0][1]} | {i: f"an own line of document {i}" for i in range(2, n + 1)}
+
+
+def test_line_dedup_of_moved_blocks(spark):
+    rng, blocks = np.random.default_rng(4), [[f"block {b} line {i} {'x' * 20}" for i in range(3)] for b in range(6)]
+    rows = []
+    for i in range(30):
+        picked = rng.permutation(6)[:rng.integers(1, 6)]
+        rows.append((i, "\n".join(x for b in picked for x in [*blocks[b][rng.integers(0, 2):], f"own {i}"])))
+    got = line_dedup.apply(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    gone = brute_line_dedup(rows)
+    assert {r.doc_id: r.n_removed for r in got} == {i: len(gone.get(((True, i), t), ())) for i, t in rows}
+
+
+# Columns of the input that carry the operators' own names
+
+NAMES = ["key", "row", "id", "h", "n", "lines", "gone", "copy", "copies", "taken_key", "judged", "removed_lines", "left_text", "version", "text_hash", "first", "doc", "size",
+         "_key", "_copy", "_copies", "_gone", "_bad", "_lines", "_lost", "_again", "_id", "_h", "class", "root", "node", "stays", "made_n_lines", "_lines_of_text", "row_key"]
+
+
+def test_clashing_columns(spark, docs, rows):
+    plain = docs.select("doc_id", "text", "source", "n_chars")
+    odd = plain.select("*", *[F.lit(f"own {n}").alias(n) for n in NAMES], F.lit("own").alias("n_lines"), F.lit("own").alias("n_removed"))
+    items = spark.createDataFrame([(1, rows[7][1])], "item_id long, text string")
+    for apply in (line_dedup.apply, quality_rules.apply, mixing.apply, ngram_join.apply, lambda d: decontaminate.apply(d, items)):
+        out, want = apply(odd), apply(plain)
+        counts = [c for c in ("n_lines", "n_removed") if c in want.columns]
+        assert sorted(out.columns) == sorted(odd.columns)
+        same = ["doc_id", "text", "source", "n_chars", *counts]
+        assert counted(out.select(*same).collect()) == counted(want.select(*same).collect())
+        assert {tuple(r) for r in out.select(*NAMES).collect()} == {tuple(f"own {n}" for n in NAMES)}
+
+
 # Quality classifier
 
 def test_classifier(spark, rows):
@@ -122,7 +180,7 @@ def test_warc(spark):
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
     folder = shared_dir(spark, "warc-test")
     index = warc.build_index(warc.write(df, folder), folder)
-    got = warc.read(spark, index).collect()
+    got = warc.fetch(warc.lookup(index, df)).collect()
     groups = defaultdict(list)
     for p, _, h in pages:
         groups[(h or "").encode()].append(p)
@@ -150,6 +208,16 @@ def test_index_of_many_blocks(spark):
     index = warc.build_index(warc.write(df, folder), folder)
     for i in (0, 450, 899):
         assert [e[1] for e in index.find(f"http://h{i % 7}.org/{i}")] == [i]
+    finder = warc.Finder(index)
+    keys = sorted(warc.capture_key(f"http://h{i % 7}.org/{i}") for i in range(100, 110))
+    assert sum(len(list(finder.captures(k))) for k in keys) == 10
+    assert finder.reads <= 2 * 7 + len(index.shards)  # directories and blocks of seven hosts, not of the whole index
+    assert warc.lookup(index, df.filter("page_id < 50")).count() == 50
+
+
+def test_hot_url_over_many_blocks(spark):
+    df = spark.range(1500).selectExpr("id as page_id", "if(id < 900, 'http://hot.org/', concat('http://h.org/', id)) as url", "concat('t', id) as html")
+    assert counted([r.page_id] for r in warc.round_trip(df).collect()) == counted([i] for i in range(1500))
 
 
 # Mixing
@@ -186,6 +254,25 @@ def test_mixing(docs, rows):
     assert all(copies[i] == n for i, n in unique.items() if i not in (2,))
 
 
+def test_largest_are_rounded_first(spark):
+    """What a source takes differs from its target by a small document, not by its largest."""
+    rng = np.random.default_rng(3)
+    sizes = np.concatenate([rng.integers(1, 60, 300), rng.integers(2_000, 6_000, 25)])
+    rows = [(i, "w " * int(n), f"s{i % 3}") for i, n in enumerate(sizes)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    errors = []
+    for seed in range(6):
+        got = mixing.mix_sources(df, seed=seed).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+        errors += [r.taken - r.target for r in got]
+    assert np.sqrt(np.mean(np.square(errors))) < 2_000
+
+
+def test_mixing_of_repeated_rows(spark):
+    df = spark.range(4_000).selectExpr("if(id < 3000, 7, id) as doc_id", "if(id < 3000, 'same words here', concat('text ', id)) as text", "'s' as source")
+    got = mixing.mix_sources(df).groupBy("doc_id").agg(F.count("*").alias("n"), F.countDistinct("copies").alias("draws")).collect()
+    assert len(got) == 1001 and {r.n for r in got if r.doc_id == 7} == {3000} and all(r.draws == 1 for r in got)
+
+
 def test_pivot():
     rng = np.random.default_rng(1)
     p = rng.random(501)
@@ -477,8 +564,29 @@ def test_combinations_of_frequent_tokens(spark):
         for _ in range(i % 9):
             w[rng.integers(300)] = f"u{i}x{rng.integers(999)}"
         rows.append((i, " ".join(w)))
-    got = ngram_join.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), frequent=1).collect()
-    assert counted(got) == counted(brute_components(rows))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for work in ({"frequent_share": 0.0}, {"frequent_share": 0.0, "combine_from": 1}, {"frequent_share": 1.0}):
+        assert counted(ngram_join.similar_groups(df, **work).collect()) == counted(brute_components(rows))
+
+
+def test_query_combines_frequent_tokens(spark):
+    """With the query's own parameters the given table has frequent tokens, and they are only indexed in combinations."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    rows = [tuple(r) for r in docs.collect()]
+    held = Counter(g for _, t in rows for g in shingles(t, 4))
+    frequent = max(1, int(max(2, ngram_join.FREQUENT_SHARE * len(rows))).bit_length() - 1)
+    assert sum(n >= 2 ** frequent for n in held.values()) > 100
+    tokens = np.arange(1, 200, dtype=np.uint64)
+    places = ngram_join.signatures(tokens, np.ones(199, bool), np.full(199, frequent), 85, frequent)
+    single = ngram_join.signatures(tokens, np.ones(199, bool), np.full(199, frequent - 1), 85, frequent)
+    assert len(places[0]) and not len(np.intersect1d(places[0], single[0]))
+    assert counted(ngram_join.similar_groups(docs).collect()) == counted(brute_components(rows))
+
+
+def test_one_id_with_several_texts(spark):
+    rows = [(1, "a b c d e f"), (2, "a b c d e f"), (2, "quite another text of its own"), (3, "a b c d e f"), (3, "a b c d e f"), (None, "a b c d e f"), (4, None), (4, "")]
+    kept = ngram_join.apply(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert counted(kept) == counted([rows[0], rows[2], rows[5], rows[6], rows[7]])
 
 
 def test_prefixes_share_a_signature():
@@ -495,7 +603,7 @@ def test_prefixes_share_a_signature():
             frequency = dict(zip(np.union1d(a, b).tolist(), rng.integers(1, 14, 2 * n).tolist()))
             found = []
             for s in (a, b):
-                found.append(ngram_join.signatures(s, np.ones(len(s), bool), np.array([frequency[x] for x in s.tolist()]), 85)[0])
+                found.append(ngram_join.signatures(s, np.ones(len(s), bool), np.array([frequency[x] for x in s.tolist()]), 85, 7)[0])
             assert len(np.intersect1d(*found))
 
 
