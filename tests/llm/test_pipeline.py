@@ -51,22 +51,23 @@ def test_near_copies_at_the_pipeline_s_threshold(spark):
     """A pair of similarity 0.82 in five-word shingles is one document for the pipeline, two for the query's contract."""
     base = [f"w{i}" for i in range(204)]
     other = base.copy()
-    other[3:13] = [f"x{i}" for i in range(10)]
+    other[5:21] = [f"x{i}" for i in range(16)]
     rows = [(1, " ".join(base)), (2, " ".join(other)), (3, " ".join(f"y{i}" for i in range(50)))]
     a, b = (shingles(t, 5) for _, t in rows[:2])
-    assert 0.8 <= len(a & b) / len(a | b) < 0.87
+    assert 0.8 <= len(a & b) / len(a | b) < 0.83
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r.doc_id for r in corpus_pipeline.keep_one_of_each(spark, df, SF).collect()) == [1, 3]
 
 
 def test_template_pages_lose_their_lines(spark):
-    """A line that a hundred pages of one host share goes, whether the pages differ in words or in digits only."""
-    for own in ("page {i} of the list", "unit of {w} words"):
-        body = " ".join(f"word{k}" for k in range(30))
-        rows = [(i, f"all rights reserved by the same owner\n{body} {i} " + own.format(i=i, w="abcdefghij"[i % 10] * (1 + i // 10)), "en", "host", 9) for i in range(100)]
+    """A line that a hundred pages of one host share goes; pages that differ in a number only are all template and go as a whole."""
+    body = " ".join(f"word{k}" for k in range(30))
+    letters = lambda i: "".join("abcdefghij"[int(d)] for d in str(i))
+    for own, kept in (("page called {w}", True), ("page number {i}", False)):
+        rows = [(i, f"all rights reserved by the same owner\n{body} " + own.format(i=i, w=letters(i)), "en", "host", 9) for i in range(100, 200)]
         docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
         out = corpus_pipeline.keep_quality(spark, docs, SF).collect()
-        assert len(out) == 100 and not any("rights" in r.text for r in out) and all(r.n_chars == len(r.text) for r in out)
+        assert len(out) == (100 if kept else 0) and not any("rights" in r.text for r in out) and all(r.n_chars == len(r.text) for r in out)
 
 
 def test_empty_table_and_odd_columns(spark):
