@@ -70,12 +70,19 @@ def structure_rules(dist_dna: Column, dist_palb2: Column, critical: Column) -> R
     return {"PM1": (near_dna | near_partner | critical, F.concat(F.lit("Structural disruption: "), reasons))}
 
 
-def known_rules(same_change: Column, same_position: Column, founder: Column) -> Rules:
+def founder_text(population: Column, frequency: Column, source: Column) -> Column:
+    """Rationale of a founder mutation with its population, frequency among the affected and source."""
+    return F.concat(F.lit("Known "), F.coalesce(population, F.lit("regional")), F.lit(" founder mutation, found in "),
+                    F.when(frequency.isNull(), "an unknown share").otherwise(_percent(frequency, 1)), F.lit(" of affected individuals, more than in controls ("),
+                    F.coalesce(source, F.lit("published literature")), F.lit(")"))
+
+
+def known_rules(same_change: Column, same_position: Column, founder: Column, founder_reason: Column | None = None) -> Rules:
     return {
         "PS1": (same_change, F.lit("Same amino acid change as an established pathogenic variant")),
         "PM5": (same_position & ~same_change,
                 F.lit("Different pathogenic missense variant established at this position")),
-        "PS4": (founder, F.lit("Known founder mutation; prevalence in cases exceeds controls")),
+        "PS4": (founder, F.lit("Known founder mutation; prevalence in cases exceeds controls") if founder_reason is None else founder_reason),
     }
 
 
@@ -121,7 +128,7 @@ _OPTIONAL_FLAGS = ("critical", "same_change", "same_position", "founder", "is_no
 def evidence_rules(af: Column, gene: Column, ba1: Column, bs1: Column, probability: Column,
                    dist_dna: Column | None = None, dist_palb2: Column | None = None,
                    exon_number: Column | None = None, total_exons: Column | None = None,
-                   sparse: Column | None = None, label: Column | None = None, **flags: Column) -> Rules:
+                   sparse: Column | None = None, label: Column | None = None, founder_reason: Column | None = None, **flags: Column) -> Rules:
     """All codes; flags not given are taken as false and distances as unknown."""
     unknown = set(flags) - set(_OPTIONAL_FLAGS)
     if unknown:
@@ -135,7 +142,7 @@ def evidence_rules(af: Column, gene: Column, ba1: Column, bs1: Column, probabili
     is_null = f["is_nonsense"] | f["is_frameshift"]
     return {
         **structure_rules(dist_dna, dist_palb2, f["critical"]),
-        **known_rules(f["same_change"], f["same_position"], f["founder"]),
+        **known_rules(f["same_change"], f["same_position"], f["founder"], founder_reason),
         **frequency_rules(af, gene, ba1, bs1, sparse, label),
         **null_rules(f["is_nonsense"], f["is_frameshift"], none if exon_number is None else exon_number,
                      none if total_exons is None else total_exons, f["near_last_boundary"], f["canonical_splice"]),

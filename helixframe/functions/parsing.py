@@ -89,7 +89,7 @@ def first_position(text: Column) -> Column:
 def genomic_id(text: Column) -> Column:
     """``chr-pos-ref-alt`` to a struct with the first error, NULL error when valid."""
     p = F.split(text, "-")
-    error = (F.when(F.size(p) != 4, "Expected format: chr-pos-ref-alt")
+    error = (F.when(F.size(p) != 4, "Expected format: chr-pos-ref-alt")  # fixed values: texts of the identifier check
              .when(~field(p, 0).rlike(_CHROM), "Invalid chromosome in variant")
              .when(~field(p, 1).rlike(r"^\d+$"), "Invalid position in variant")
              .when(~field(p, 2).rlike("^[ACGT]+$"), "Invalid ref allele in variant")

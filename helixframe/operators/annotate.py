@@ -29,7 +29,7 @@ def evidence_inputs(variants: DataFrame, genes: DataFrame, domain_table: DataFra
 
 
 def rules_for(probability: Column, population: Column | None = None, **extra: Column) -> evidence.Rules:
-    """Evidence rules over the columns ``evidence_inputs`` leaves."""
+    """Evidence rules over the columns ``evidence_inputs`` leaves; ``extra`` adds flags, distances, exon numbers and the founder's rationale."""
     flags = {n: F.col(n) for n in ("critical", "same_change", "same_position", "is_nonsense")}
     flags.update(extra)
     if population is None:

@@ -13,6 +13,8 @@ from helixframe.operators import metrics as M
 from helixframe.session import materialise
 
 WEIGHT_STEPS = 20
+NODE_ROWS = 4096  # distinct scores that are pooled in one go
+ARRAY_BLOCKS = 4096  # isotonic blocks of a group that travel as one array
 FAN_IN = 16  # nodes that become one in the tree of isotonic blocks
 
 
@@ -65,6 +67,18 @@ def optimise_weights(df: DataFrame, group: str, p1: str, p2: str, label: str, mi
                        F.when(ok, "optimized").otherwise("default_fallback").alias("method"), F.when(ok, F.col("b.auc")).alias("cal_auc"))
 
 
+def weight_report(calibration: DataFrame, test: DataFrame, group: str, p1: str, p2: str, label: str, default: tuple[float, float] = (0.6, 0.4)) -> DataFrame:
+    """The best weights per group with the AUC they and the default weights reach on the test rows, and the gain."""
+    best = materialise(optimise_weights(calibration, group, p1, p2, label), "best-weights")
+    pooled = test.groupBy(group, p1, p2).agg(F.count_if(F.col(label) == 1).alias("_p"), F.count_if(F.col(label) == 0).alias("_n")).join(best.select(group, "w1", "w2"), group)
+    runs = F.array(*[F.struct(F.lit(name).alias("run"), F.round(a * F.col(p1) + b * F.col(p2), 9).alias("score")) for name, a, b in (
+        ("best", F.col("w1"), F.col("w2")), ("default", F.lit(default[0]), F.lit(default[1])))])
+    counts = pooled.withColumn("r", F.explode(runs)).groupBy(group, "r.run", "r.score").agg(F.sum("_p").alias("pos"), F.sum("_n").alias("neg"))
+    auc = M.auc_from_counts(counts, [group, "run"]).groupBy(group).agg(*[F.max(F.when(F.col("run") == n, F.col("roc_auc"))).alias(f"{n}_test_auc") for n in ("best", "default")],
+                                                                        F.max("n").alias("n_test"))
+    return best.join(auc, group, "left").withColumn("gain", F.col("best_test_auc") - F.col("default_test_auc"))
+
+
 def _pool_adjacent(pdf: pd.DataFrame) -> pd.DataFrame:
     """Merge neighbouring blocks until the means rise (lo, hi, weight, mean)."""
     pdf = pdf.sort_values("lo")
@@ -80,7 +94,7 @@ def _pool_adjacent(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def isotonic_fit(df: DataFrame, group: str, score: str, label: str, min_rows: int = 50, min_class: int = 2,
-                 fallback: str = "_universal") -> DataFrame:
+                 fallback: str = "_universal", node_rows: int = NODE_ROWS) -> DataFrame:
     """Isotonic blocks (lo, hi, weight, mean) per group, and a universal fit over all rows.
 
     Rows pool to distinct scores; adjacent violators merge inside slices of the group's
@@ -90,14 +104,21 @@ def isotonic_fit(df: DataFrame, group: str, score: str, label: str, min_rows: in
     """
     pooled = (df.groupBy(group, F.col(score).alias("lo")).agg(F.count(F.lit(1)).cast("double").alias("weight"), F.sum(F.col(label).cast("double")).alias("_s"),
                                                                F.count_if(F.col(label) == 1).alias("_p")))
+    pooled = materialise(pooled, "isotonic-points")
     enough = pooled.groupBy(group).agg(F.sum("weight").alias("_w"), F.sum("_p").alias("_np")).filter(
         (F.col("_w") >= min_rows) & (F.col("_np") >= min_class) & (F.col("_w") - F.col("_np") >= min_class)).select(group)
     every = pooled.groupBy("lo").agg(F.sum("weight").alias("weight"), F.sum("_s").alias("_s")).withColumn(group, F.lit(fallback))
     points = (pooled.join(enough, group, "left_semi").select(group, "lo", "weight", "_s").unionByName(every.select(group, "lo", "weight", "_s"))
               .select(group, "lo", F.col("lo").alias("hi"), "weight", (F.col("_s") / F.col("weight")).alias("mean")))
-    points = M.with_slices(points, [group], "lo").select(group, F.col("_slice").cast("long").alias("node"), "lo", "hi", "weight", "mean")
+    # a node for about ``node_rows`` points, made of whole slices
+    slices = M.COARSE * M.COARSE
+    sizes = materialise(points.groupBy(group).agg(F.least(F.lit(slices), F.ceil(F.count(F.lit(1)) / node_rows)).cast("long").alias("_nodes")), "isotonic-sizes")
+    nodes = sizes.agg(F.max("_nodes")).first()[0] or 1
+    node = F.lit(0).cast("long")
+    if nodes > 1:
+        points, node = M.with_slices(points, [group], "lo"), F.floor(F.col("_slice") * F.col("_nodes") / slices).cast("long")
+    points = points.join(sizes, group).select(group, node.alias("node"), "lo", "hi", "weight", "mean")
     blocks = materialise(_pooled(points, group), "isotonic-slices")
-    nodes = M.COARSE * M.COARSE
     while nodes > 1:
         nodes = -(-nodes // FAN_IN)
         blocks = materialise(merge_neighbours(blocks, group), "isotonic")
@@ -142,13 +163,19 @@ def isotonic_segments(blocks: DataFrame, group: str) -> DataFrame:
             .withColumn("is_first", F.lag("x0").over(w).isNull()))
 
 
-def isotonic_apply(df: DataFrame, blocks: DataFrame, group: str, score: str, out: str = "calibrated", fallback: str = "_universal") -> DataFrame:
+def isotonic_apply(df: DataFrame, blocks: DataFrame, group: str, score: str, out: str = "calibrated", fallback: str = "_universal",
+                   array_blocks: int = ARRAY_BLOCKS) -> DataFrame:
     """Calibrated score by linear interpolation, clipped outside the fitted range.
 
-    Distinct scores and segments are one table; each score takes the last segment that
+    Pooling leaves few blocks: where no group has more than ``array_blocks`` a group's edges
+    travel as one sorted array and every row bisects them. Larger fits are joined by slices:
+    distinct scores and segments are one table; each score takes the last segment that
     starts at or below it, within its slice or carried over from the slices below.
     Groups without a fit use the universal one.
     """
+    most = blocks.groupBy(group).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if most <= array_blocks:
+        return _by_bisection(df, blocks, group, score, out, fallback, most)
     own = blocks.select(group).distinct().withColumn("_fit", F.col(group))
     s = df.select(group, F.col(score).alias("_x")).distinct().join(own, group, "left").withColumn("_fit", F.coalesce("_fit", F.lit(fallback)))
     seg = isotonic_segments(blocks, group).select(F.col(group).alias("_fit"), F.struct("x0", "y0", "x1", "y1").alias("_seg"))
@@ -169,6 +196,22 @@ def isotonic_apply(df: DataFrame, blocks: DataFrame, group: str, score: str, out
     return df.join(values, [group, score], "left")
 
 
+def _by_bisection(df: DataFrame, blocks: DataFrame, group: str, score: str, out: str, fallback: str, most: int) -> DataFrame:
+    edge = F.array_distinct(F.array(*[F.struct(F.col(c).alias("x"), F.col("mean").alias("y")) for c in ("lo", "hi")]))
+    lines = blocks.select(group, F.explode(edge).alias("e")).groupBy(group).agg(F.sort_array(F.collect_list("e")).alias("_e"))  # two edges a block
+    lines = lines.select(F.col(group).alias("_fit"), F.col("_e.x").alias("_xs"), F.col("_e.y").alias("_ys"))
+    fitted = lines.select(F.col("_fit").alias(group), F.col("_fit").alias("_own"))
+    rows = df.join(fitted, group, "left").withColumn("_fit", F.coalesce("_own", F.lit(fallback))).join(lines, "_fit", "left")
+    x = F.col(score)
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range((2 * most + 1).bit_length()))])
+    at = F.aggregate(steps, F.lit(0), lambda i, s: F.when(F.get("_xs", i + s - 1) <= x, i + s).otherwise(i))  # edges at or below x
+    rows = rows.withColumn("_at", at)
+    i, n = F.col("_at"), F.size("_xs")
+    x0, x1, y0, y1 = F.get("_xs", i - 1), F.get("_xs", i), F.get("_ys", i - 1), F.get("_ys", i)
+    y = F.when(i == 0, F.get("_ys", F.lit(0))).when((i == n) | (x == x0), y0).otherwise(y0 + (x - x0) * (y1 - y0) / (x1 - x0))
+    return rows.withColumn(out, F.when(M.known(score), y)).drop("_fit", "_own", "_xs", "_ys", "_at")
+
+
 def conformal_fit(df: DataFrame, group: str, score: str, label: str, alpha: float = K.CONFORMAL_ALPHA, min_rows: int = K.CONFORMAL_MIN,
                   fallback: str = "_global") -> DataFrame:
     """Quantile of 1 - p(true class) per group with the finite-sample level.
@@ -190,6 +233,7 @@ def conformal_fit(df: DataFrame, group: str, score: str, label: str, alpha: floa
         F.min(F.when(at > F.floor("_h"), F.col("score"))).alias("_a"), F.min(F.when(at > F.ceil("_h"), F.col("score"))).alias("_b")))
     b = F.coalesce(F.col("_b"), F.col("_a"))
     q = q.select(group, "n_calibration", (F.col("_a") + (b - F.col("_a")) * (F.col("_h") - F.floor("_h"))).alias("_q"))
+    q = materialise(q, "conformal")  # a row per group, read for the groups, the global threshold and every set
     glob = q.filter(F.col(group) == fallback).select(F.col("_q").alias("_g"), F.lit(1).alias("_k"))
     out = q.withColumn("_k", F.lit(1)).join(glob, "_k")
     small = F.col("n_calibration") < min_rows

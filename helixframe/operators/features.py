@@ -156,6 +156,7 @@ def restore_position(relative: Column, aa_length: Column) -> Column:
     return F.bround(relative * aa_length).cast("bigint")
 
 
+# --- fixed values: names and order of the feature vector ----------------------
 FEATURE_ORDER = [
     "cDNA_pos", "AA_pos", "relative_cdna_pos", "relative_aa_pos", "blosum62_score",
     "volume_diff", "hydro_diff", "ref_hydro", "alt_hydro", "hydro_delta",

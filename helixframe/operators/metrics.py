@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 
 from helixframe.functions import rules
 from helixframe.operators.ranking import top_n
+from helixframe.session import materialise
 
 COARSE = 16  # slices per group: COARSE squared
 
@@ -59,8 +60,11 @@ def score_counts(df: DataFrame, groups: Sequence[str], score: str, label: str, w
 
 def cumulative(counts: DataFrame, groups: Sequence[str], sums: Sequence[str] = ("pos", "neg"),
                descending: bool = True, value: str = "score") -> DataFrame:
-    """Add ``<sum>_cum`` (inclusive running total by ``value``) and ``<sum>_total`` per group."""
-    b = with_slices(counts, groups, value)
+    """Add ``<sum>_cum`` (inclusive running total by ``value``) and ``<sum>_total`` per group.
+
+    The pooled counts are written first: slices, their totals and the rows all read them.
+    """
+    b = materialise(with_slices(materialise(counts, "counts"), groups, value), "counts-in-slices")
     key = F.col("_slice").desc() if descending else F.col("_slice").asc()
     per = b.groupBy(*groups, "_slice").agg(*[F.sum(s).alias(f"_{s}") for s in sums])
     before = W.partitionBy(*groups).orderBy(key).rowsBetween(W.unboundedPreceding, -1)
@@ -227,7 +231,7 @@ def _components(counts: DataFrame, groups: Sequence[str], value: str, out: str)
 
 
 def delong(df: DataFrame, groups: Sequence[str], a: str, b: str, label: str) -> DataFrame:
-    """Paired AUC difference and its z on the rows both tools score."""
+    """Paired AUC difference, its z and two-sided p value on the rows both tools score."""
     both = (df.filter(known(a) & known(b))
             .groupBy(*groups, F.col(a).alias("_a"), F.col(b).alias("_b"))
             .agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")))
@@ -245,7 +249,8 @@ def delong(df: DataFrame, groups: Sequence[str], a: str, b: str, label: str) ->
     diff = F.col("auc_a") - F.col("auc_b")
     var = ((F.col("_s10") - F.col("n_pos") * diff * diff) / (F.col("n_pos") - 1) / F.col("n_pos")
            + (F.col("_s01") - F.col("n_neg") * diff * diff) / (F.col("n_neg") - 1) / F.col("n_neg"))
-    return out.withColumn("delta", diff).withColumn("z", F.when(var > 0, diff / F.sqrt(var))).drop("_s10", "_s01")
+    out = out.withColumn("delta", diff).withColumn("z", F.when(var > 0, diff / F.sqrt(var))).drop("_s10", "_s01")
+    return out.withColumn("p_value", two_sided_p(F.col("z")))
 
 
 @F.pandas_udf(T.DoubleType())

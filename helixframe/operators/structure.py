@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from helixframe import constants as K
 from helixframe.operators import ranking
@@ -28,11 +28,10 @@ def residue_density(residues: DataFrame, group: Sequence[str], radius: float = K
     d2 = sum(((F.col(c) - F.col(f"r{c}")) * (F.col(c) - F.col(f"r{c}")) for c in xyz), F.lit(0.0))
     near = (left.join(right, [*g, "_x", "_y", "_z"]).filter(d2 < radius * radius)
             .groupBy(*g, *xyz).agg((F.sum("_rc") - 1).alias("density")))
-    out = residues.join(near, [*g, *xyz])
-    w = W.partitionBy(*g)
-    lo, hi = F.min("density").over(w), F.max("density").over(w)
+    ends = near.groupBy(*g).agg(F.min("density").alias("_lo"), F.max("density").alias("_hi"))  # map-side; no window over a structure
+    lo, hi = F.col("_lo"), F.col("_hi")
     scaled = F.when(hi > lo, 1 - (F.col("density") - lo) / (hi - lo)).otherwise(0.5)
-    return out.withColumn("rsa", scaled)
+    return residues.join(near, [*g, *xyz]).join(ends, g).withColumn("rsa", scaled).drop("_lo", "_hi")
 
 
 def region_distance(residues: DataFrame, group: Sequence[str], regions: Sequence[tuple[int, int]],
@@ -43,7 +42,8 @@ def region_distance(residues: DataFrame, group: Sequence[str], regions: Sequence
     one array to each of its residues: no pairs are emitted.
     """
     inside = reduce(lambda a, b: a | b, [F.col("resnum").between(a, b) for a, b in regions])
-    ref = residues.filter(inside).groupBy(*group).agg(F.collect_list(F.struct("resnum", "x", "y", "z")).alias("_ref"))
+    # one row per residue number, so that the regions' length bounds the array
+    ref = residues.filter(inside).groupBy(*group, "resnum", "x", "y", "z").agg(F.lit(1).alias("_one")).groupBy(*group).agg(F.collect_list(F.struct("resnum", "x", "y", "z")).alias("_ref"))
 
     def dist(p: Column) -> Column:
         return F.sqrt(sum(((F.col(c) - p[c]) * (F.col(c) - p[c]) for c in "xyz"), F.lit(0.0)))

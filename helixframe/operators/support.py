@@ -37,12 +37,12 @@ def priorities(queries: DataFrame, training: DataFrame, p1: Column, p2: Column)
     """Disagreement x scarcity x novelty, with the reason text."""
     sizes = training.groupBy("gene").agg(F.count(F.lit(1)).alias("train_n"))
     out = nearby_counts(queries, training).join(sizes, "gene", "left")
-    out = (out.withColumn("disagreement", F.abs(p1 - p2))
+    out = (out.withColumn("disagreement", F.round(F.abs(p1 - p2), 9))
            .withColumn("scarcity", 1.0 / F.sqrt(F.col("train_n").cast("double")))
            .withColumn("novelty", 1.0 / (1.0 + F.col("nearby"))))
     reason = F.array_join(F.array_compact(F.array(
-        F.when(F.col("disagreement") > 0.3, "high model disagreement"),
-        F.when(F.col("scarcity") > 0.02, "data-scarce gene"),
-        F.when(F.col("novelty") > 0.5, "low positional coverage"))), "; ")
+        F.when(F.col("disagreement") > 0.3, F.format_string("high model disagreement (%.3f)", "disagreement")),
+        F.when(F.col("scarcity") > 0.02, F.format_string("data-scarce gene (%d training)", "train_n")),
+        F.when(F.col("novelty") > 0.5, F.format_string("low positional coverage (%d nearby)", "nearby")))), "; ")
     return (out.withColumn("priority", F.col("disagreement") * F.col("scarcity") * F.col("novelty"))
             .withColumn("reason", F.when(reason == "", "moderate priority").otherwise(reason)))

@@ -103,36 +103,39 @@ def pathogenic_positions(spark, sf):
     return out.select("gene", F.size("positions").cast("bigint").alias("n"), F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions"))
 
 
-@query("master_dataset", """
-WITH u AS (SELECT gene, aa_pos, aa_ref, aa_alt, cdna_pos, mutation, label FROM variants WHERE split = 'train' UNION ALL
-  SELECT gene, aa_pos, aa_ref, aa_alt, greatest(aa_pos * 3, 1), 'N>N', 0 FROM variants WHERE split = 'cal' AND af >= 0.001::DOUBLE)
-SELECT u.gene, u.label, u.mutation = 'N>N' AS proxy, count(*) AS n, CAST(sum(b.blosum62_score) AS BIGINT) AS blosum, round(sum(coalesce(e.score, p.mean_score, 0)), 6) AS score,
-  CAST(sum(u.cdna_pos) AS BIGINT) AS cdna FROM u JOIN blosum62 b ON b.aa_ref = u.aa_ref AND b.aa_alt = u.aa_alt
-LEFT JOIN annot_variant e ON e.gene = u.gene AND e.aa_pos = u.aa_pos AND e.aa_ref = u.aa_ref AND e.aa_alt = u.aa_alt LEFT JOIN annot_position p ON p.gene = u.gene AND p.aa_pos = u.aa_pos
-GROUP BY ALL""")
+def sums(columns):
+    return ", ".join(f'round(sum(CAST({vec_sql(c)} AS DOUBLE)), 4) AS "{c}"' for c in columns)
+
+
+# The master table's rows: training variants, and frequent ones as benign proxies of unknown base change.
+MASTER = """mrows AS (SELECT *, FALSE AS proxy FROM variants WHERE split = 'train'
+  UNION ALL SELECT * REPLACE (greatest(aa_pos * 3, 1) AS cdna_pos, 'N>N' AS mutation, 0 AS label), TRUE FROM variants WHERE split = 'cal' AND af >= 0.001::DOUBLE)"""
+MASTER_FULL = FULL.replace("FROM variants v JOIN blosum62", "FROM mrows v JOIN blosum62")
+
+
+@query("master_dataset", f"""WITH {MASTER}
+SELECT gene, label, proxy, count(*) AS n, round(sum(score), 4) AS score, {sums(FE.FEATURE_ORDER)}
+FROM (SELECT v.*, coalesce(e.score, p.mean_score, 0) AS score FROM {MASTER_FULL} v LEFT JOIN annot_variant e ON e.gene = v.gene AND e.aa_pos = v.aa_pos AND e.aa_ref = v.aa_ref AND e.aa_alt = v.aa_alt
+  LEFT JOIN annot_position p ON p.gene = v.gene AND p.aa_pos = v.aa_pos) m GROUP BY gene, label, proxy""")
 def master_dataset(spark, sf):
+    """Gene and proxy rows with the whole annotation chain, compared as sums of every column."""
     v = variants(spark, sf)
-    main = v.filter("split = 'train'").select(*L.VARIANT_KEY, "cdna_pos", "mutation", "label")
-    proxy = v.filter("split = 'cal' AND af >= 0.001D").select(*L.VARIANT_KEY, Q.proxy_cdna(F.col("aa_pos")).alias("cdna_pos"),
-                                                              F.lit("N>N").alias("mutation"), F.lit(0).alias("label"), F.lit("proxy").alias("source"))
+    main = v.filter("split = 'train'").withColumn("proxy", F.lit(False))
+    proxy = v.filter("split = 'cal' AND af >= 0.001D").withColumns({
+        "cdna_pos": Q.proxy_cdna(F.col("aa_pos")), "mutation": F.lit("N>N"), "label": F.lit(0), "proxy": F.lit(True)})
 
     def annotate(df):
-        out = FE.add_substitution(df, view(spark, sf, "blosum62"), view(spark, sf, "residues"))
-        return L.exact_then_position(out, view(spark, sf, "annot_variant"), view(spark, sf, "annot_position"), "score", "score", position_value="mean_score")
+        out = L.exact_then_position(df, view(spark, sf, "annot_variant"), view(spark, sf, "annot_position"), "score", "score", position_value="mean_score")
+        return full_vector(spark, sf, ["gene", "label", "proxy", "score"], out)
 
     m = AG.master_dataset([main, proxy], annotate)
-    return m.groupBy("gene", "label", (F.col("mutation") == "N>N").alias("proxy")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("blosum62_score").cast("bigint").alias("blosum"), F.round(F.sum("score"), 6).alias("score"),
-        F.sum("cdna_pos").alias("cdna"))
+    return m.groupBy("gene", "label", "proxy").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("score"), 4).alias("score"), *[
+        F.round(F.sum(F.col(f"`{c}`").cast("double")), 4).alias(c) for c in FE.FEATURE_ORDER])
 
 
 KEPT = [c for c in FE.FEATURE_ORDER if not AG.is_leak(c)]
 
 
-def sums(columns):
-    return ", ".join(f'round(sum(CAST({vec_sql(c)} AS DOUBLE)), 4) AS "{c}"' for c in columns)
-
-
 @query("leak_drop", f"SELECT gene, label, count(*) AS n, {sums(KEPT)} FROM {FULL} v GROUP BY gene, label")
 def leak_drop(spark, sf):
     """The wide feature table without its leaking columns, compared as sums of every column that is left."""

@@ -5,7 +5,7 @@ import importlib
 from helixframe.plans.registry import ORACLES, QUERIES
 
 for _name in ("sources", "parsing", "coordinates", "joins", "features", "aggregates", "ranking",
-              "evidence", "scoring", "evaluation", "vcf_files", "streams"):
+              "evidence", "scoring", "evaluation", "vcf_files", "report", "streams"):
     try:
         importlib.import_module(f"helixframe.plans.{_name}")
     except ModuleNotFoundError as e:

@@ -215,16 +215,18 @@ s AS (SELECT r.gene, r.label,
    CASE WHEN label = 1 THEN (x.nlt + x.n / 2) / x.nn ELSE (x.pp - x.ple + x.p / 2) / x.pp END AS ca,
    CASE WHEN label = 1 THEN (y.nlt + y.n / 2) / y.nn ELSE (y.pp - y.ple + y.p / 2) / y.pp END AS cb
   FROM r JOIN va x ON x.gene = r.gene AND x.v = r.a JOIN vb y ON y.gene = r.gene AND y.v = r.b)
+SELECT *, round(CASE WHEN abs(z) >= 5 THEN 0 ELSE 1 - 2 / sqrt(pi()) * list_sum(list_transform(range(80), lambda i:
+    (CASE WHEN i % 2 = 0 THEN 1 ELSE -1 END) * pow(abs(z) / sqrt(2), 2 * i + 1) / (gamma(i + 1.0::DOUBLE) * (2 * i + 1)))) END, 5) AS p_value FROM (
 SELECT gene, count(*) FILTER (label = 1) AS n_pos, count(*) FILTER (label = 0) AS n_neg,
   round(avg(ca) FILTER (label = 1), 9) AS auc_a, round(avg(cb) FILTER (label = 1), 9) AS auc_b,
   round(avg(ca - cb) FILTER (label = 1), 9) AS delta,
   round(avg(ca - cb) FILTER (label = 1) / sqrt(var_samp(ca - cb) FILTER (label = 1) / count(*) FILTER (label = 1)
     + var_samp(ca - cb) FILTER (label = 0) / count(*) FILTER (label = 0)), 6) AS z
-FROM s GROUP BY gene""")
+FROM s GROUP BY gene) t""")
 def delong_test(spark, sf):
     out = M.delong(view(spark, sf, "variants"), ["gene"], "p_tree", "p_mlp", "label")
     return out.select("gene", "n_pos", "n_neg", *[F.round(c, 9).alias(c) for c in ("auc_a", "auc_b", "delta")],
-                      F.round("z", 6).alias("z"))
+                      F.round("z", 6).alias("z"), F.round("p_value", 5).alias("p_value"))
 
 
 @query("bootstrap_width_by_gene", """

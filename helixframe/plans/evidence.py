@@ -189,17 +189,67 @@ def acmg_other(spark, sf):
                                     F.when(r["PM4"][0], r["PM4"][1]).alias("pm4_text"))
 
 
-@query("acmg_evidence", f"SELECT {K4}, codes FROM {EV_CODES}")
+# Every input of the rules, so that each of the fifteen codes fires in the views.
+FOUNDER = {"population": "CASE l_partkey % 3 WHEN 0 THEN 'Kazakh' WHEN 1 THEN 'Ashkenazi' END", "frequency": "CASE WHEN l_partkey % 4 = 0 THEN NULL ELSE CAST(l_partkey % 90 AS DOUBLE) / 1000 END",
+           "source": "CASE WHEN l_partkey % 5 = 0 THEN NULL ELSE 'registry ' || CAST(l_suppkey % 7 AS STRING) END"}
+FLAGS = {"founder": "cdna_pos % 97 = 0", "is_frameshift": "l_partkey % 26 = 0", "near_last_boundary": "(cdna_pos - 1) % 150 >= 100", "canonical_splice": "l_partkey % 30 = 3",
+         "near_splice": "l_partkey % 11 = 0", "is_inframe": "l_partkey % 8 = 1", "is_synonymous": "l_orderkey % 13 = 0"}
+
+
+def full_rules():
+    f = {k: F.expr(e) for k, e in FOUNDER.items()}
+    return A.rules_for(F.col("p_tree"), F.expr(POP), dist_dna=F.round(F.expr(DIST), 2), dist_palb2=F.round(F.expr(DIST2), 2), exon_number=F.expr(EXON),
+                       total_exons=F.expr(TOTAL), founder_reason=EV.founder_text(f["population"], f["frequency"], f["source"]),
+                       **{k: F.expr(e) for k, e in FLAGS.items()})
+
+
+def _sql_rules():
+    """Code -> (condition, rationale) in SQL over the columns of FULL_IN."""
+    pct = lambda x, n: f"printf('%.{n}f%%', {x} * 100)"
+    relaxed = "CASE WHEN s THEN ' (threshold relaxed for underrepresented population)' ELSE '' END"
+    kind = "CASE WHEN is_nonsense THEN 'Nonsense' ELSE 'Frameshift' END"
+    escape = "(nul AND exon IS NOT NULL AND total > 1 AND (exon = total OR (exon = total - 1 AND near_last_boundary)))"
+    near = "concat_ws(' & ', CASE WHEN d1 <= 5 AND d1 <> 999 THEN 'within ' || d1 || 'A of DNA binding interface' END, " \
+           "CASE WHEN d2 <= 5 AND d2 <> 999 THEN 'within ' || d2 || 'A of primary interaction interface' END, CASE WHEN critical THEN 'inside a critical functional repeat or domain' END)"
+    return {
+        "PM1": ("(d1 <= 5 OR d2 <= 5 OR critical)", f"'Structural disruption: ' || {near}"),
+        "PS1": ("same_change", "'Same amino acid change as an established pathogenic variant'"),
+        "PM5": ("same_position AND NOT same_change", "'Different pathogenic missense variant established at this position'"),
+        "PS4": ("founder", f"'Known ' || coalesce(f_population, 'regional') || ' founder mutation, found in ' || coalesce({pct('f_frequency', 1)}, 'an unknown share') || "
+                           "' of affected individuals, more than in controls (' || coalesce(f_source, 'published literature') || ')'"),
+        "PM2_insufficient": ("a = 0 AND s", "'Absent from population database (' || lab || ' AF = 0), but the population is insufficiently represented; PM2 withheld'"),
+        "PM2": ("a = 0 AND NOT s", "'Variant absent from population database (' || lab || ' AF = 0)'"),
+        "BA1": ("a > b1", f"'Allele frequency (' || {pct('a', 3)} || ', ' || lab || ') exceeds stand-alone benign threshold (' || {pct('b1', 1)} || ') for ' || gene || {relaxed}"),
+        "BS1": ("a > b2 AND NOT a > b1", f"'Population frequency (' || {pct('a', 4)} || ', ' || lab || ') exceeds threshold (' || {pct('b2', 3)} || ') for ' || gene || {relaxed}"),
+        "PVS1_moderate": (escape, f"{kind} || CASE WHEN exon = total THEN ' variant in last exon' ELSE ' variant in last 50nt of penultimate exon' END || ' (exon ' || exon || '/' || total || "
+                                  "'); may escape nonsense-mediated decay'"),
+        "PVS1": (f"((nul AND NOT {escape}) OR (canonical_splice AND NOT nul))", f"CASE WHEN nul THEN 'Pathogenic truncating null variant (' || {kind} || ')' ELSE 'Canonical splice site variant disrupting mRNA splicing' END"),
+        "PM4": ("is_inframe", "CASE WHEN critical THEN 'In-frame indel within a known functional domain' ELSE 'In-frame indel outside known functional domain (reduced weight)' END"),
+        "PP3_splice": ("near_splice AND NOT (canonical_splice AND NOT nul)", "'Near splice site variant with potential splicing impact'"),
+        "BP7": ("is_synonymous AND NOT near_splice AND NOT canonical_splice", "'Synonymous variant with no predicted splice impact'"),
+        "PP3": ("p_tree >= 0.70::DOUBLE", "'Model predicts pathogenicity (p=' || printf('%.3f', p_tree) || ')'"),
+        "BP4": ("p_tree <= 0.20::DOUBLE", "'Model predicts benign (p=' || printf('%.3f', p_tree) || ')'"),
+    }
+
+
+FULL_IN = f"""(SELECT *, is_nonsense OR is_frameshift AS nul, ba1 * m AS b1, bs1 * m AS b2 FROM (SELECT *, {AF_POP} AS a, {SPARSE} AS s, CASE WHEN {SPARSE} THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS m,
+  CASE WHEN pop = 'kazakh' THEN 'Kazakh (EAS proxy)' WHEN pop IS NULL THEN 'global' ELSE upper(pop) END AS lab FROM (SELECT *, {POP} AS pop, round(coalesce({DIST}, 999), 2) AS d1, round({DIST2}, 2) AS d2, {EXON} AS exon, {TOTAL} AS total,
+  {', '.join(f'{e} AS f_{k}' for k, e in FOUNDER.items())}, {', '.join(f'{e} AS {k}' for k, e in FLAGS.items())} FROM ev_in) e0) e1) e2"""
+FULL_CODES = f"(SELECT *, concat_ws(',', {', '.join(f'CASE WHEN {c} THEN {chr(39)}{n}{chr(39)} END' for n, (c, _) in _sql_rules().items())}) AS codes FROM {FULL_IN}) ec"
+
+
+@query("acmg_evidence", f"SELECT {K4}, concat_ws(' | ', {', '.join(f'CASE WHEN {c} THEN {chr(39)}{n}={chr(39)} || {t} END' for n, (c, t) in _sql_rules().items())}) AS evidence FROM {FULL_IN}")
 def acmg_evidence(spark, sf):
-    """Full code -> rationale map; the twin compares the code list."""
-    m = EV.evidence_map(A.rules_for(F.col("p_tree")))
-    return (inputs(spark, sf).withColumn("evidence", m)
-            .select(*KEY, F.array_join(F.map_keys("evidence"), ",").alias("codes")))
+    """Full code -> rationale map of every variant, all fifteen codes."""
+    m = EV.evidence_map(full_rules())
+    shown = F.array_join(F.transform(F.map_entries(m), lambda e: F.concat(e["key"], F.lit("="), e["value"])), " | ")
+    return inputs(spark, sf).select(*KEY, shown.alias("evidence"))
 
 
-@query("acmg_combine", f"SELECT {K4}, codes, acmg_class FROM {sql_class(EV_CODES)} c")
+@query("acmg_combine", f"SELECT {K4}, codes, acmg_class FROM {sql_class(FULL_CODES)} c")
 def acmg_combine(spark, sf):
-    return EV.classify(with_codes(spark, sf)).select(*KEY, F.array_join("codes", ",").alias("codes"), "acmg_class")
+    e = inputs(spark, sf).withColumn("codes", EV.code_list(full_rules()))
+    return EV.classify(e).select(*KEY, F.array_join("codes", ",").alias("codes"), "acmg_class")
 
 
 PAIR = (f"(SELECT *, {sql_codes()} AS codes, {sql_codes(AF_POP, SPARSE)} AS pop_codes "
@@ -301,9 +351,9 @@ def vus_reclass(spark, sf):
 WITH {HIST}, sizes AS (SELECT gene, count(*) AS train_n FROM tr GROUP BY gene)
 SELECT {K4}, nearby, round(d * sc * nv, 12) AS priority,
   CASE WHEN r = '' THEN 'moderate priority' ELSE r END AS reason
-FROM (SELECT *, concat_ws('; ', CASE WHEN d > 0.3::DOUBLE THEN 'high model disagreement' END,
-    CASE WHEN sc > 0.02::DOUBLE THEN 'data-scarce gene' END, CASE WHEN nv > 0.5::DOUBLE THEN 'low positional coverage' END) AS r
-  FROM (SELECT v.*, n.nearby, abs(p_tree - p_mlp) AS d, 1 / sqrt(CAST(z.train_n AS DOUBLE)) AS sc,
+FROM (SELECT *, concat_ws('; ', CASE WHEN d > 0.3::DOUBLE THEN 'high model disagreement (' || printf('%.3f', d) || ')' END,
+    CASE WHEN sc > 0.02::DOUBLE THEN 'data-scarce gene (' || train_n || ' training)' END, CASE WHEN nv > 0.5::DOUBLE THEN 'low positional coverage (' || nearby || ' nearby)' END) AS r
+  FROM (SELECT v.*, n.nearby, z.train_n, round(abs(p_tree - p_mlp), 9) AS d, 1 / sqrt(CAST(z.train_n AS DOUBLE)) AS sc,
     1 / (1::DOUBLE + n.nearby) AS nv
    FROM variants v JOIN near n ON n.gene = v.gene AND n.aa_pos = v.aa_pos JOIN sizes z ON z.gene = v.gene) a) b""")
 def active_learning_priority(spark, sf):

@@ -174,9 +174,9 @@ def annotations():
             **{f"gnomad_af_{p}": F.col(f"af_{p}") for p in ("afr", "amr", "eas", "nfe")}}
 
 
-def full_vector(spark, sf, keep=()):
+def full_vector(spark, sf, keep=(), rows=None):
     dims = {n: view(spark, sf, n) for n in ("genes", "blosum62", "residues", "domains", "domain_candidates")}
-    return FE.feature_vector(V(spark, sf), dims, annotations(), keep)
+    return FE.feature_vector(V(spark, sf) if rows is None else rows, dims, annotations(), keep)
 
 
 FLAG_COLS = ", ".join(f"CASE WHEN v.aa_pos BETWEEN w.s_{f} AND w.e_{f} THEN 1 ELSE 0 END AS {f}" for f in K.DOMAIN_FLAGS)

@@ -71,15 +71,19 @@ def side_by_side(spark, sf):
     return out.select("l_orderkey", "left_variant", "right_variant", "left_p", "right_p", F.round(F.col("left_p") - F.col("right_p"), 9).alias("delta"))
 
 
-@query("sample_background")
+SHUFFLED = "(l_orderkey * 104729 + l_partkey * 7919 + l_linenumber * 13 + l_suppkey * 31) % 1000003"
+BACKGROUND, RECENT = 100, 50  # rows of the sample and of the report: both are the feature
+
+
+@query("sample_background", f"SELECT {K4}, gene, p_tree FROM variants ORDER BY {SHUFFLED}, {K4} LIMIT {BACKGROUND}")
 def sample_background(spark, sf):
-    """Seeded sample of 100 rows without replacement; the sampling is the feature."""
-    return SA.seeded_sample(view(spark, sf, "variants"), KEY, 100, seed=42).select(*KEY, "gene", "p_tree")
+    """Sample of rows without replacement in a shuffled order that SQL can repeat."""
+    return SA.seeded_sample(view(spark, sf, "variants"), KEY, BACKGROUND, order=F.expr(SHUFFLED)).select(*KEY, "gene", "p_tree")
 
 
-@query("recent_analyses", "SELECT event_id, gene, prediction, probability FROM cohort_obs ORDER BY ts DESC, event_id DESC LIMIT 50")
+@query("recent_analyses", f"SELECT event_id, gene, prediction, probability FROM cohort_obs ORDER BY ts DESC, event_id DESC LIMIT {RECENT}")
 def recent_analyses(spark, sf):
-    return view(spark, sf, "cohort_obs").orderBy(F.col("ts").desc(), F.col("event_id").desc()).limit(50).select("event_id", "gene", "prediction", "probability")
+    return view(spark, sf, "cohort_obs").orderBy(F.col("ts").desc(), F.col("event_id").desc()).limit(RECENT).select("event_id", "gene", "prediction", "probability")
 
 
 @query("sort_predictions", f"SELECT gene, p_tree, {K4} FROM variants ORDER BY gene, p_tree DESC, {K4}")

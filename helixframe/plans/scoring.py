@@ -51,6 +51,21 @@ def optimise_weights(spark, sf):
     return C.optimise_weights(variants(spark, sf).filter("split = 'cal'"), "gene", "p_tree", "p_mlp", "label")
 
 
+TESTED = """(SELECT v.gene, v.label, b.w1, b.w2, round(b.w1 * p_tree + b.w2 * p_mlp, 9) AS best, round(0.6::DOUBLE * p_tree + 0.4::DOUBLE * p_mlp, 9) AS base
+  FROM variants v JOIN best b ON b.gene = v.gene WHERE split = 'test')"""
+
+
+@query("weight_report", f"""
+WITH best AS (SELECT gene, round(step / 20.0::DOUBLE, 2) AS w1, round(1 - step / 20.0::DOUBLE, 2) AS w2, auc AS cal_auc FROM (
+  SELECT gene, step, round(roc_auc, 9) AS auc, row_number() OVER (PARTITION BY gene ORDER BY round(roc_auc, 9) DESC, step) AS rn FROM {sql_auc(GRID + ' g', 'gene, step', 'b')} a) x WHERE rn = 1)
+SELECT gene, w1, w2, cal_auc, n AS n_test, round(a.roc_auc, 9) AS best_test_auc, round(d.roc_auc, 9) AS default_test_auc, round(a.roc_auc - d.roc_auc, 9) AS gain
+FROM best JOIN {sql_auc(TESTED + ' t', 'gene', 'best')} a USING (gene) JOIN (SELECT gene, roc_auc FROM {sql_auc(TESTED + ' t', 'gene', 'base')} u) d USING (gene)""")
+def weight_report(spark, sf):
+    v = variants(spark, sf)
+    out = C.weight_report(v.filter("split = 'cal'"), v.filter("split = 'test'"), "gene", "p_tree", "p_mlp", "label")
+    return out.select("gene", "w1", "w2", "cal_auc", "n_test", *[F.round(c, 9).alias(c) for c in ("best_test_auc", "default_test_auc", "gain")])
+
+
 # Exact isotonic value of every distinct score by the max-min formula.
 ISO = """pts AS (SELECT gene, p_tree AS x, count(*) AS w, sum(label) AS s FROM variants WHERE split = 'cal' GROUP BY gene, p_tree),
 cum AS (SELECT gene, x, row_number() OVER o AS i, CAST(sum(w) OVER o AS DOUBLE) AS cw, CAST(sum(s) OVER o AS DOUBLE) AS cs, CAST(sum(w) OVER o - w AS DOUBLE) AS pw, CAST(sum(s) OVER o - s AS DOUBLE) AS ps
@@ -189,6 +204,7 @@ def class_weight(spark, sf):
 SMALL_GENES = ("BRCA1", "PALB2", "RAD51C", "RAD51D")
 # Trees of the registered jobs. The operators' defaults are the production sizes; README has measured times of both.
 SIZE = {"iterations": 20, "depth": 5, "step": 0.1}
+RESAMPLES = 10
 
 
 def modelling(spark, sf):
@@ -225,6 +241,22 @@ def cross_validate(spark, sf):
     return TR.cross_validate(table, "label", ["gene", "label"], KEY, **SIZE)
 
 
+@query("temporal_validation")
+def temporal_validation(spark, sf):
+    """Trees fitted on variants evaluated before 2024, judged on later ones."""
+    keep = [*KEY, "gene", "split", F.expr("CASE WHEN l_partkey % 8 = 0 THEN NULL ELSE eval_year END").alias("year"), "label"]
+    table = TR.feature_table(full_vector(spark, sf, keep), SCALED, "label", [*KEY, "gene", "year"])
+    return TR.temporal_validation(table, "label", "year", 2024, ["gene", "label"], KEY, **SIZE)
+
+
+@query("resampled_fits")
+def resampled_fits(spark, sf):
+    """Score interval of every test variant over fits on resamples of the training variants."""
+    table, _ = modelling(spark, sf)
+    out = TR.resampled_fits(table.filter("split = 'train'"), table.filter("split = 'test'"), "label", KEY, fits=RESAMPLES, **SIZE)
+    return out.select(*KEY, *[F.round(c, 6).alias(c) for c in ("mean_score", "ci_lower", "ci_upper", "ci_width")])
+
+
 @query("transfer_experiment")
 def transfer_experiment(spark, sf):
     table, _ = modelling(spark, sf)

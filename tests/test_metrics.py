@@ -74,6 +74,8 @@ def test_isotonic_is_monotone_and_exact(scored):
     assert all(x[2] < z[2] and x[1] < z[0] for x, z in zip(got, got[1:]))
     assert all(m == pytest.approx(y[(a >= lo) & (a <= hi)].mean()) for lo, hi, m in got)
     out = C.isotonic_apply(df, blocks, "gene", "a")
+    sliced = C.isotonic_apply(df, blocks, "gene", "a", array_blocks=0)
+    assert sorted(map(str, out.select("id", F.round("calibrated", 9)).collect())) == sorted(map(str, sliced.select("id", F.round("calibrated", 9)).collect()))
     assert out.count() == len(a) and out.filter("calibrated IS NULL").count() == 0
 
 
@@ -167,7 +169,7 @@ def test_isotonic_tree(spark):
         x = np.sort(rng.random(3000))
         y = (rng.random(3000) < shape(x)).astype(int)
         df = spark.createDataFrame([("g", float(a), int(b)) for a, b in zip(x, y)], "gene string, s double, y int")
-        got = sorted((r["gene"], r["lo"], r["hi"], r["weight"], r["mean"]) for r in C.isotonic_fit(df, "gene", "s", "y").collect())
+        got = sorted((r["gene"], r["lo"], r["hi"], r["weight"], r["mean"]) for r in C.isotonic_fit(df, "gene", "s", "y", node_rows=15).collect())
         want = C._pool_adjacent(pd.DataFrame({"lo": x, "hi": x, "weight": 1.0, "mean": y.astype(float)}))
         want = [(g, *r) for g in ("_universal", "g") for r in want[["lo", "hi", "weight", "mean"]].itertuples(index=False, name=None)]
         assert len(got) == len(want) and all(a[:4] == b[:4] and a[4] == pytest.approx(b[4]) for a, b in zip(got, want))
