@@ -204,6 +204,7 @@ def class_weight(spark, sf):
 SMALL_GENES = ("BRCA1", "PALB2", "RAD51C", "RAD51D")
 # Trees of the registered jobs. The operators' defaults are the production sizes; README has measured times of both.
 SIZE = {"iterations": 20, "depth": 5, "step": 0.1}
+MANY = {"iterations": 10, "depth": 5, "step": 0.2}  # where one query fits dozens of models
 RESAMPLES = 10
 
 
@@ -253,20 +254,20 @@ def temporal_validation(spark, sf):
 def resampled_fits(spark, sf):
     """Score interval of every test variant over fits on resamples of the training variants."""
     table, _ = modelling(spark, sf)
-    out = TR.resampled_fits(table.filter("split = 'train'"), table.filter("split = 'test'"), "label", KEY, fits=RESAMPLES, **SIZE)
+    out = TR.resampled_fits(table.filter("split = 'train'"), table.filter("split = 'test'"), "label", KEY, fits=RESAMPLES, **MANY)
     return out.select(*KEY, *[F.round(c, 6).alias(c) for c in ("mean_score", "ci_lower", "ci_upper", "ci_width")])
 
 
 @query("transfer_experiment")
 def transfer_experiment(spark, sf):
     table, _ = modelling(spark, sf)
-    return TR.transfer(table, "label", "split", "gene", "BRCA2", SMALL_GENES, **SIZE)
+    return TR.transfer(table, "label", "split", "gene", "BRCA2", SMALL_GENES, **MANY)
 
 
 @query("feature_group_ablation")
 def feature_group_ablation(spark, sf):
     table, columns = modelling(spark, sf)
-    return TR.group_ablation(table, "label", "split", feature_groups(columns), len(columns), ["gene", "label"], KEY, k=3, **SIZE)
+    return TR.group_ablation(table, "label", "split", feature_groups(columns), len(columns), ["gene", "label"], KEY, k=3, **MANY)
 
 
 @query("ablation_delta", f"""
