@@ -113,10 +113,14 @@ def run_hashes(hashes: np.ndarray, sizes: np.ndarray, min_line: int, min_chars:
 def _seeds(min_line: int, min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for id_, key, h, n in zip(*[batch[c].to_pylist() for c in ("id", "k", "h", "n")]):
-                found, first, last = run_hashes(np.array(h, np.int64), np.array(n, np.int64), min_line, min_chars)
-                yield pa.RecordBatch.from_arrays([pa.array([id_] * len(found), pa.int64()), pa.array([key] * len(found), pa.int64()), pa.array(found, pa.int64()),
-                                                  pa.array(first, pa.int32()), pa.array(last, pa.int32())], ["id", "k", "seed", "first", "last"])
+            found = []
+            for h, n in zip(batch["h"], batch["n"]):
+                found.append(run_hashes(h.values.to_numpy(zero_copy_only=False).astype(np.int64), n.values.to_numpy(zero_copy_only=False).astype(np.int64), min_line, min_chars))
+            counts = [len(f[0]) for f in found]
+            owner = pa.array(np.repeat(np.arange(len(counts)), counts))
+            columns = [np.concatenate([f[i] for f in found]) if found else np.empty(0, np.int64) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([batch["id"].take(owner), batch["k"].take(owner), pa.array(columns[0], pa.int64()), pa.array(columns[1].astype(np.int32)),
+                                              pa.array(columns[2].astype(np.int32))], ["id", "k", "seed", "first", "last"])
     return run
 
 
