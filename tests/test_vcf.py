@@ -79,6 +79,25 @@ def test_minus_strand_map(spark):
     assert m == list(range(210, 199, -1)) + [104, 103, 102]
 
 
+def test_zones_send_no_base_map_to_tasks(spark):
+    """The exons' table is small whatever its map's size: nothing of the map may be broadcast or joined base by base."""
+    rows = [(f"t{i}", "+-"[i % 2], 100 + 60 * k, 119 + 60 * k, 105, 290) for i in range(40) for k in range(4)]
+    ex = spark.createDataFrame(rows, "tx string, strand string, exon_start bigint, exon_end bigint, cds_start bigint, cds_end bigint")
+    full, plain = C.cdna_map(ex, ["tx"], ["cdna_before"]), C.cdna_map(ex, ["tx"])
+    edges, zones = C.boundaries_from_map(full, ["tx"]), C.splice_zones(C.boundaries_from_map(full, ["tx"]), full, ["tx"])
+    assert sorted(edges.collect()) == sorted(C.boundaries_from_map(plain, ["tx"]).collect()) and edges.count() == 120
+    assert sorted(zones.collect()) == sorted(C.splice_zones(C.boundaries_from_map(plain, ["tx"]), plain, ["tx"]).collect()) and zones.count() == 120 * 16
+    assert "Broadcast" not in zones._jdf.queryExecution().executedPlan().toString()
+    folded = C.coding_runs(full, ["tx"])
+    assert folded.count() == 160 and plain.count() == 40 * 66
+
+
+def test_base_maps_are_dealt_by_bases(spark):
+    ex = spark.range(30).selectExpr("id AS tx", "'+' AS strand", "1L AS exon_start", "100000L AS exon_end", "1L AS cds_start", "100000L AS cds_end")
+    parts = C.cdna_map(ex, ["tx"]).groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in parts) == 3_000_000 and len(parts) > 1
+
+
 def test_text_parsers(spark):
     df = spark.createDataFrame([("p.Arg5His", "M1361L", ".;NA;0.5", "-1;7", "13-5-A-G"), ("p.Arg5*", "A1V:G2S", "1e-3", "x", "99-5-A-G"), ("none", "K7K", ".", "-1", "13-5-A")],
                                "h string, t string, s string, p string, g string")
