@@ -45,11 +45,12 @@ def by_key(df: DataFrame, table: DataFrame, keys: list[str], defaults: dict[str,
 
 def gene_then_shared(df: DataFrame, gene_table: DataFrame, shared: DataFrame, keys: list[str], value: str,
                      out: str, default: float = 0.0) -> DataFrame:
-    """Gene-specific table, or the shared one for genes whose own table is empty."""
+    """Gene-specific table, or the shared one for genes whose own table is empty. The list of
+    genes is broadcast: a shuffle by gene would make one task of a gene."""
     have = gene_table.select("gene").distinct().withColumn("_has", F.lit(True))
     g = gene_table.select("gene", *keys, F.col(value).alias("_own"))
     s = shared.select(*keys, F.col(value).alias("_shared"))
-    joined = df.join(have, "gene", "left").join(g, ["gene", *keys], "left").join(s, keys, "left")
+    joined = df.join(F.broadcast(have), "gene", "left").join(g, ["gene", *keys], "left").join(s, keys, "left")
     pick = F.when(F.col("_has"), F.col("_own")).otherwise(F.col("_shared"))
     return joined.withColumn(out, F.coalesce(pick, F.lit(default))).drop("_has", "_own", "_shared")
 

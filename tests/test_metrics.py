@@ -1,10 +1,12 @@
 """Statistics against brute force in numpy, on data with ties and a hot value."""
 
 import math
+import re
 
 import numpy as np
 import pandas as pd
 import pytest
+
 from pyspark.sql import functions as F
 
 from helixframe.operators import aggregates as AG, calibration as C, metrics as M, neighbours as N, ranking as RK, sampling as SA, training as TR, vectors as VE
@@ -250,3 +252,18 @@ def test_oversampling_balances_exactly(spark):
     by_fold = TR.oversample(df, "y", "x", "row", fold="f").groupBy("fold").count().collect()
     assert {r["fold"]: r["count"] for r in by_fold} == {f: 45 for f in range(10)}
     assert TR.oversample(df.filter("y = 1"), "y", "x", "row").count() == 0
+
+
+def test_fallback_is_not_shuffled_by_gene(spark):
+    """A join on gene alone made as many tasks as there are genes, each with all rows of one."""
+    from helixframe.operators import lookups as L
+    rows = spark.range(100).selectExpr("IF(id % 2 = 0, 'BRCA1', 'BRCA2') AS gene", "id AS aa_pos")
+    own, shared = rows.filter("gene = 'BRCA1'").selectExpr("gene", "aa_pos", "aa_pos AS s"), rows.selectExpr("aa_pos", "-aa_pos AS s")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        looked = L.gene_then_shared(rows, own, shared, ["aa_pos"], "s", "out")
+        assert looked.filter("out = IF(gene = 'BRCA1', aa_pos, -aa_pos)").count() == 100
+        plan = looked._jdf.queryExecution().sparkPlan().toString()
+        assert "BroadcastHashJoin [gene#" in plan and not re.search(r"SortMergeJoin \[gene#\d+\]", plan)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
