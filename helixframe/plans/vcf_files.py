@@ -14,17 +14,23 @@ from helixframe.plans.scoring import ISO
 from helixframe.session import materialise, shared_dir
 from helixframe.sources import vcf_source as S
 
-FILE_PARTS = 3  # part files of the fixture, whatever the number of genes
+FILE_PARTS, FILE_LINES = 3, 500_000  # part files of the fixture at least, whatever the number of genes, and lines of one at most, about
 RANGE_BYTES = 1 << 18
 # Two linear models over features stand for the trained ones, which are not published.
 MODELS = (({"blosum62_score": -0.31, "volume_diff": 0.004, "hydro_diff": 0.12, "charge_change": 0.7, "relative_aa_pos": -0.4, "n_domains_hit": 0.8}, -0.6),
           ({"blosum62_score": -0.22, "volume_diff": 0.002, "hydro_diff": 0.2, "charge_change": 0.4, "relative_aa_pos": 0.3, "n_domains_hit": 0.5}, -0.9))
 
 
+def file_parts(rows):
+    """Number of part files: one task writes each, so it follows the number of lines."""
+    return max(FILE_PARTS, -(-rows.count() // FILE_LINES))
+
+
 def lines(spark, sf):
     """The fixture's lines written as block-gzip files, one upload per gene, and read back with their numbers."""
     path = shared_dir(spark, "uploads")
-    written = S.write_block_gzip(view(spark, sf, "vcf_lines").select("gene", "value", *KEY), path, "gene", [*KEY, "value"], FILE_PARTS)
+    rows = view(spark, sf, "vcf_lines").select("gene", "value", *KEY)
+    written = S.write_block_gzip(rows, path, "gene", [*KEY, "value"], file_parts(rows))
     materialise(written, "uploads-written")
     return S.numbered_vcf(spark, path, RANGE_BYTES)
 
