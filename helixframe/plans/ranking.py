@@ -34,8 +34,9 @@ SELECT {K4}, rank, feature, round(value, 9) AS value, CASE WHEN value > 0 THEN '
 SELECT *, CAST(row_number() OVER (PARTITION BY {K4} ORDER BY abs(value) DESC, feature) AS INT) AS rank FROM ({UN}) u WHERE abs(value) >= 0.0001::DOUBLE) x WHERE rank <= 8""")
 def topk_contributions(spark, sf):
     """Top eight per row, near-zero ones left out; the array never leaves its row."""
-    v = view(spark, sf, "variants").withColumn("top", RK.top_contributions({n: F.expr(e) for n, e in CON.items()}, 8, 0.0001))
-    out = v.select(*KEY, F.posexplode("top").alias("i", "t"))
+    top = RK.top_contributions({n: F.expr(e) for n, e in CON.items()}, 8, 0.0001)
+    # exploded as an expression: of a column of its own Spark asks first whether it is empty, and works it out for that once more
+    out = view(spark, sf, "variants").select(*KEY, F.posexplode(top).alias("i", "t"))
     return out.select(*KEY, (F.col("i") + 1).alias("rank"), F.col("t.feature").alias("feature"), F.round("t.value", 9).alias("value"), F.col("t.direction").alias("direction"))
 
 
@@ -48,8 +49,8 @@ DUN = " UNION ALL ".join(f"SELECT {K4}, '{n}' AS feature, abs({a.replace('D', ':
 SELECT {K4}, rank, feature, round(d, 9) AS difference, CASE WHEN d > 2 THEN 'high' WHEN d > 1 THEN 'moderate' ELSE 'low' END AS importance FROM (
 SELECT *, CAST(row_number() OVER (PARTITION BY {K4} ORDER BY d DESC, feature) AS INT) AS rank FROM ({DUN}) u) x WHERE rank <= 5 AND d >= 0.01::DOUBLE""")
 def topk_feature_diffs(spark, sf):
-    v = view(spark, sf, "variants").withColumn("top", RK.top_differences({n: (F.expr(a), F.expr(b)) for n, (a, b) in DIFF.items()}))
-    out = v.select(*KEY, F.posexplode("top").alias("i", "t"))
+    top = RK.top_differences({n: (F.expr(a), F.expr(b)) for n, (a, b) in DIFF.items()})
+    out = view(spark, sf, "variants").select(*KEY, F.posexplode(top).alias("i", "t"))
     return out.select(*KEY, (F.col("i") + 1).alias("rank"), F.col("t.feature").alias("feature"), F.round("t.difference", 9).alias("difference"), F.col("t.importance").alias("importance"))
 
 
