@@ -107,3 +107,15 @@ def test_text_parsers(spark):
     assert tuple(out[0]["t"]) == ("M", 1361, "L") and out[1]["t"] is None and out[2]["t"] is None
     assert [r["s"] for r in out] == [0.5, 0.001, None] and [r["p"] for r in out] == [7, None, None]
     assert [r["g"]["error"] for r in out] == [None, "Invalid chromosome in variant", "Expected format: chr-pos-ref-alt"]
+
+
+def test_duplicates_are_marked_in_one_pass(spark):
+    """Rows are read once: no join of the alleles with their own first ones."""
+    df = spark.createDataFrame([("f", 2, "13\t5\t.\tA\tG"), ("f", 1, "13\t5\t.\tA\tG"), ("f", 1, "13\t5\t.\tA\tG"), ("f", 3, "13\t5\t.\tA\t*"), ("f", 4, "13\t6\t.\tA\tG"),
+                                (None, 5, "13\t5\t.\tA\tG"), ("h", None, "13\t5\t.\tA\tG"), ("h", 6, "13\t5\t.\tA\tG")], "file string, id int, value string")
+    out = V.dedup_alleles(V.explode_alleles(V.parse_lines(df)), ["file"], ["file", "id", "allele"])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
+    again, unsupported = "Duplicate variant", "Unsupported allele type: *"
+    rows = [(r["file"], r["id"], r["skip"]) for r in out.collect()]
+    assert sorted(rows, key=str) == sorted([("f", 1, None), ("f", 1, again), ("f", 2, again), ("f", 3, unsupported), ("f", 4, None), (None, 5, again), ("h", None, again), ("h", 6, again)], key=str)
