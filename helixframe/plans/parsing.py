@@ -53,13 +53,10 @@ SKIPS = """skips AS (
 
 
 def skipped(spark, sf):
-    """All skip rows with their line number within the file; lines are numbered once, up front."""
+    """All skip rows with their line number within the file; lines are numbered, parsed and classified once."""
     lines = RK.number_rows(view(spark, sf, "vcf_lines"), ["l_suppkey"], F.floor(F.col("l_orderkey") / 5000),
                            ["l_orderkey", "l_linenumber", "l_partkey", "value"], "line").withColumn("line", F.col("line").cast("bigint"))
-    bad = V.parse_lines(lines).filter("NOT parsed").select("l_suppkey", "line", F.lit(None).cast("bigint").alias("pos"), F.lit(0).alias("allele"),
-                                                           F.lit("Parse error").alias("reason"))
-    rejected = classified(spark, sf, lines).filter("reason IS NOT NULL").select("l_suppkey", "line", "pos", "allele", "reason")
-    return bad.unionByName(rejected)
+    return classified(spark, sf, lines, malformed=True).filter("reason IS NOT NULL").select("l_suppkey", "line", "pos", "allele", "reason")
 
 
 @query("vcf_skip_report", f"""WITH {SKIPS}
