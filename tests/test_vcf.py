@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from helixframe import dims
 from helixframe.functions import parsing as P
 from helixframe.operators import coords as C, ranking as RK, vcf as V
@@ -119,3 +120,20 @@ def test_duplicates_are_marked_in_one_pass(spark):
     again, unsupported = "Duplicate variant", "Unsupported allele type: *"
     rows = [(r["file"], r["id"], r["skip"]) for r in out.collect()]
     assert sorted(rows, key=str) == sorted([("f", 1, None), ("f", 1, again), ("f", 2, again), ("f", 3, unsupported), ("f", 4, None), (None, 5, again), ("h", None, again), ("h", 6, again)], key=str)
+
+
+def test_malformed_lines_go_along_as_one_reject(spark):
+    """Rejects of both kinds leave one pass over the lines, with no place for what could not be read."""
+    df = lines(spark, "13\t5\t.\tA\tG,*", "ZZ\t7\t.\tA\tG,T", "13\tx\t.\tA\tG", "short", None)
+    out = V.explode_alleles(V.parse_lines(df), malformed=True)
+    got = {(r["id"], r["allele"]): (r["pos"], r["skip"]) for r in out.collect()}
+    assert got == {(0, 0): (5, None), (0, 1): (5, "Unsupported allele type: *"), **{(i, 0): (None, "Parse error") for i in (1, 2, 3, 4)}}
+    plan = entry.queries()["vcf_skip_counts"](spark, entry.SMOKE_DIR)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan
+
+
+def test_compound_het_works_its_rows_out_once(spark):
+    df = spark.createDataFrame([("g", 1, "0/1", "a"), ("g", 2, None, "b"), ("g", 3, "1/1", "c"), ("h", 4, "0|1", "d"), ("h", 5, "1/1", "e")], "gene string, id int, genotype string, d string")
+    out = V.compound_het(df, ["gene"], ["id"], F.upper("d"))
+    assert "LogicalRDD" not in (plan := out._jdf.queryExecution().optimizedPlan().toString()) and "upper" not in plan
+    assert [tuple(r) for r in out.collect()] == [("g", 3, 2, True, ["A", "B"])]
