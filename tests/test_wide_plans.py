@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
-from helixframe.operators import features as FE
+from helixframe.operators import aggregates as AG, features as FE, neighbours as N, training as TR
 from helixframe.plans import features as PF
 
 KEYS = ("topk_contributions", "topk_feature_diffs")
@@ -34,3 +37,42 @@ def test_frequency_independence_counts_in_the_row(spark):
     # two sums, whatever the number of features
     aggregate = next(line for line in plan(out).splitlines() if "Aggregate" in line)
     assert aggregate.count("sum(") <= 3 and "count(" not in aggregate
+
+
+def test_scaling_is_compiled(spark):
+    table = spark.createDataFrame([("train", [1.0, 5.0]), ("train", [3.0, 5.0]), ("test", [4.0, 7.0])], "split string, x array<double>")
+    out = TR.scaled(table, table.filter("split = 'train'"), 2)
+    assert sorted(r["x"] for r in out.collect()) == [[-1.0, 0.0], [1.0, 0.0], [2.0, 2.0]]
+    # a function of the elements would be interpreted
+    assert "lambda" not in plan(out)
+
+
+def test_profile_with_and_without_gaps(spark):
+    rows = np.random.default_rng(3).normal(5, 2, (200, 3))
+    for gap in (False, True):
+        v = rows.copy()
+        if gap:
+            v[::7, 1] = np.nan
+        df = spark.createDataFrame([(r.tolist(),) for r in v], "x array<double>").repartition(3)
+        out = {r["feature"]: r for r in AG.array_profile(df, "x", list("abc")).collect()}
+        for i, c in enumerate("abc"):
+            known = v[~np.isnan(v[:, i]), i]
+            assert out[c]["n"] == len(known) and np.allclose([out[c][n] for n in ("lo", "hi", "mean", "std")], [known.min(), known.max(), known.mean(), known.std()])
+
+
+def test_search_measures_few_pairs_of_indicators(monkeypatch):
+    """Vectors of indicators, as the features are, lie in boxes that a query need not open."""
+    rng = np.random.default_rng(5)
+    def made(n):
+        kinds = rng.integers(0, 8, (n, 3))
+        return np.hstack([np.eye(8)[kinds].reshape(n, 24) * 4, rng.normal(size=(n, 4))])
+    a, b, ids = made(200), made(6000), rng.permutation(6000)
+    pairs, whole = [], N._best_of_all
+    def counted(a, b, *rest):
+        pairs.append(len(a) * len(b))
+        return whole(a, b, *rest)
+    monkeypatch.setattr(N, "_best_of_all", counted)
+    for k in (1, 4):
+        pairs.clear()
+        got, want = N.best_of(a, b, ids, k, 9), whole(a, b, ids, k, 9)
+        assert all(np.array_equal(x, y) for x, y in zip(got, want)) and sum(pairs) < 0.5 * len(a) * len(b)
