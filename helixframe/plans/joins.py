@@ -9,7 +9,6 @@ from helixframe.operators import (aggregates as AG, domains as D, features as FE
 from helixframe.plans.features import FULL, full_vector, vec_sql
 from helixframe.plans.fixtures import view
 from helixframe.plans.registry import query
-from helixframe.session import materialise
 
 KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 K4 = ", ".join(KEY)
@@ -240,7 +239,6 @@ def contrastive_neighbour(spark, sf):
     keep = [*KEY, "gene", "split", "label", "p_tree", F.concat("aa_ref", F.col("aa_pos").cast("string"), "aa_alt").alias("name"), F.expr(ROW_ID).alias("id")]
     table = TR.feature_table(full_vector(spark, sf, keep), SCALED, "label", [*KEY, "gene", "split", "p_tree", "name", "id"])
     table = TR.scaled(table, table.filter("split = 'train'"), len(SCALED))
-    table = materialise(table, "scaled-features")
     train = table.filter("split = 'train'").select("gene", F.col("label").cast("int").alias("label"), "id", "x", "name")
     out = N.contrast(table.filter("split = 'test'").select(*KEY, "gene", "p_tree", "x"), train, ["gene"], "p_tree", "label", "x", "id", SCALED)
     names = train.groupBy(F.col("id").alias("contrast_id")).agg(F.min("name").alias("contrast_variant"))

@@ -76,3 +76,21 @@ def test_search_measures_few_pairs_of_indicators(monkeypatch):
         pairs.clear()
         got, want = N.best_of(a, b, ids, k, 9), whole(a, b, ids, k, 9)
         assert all(np.array_equal(x, y) for x, y in zip(got, want)) and sum(pairs) < 0.5 * len(a) * len(b)
+
+
+def test_cells_follow_the_rows_and_vectors_travel_packed(spark, monkeypatch):
+    """The blocks that a vector meets, and so the disk, grow no faster than the table."""
+    tables, write = {}, N.materialise
+    def kept(df, name, *rest):
+        tables[name] = write(df, name, *rest)
+        return tables[name]
+    monkeypatch.setattr(N, "materialise", kept)
+    rng = np.random.default_rng(7)
+    for n in (600, 1800):
+        v = np.eye(8)[rng.integers(0, 8, (n, 3))].reshape(n, 24) + rng.normal(0, 0.01, (n, 24))
+        df = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "id long, x array<double>").coalesce(2)
+        found = {r["id"]: r["neighbour_id"] for r in N.nearest(df.filter("id < 50"), df, [], "x", "id", pivots=2, cell_rows=100).collect()}
+        assert found == {i: i for i in range(50)}
+        cells = tables["neighbour-cells"].groupBy("_cell").agg(F.sum("_n").alias("n"), F.count(F.lit(1)).alias("packs")).collect()
+        assert sum(r["n"] for r in cells) == n and len(cells) >= n // 200 and max(r["n"] for r in cells) <= 400
+        assert tables["neighbour-train"].count() < n / 10
